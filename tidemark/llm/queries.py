@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, packing
-from tidemark.llm.common import table
+from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts, warc
+from tidemark.llm.common import materialise, shared_path, table
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_warc_derivatives(spark, sf_dir):
+    return warc.derivatives(table(spark, sf_dir, "pages"), with_block=False)
+
+
 def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    """Load every document, then delete those whose text another keeps; each batch is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = materialise(token_counts.counted(docs), "token-counts")
+    store = token_counts.RollupStore(spark, shared_path(spark, "rollup"))
+    dropped = exact_dedup.classes(docs, keep="min").where("NOT kept").select("doc_id")
+    for _ in range(2):
+        store.commit("load", token_counts.signed(counts, 1))
+        store.commit("dedup", token_counts.signed(counts.join(dropped, "doc_id", "left_semi"), -1))
+    return store.totals()
+
+
+def op8_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op6_byte_bpe, op7_token_counts, op8_quality_rules, op10_packing)}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
