@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts, warc
+from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts, toxicity, warc
 from tidemark.llm.common import materialise, shared_path, table
 
 
@@ -14,6 +14,11 @@ def op2_warc_derivatives(spark, sf_dir):
     return warc.derivatives(table(spark, sf_dir, "pages"), with_block=False)
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op6_byte_bpe, op7_token_counts, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op6_byte_bpe, op7_token_counts, op8_quality_rules, op10_packing)}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
