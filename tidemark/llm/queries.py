@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts, toxicity, warc
+from tidemark.llm import byte_bpe, exact_dedup, order_minhash, packing, quality_rules, token_counts, toxicity, warc
 from tidemark.llm.common import materialise, shared_path, table
 
 
@@ -40,9 +40,13 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_order_minhash(spark, sf_dir):
+    return order_minhash.classes(table(spark, sf_dir, "documents"), at_least=0.8)
+
+
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op6_byte_bpe, op7_token_counts, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op6_byte_bpe, op7_token_counts, op8_quality_rules, op9_order_minhash, op10_packing)}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
