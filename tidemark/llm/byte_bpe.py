@@ -146,8 +146,7 @@ class TextEncoder:
                 cut.append(None)
             else:  # a space before each chunk but the first belongs to it
                 cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
-        self.chunks.fill([c for row in cut if row for c in row])
-        get = self.chunks.__getitem__
+        get = self.chunks.fill([row for row in cut if row])
         for text, row in zip(texts, cut):
             yield " ".join(map(get, row)) if row else self._chunks([text])[0]
 

@@ -14,17 +14,18 @@ from collections.abc import Callable
 IRREGULAR = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]| \n|\n |^\s|\s$")
 
 
-class ChunkCache(dict):
+class ChunkCache:
     """chunk -> value, filled by ``encode`` for the chunks that are missing."""
 
     def __init__(self, encode: Callable[[list[str]], list], bound: int = 1_000_000):
-        super().__init__()
-        self.encode, self.bound = encode, bound
-
-    def fill(self, chunks) -> None:
-        new = [c for c in set(chunks) if c not in self]
-        if len(self) + len(new) > self.bound:
-            self.clear()
-            new = list(set(chunks))
+        self.encode, self.bound, self.known = encode, bound, {}
+
+    def fill(self, rows: list[list[str]]) -> Callable:
+        """Make all chunks of ``rows`` known; returns the look-up."""
+        chunks = set().union(*rows)
+        new = list(chunks.difference(self.known))
+        if len(self.known) + len(new) > self.bound:
+            self.known, new = {}, list(chunks)
         if new:
-            self.update(zip(new, self.encode(new)))
+            self.known.update(zip(new, self.encode(new)))
+        return self.known.__getitem__

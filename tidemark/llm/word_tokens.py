@@ -8,7 +8,7 @@ cache lacks, and a text with any other white space goes to the library whole.
 from __future__ import annotations
 
 import functools
-import re
+import os
 
 import numpy as np
 import public_tokenizers
@@ -16,18 +16,22 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.chunk_tokens import ChunkCache
 
-#: Beyond these code points Python and the library might differ in lower case.
-_BEYOND_LATIN = re.compile("[^\0-\u024f]")
-#: A mark before a comma or stop, with which the library's splitter takes it together.
-_MARK_BEFORE = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel unit
+
+_LATIN = bytes(range(256)).decode("latin-1")
+#: Latin-1 letters, digits and plain white space: what may stand around a comma or stop.
+_NO_MARK = bytes(i for i, c in enumerate(_LATIN) if c.isalnum() or c in " \n")
 
 
 def _fewer_forms(text: str) -> str:
-    """The same ids from fewer different chunks: lower case, commas and stops apart from words."""
-    if not _BEYOND_LATIN.search(text):
-        text = text.lower()
-        if not _MARK_BEFORE.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+    """The same ids from fewer different chunks: Latin-1 text in lower case, commas and stops apart from words."""
+    try:
+        marks = text.encode("latin-1").translate(None, _NO_MARK)
+    except UnicodeEncodeError:
+        return text
+    text = text.lower()
+    if not marks.strip(b",.") and not any(x in text for x in ("..", ".,", ",.", ",,")):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
     return text
 
 
@@ -38,18 +42,17 @@ class WordTokens:
         self.chunks = ChunkCache(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
         cut = []
         for text in texts:
-            row = text.split()
-            # Without its white space, a text is shorter by its plain white characters, or others were cut at.
-            plain = len(text) - sum(map(len, row)) == text.count(" ") + text.count("\n")
-            cut.append(_fewer_forms(text).split() if plain else None)
-        self.chunks.fill([c for row in cut if row for c in row])
-        get = self.chunks.__getitem__
+            plain = _fewer_forms(text)
+            row = plain.split()
+            # Cut at other white space than these two, a text is longer than its chunks by more than their number.
+            cut.append(row if len(plain) - len("".join(row)) == plain.count(" ") + plain.count("\n") else None)
+        get = self.chunks.fill([row for row in cut if row])
         return [np.frombuffer(b"".join(map(get, row)) if row is not None else self._chunks([text])[0], np.uint32) for text, row in zip(texts, cut)]
 
 
