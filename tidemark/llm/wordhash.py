@@ -65,3 +65,12 @@ def rolled(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     x = mix(h + U(salt)) if salt else h
     sums = np.concatenate([np.zeros(1, U), np.cumsum(x * up[:-1], dtype=U)])
     return mix((sums[width:] - sums[:-width]) * down[: n] + U(width))
+
+
+def stretches(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run h[first:end]."""
+    up, down = np.full(len(h) + 1, _BASE, U), np.full(len(h) + 1, _INVERSE, U)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + U(11)) * up[:-1], dtype=U)])
+    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U))
