@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, order_minhash, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm import byte_bpe, exact_dedup, order_minhash, packing, pii_surrogates, quality_rules, substring_dedup, token_counts, toxicity, warc
 from tidemark.llm.common import materialise, shared_path, table
 
 
@@ -23,6 +23,11 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replaced(docs, count_col="n_entities")
+
+
 def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op4_substring_dedup, op6_byte_bpe, op7_token_counts, op8_quality_rules, op9_order_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op4_substring_dedup, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_rules, op9_order_minhash, op10_packing)}
 ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
