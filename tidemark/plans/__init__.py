@@ -1,9 +1,12 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import interval_queries
+
+_MODULES = (interval_queries,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
 
 def flagship(spark, sf_dir):
-    """Placeholder until the segmentation chain is in."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+    """Merged activity of each stream."""
+    return interval_queries.interval_merge(spark, sf_dir)
