@@ -7,7 +7,6 @@ one logit comes out. Gradients are written out by hand; Adam trains all parts.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,17 +15,46 @@ BUCKETS = 4096
 F32 = np.float32
 
 
-def trigrams(word: str) -> np.ndarray:
-    """Buckets of the character trigrams of a word between marks of its ends."""
-    codes = np.frombuffer(f"^{word}$".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    three = (codes[:-2] * np.uint64(2654435761) ^ codes[1:-1] * np.uint64(40503)) * np.uint64(31) + codes[2:] if len(codes) > 2 else codes[:1]
-    return ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
-
-
-def beginnings(word: str, longest: int = 9) -> np.ndarray:
-    """Buckets of how a word begins: its first two to ``longest`` characters; the whole of a one-character word."""
-    text = word[:longest]
-    return np.array([zlib.crc32(text[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(min(2, len(text)), len(text) + 1)], np.int64)
+def _spread(x: np.ndarray) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
+
+
+class Lists:
+    """Lists of bucket numbers end to end: ``flat`` and the size of each (at least one) list."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+
+    def take(self, rows: np.ndarray) -> Lists:
+        sizes = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return Lists(self.flat[at], sizes)
+
+
+def characters(words: list[str], longest: int = 9) -> tuple[Lists, Lists]:
+    """Of each word, the buckets of its character trigrams between marks of its ends, and of its first 2 to ``longest``
+    characters (of a shorter word, its only beginning)."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in words], np.int64) + 2
+    starts = np.cumsum(sizes) - sizes
+    # A trigram begins at every place but a word's last two; an empty word's one list entry is its pair of marks.
+    n_tri = np.maximum(1, sizes - 2)
+    at = np.repeat(starts - (np.cumsum(n_tri) - n_tri), n_tri) + np.arange(n_tri.sum())
+    padded = np.concatenate([codes, np.zeros(2, np.uint64)])
+    three = (padded[at] * np.uint64(2654435761) ^ padded[at + 1] * np.uint64(40503)) * np.uint64(31) + padded[at + 2]
+    short = np.repeat(sizes, n_tri) < 3
+    three[short] = 0
+    power = np.cumprod(np.full(longest, 0x100000001B3, np.uint64), dtype=np.uint64)
+    n_begin = np.maximum(1, np.minimum(longest, sizes - 2) - 1)
+    owner = np.repeat(np.arange(len(words)), n_begin)
+    upto = np.arange(n_begin.sum()) - np.repeat(np.cumsum(n_begin) - n_begin, n_begin) + 2
+    table = np.zeros((len(words), longest), np.uint64)
+    for i in range(longest):
+        has = sizes - 2 > i
+        table[has, i] = padded[starts[has] + 1 + i] * power[i]
+    sums = np.cumsum(table, axis=1, dtype=np.uint64)
+    begin = sums[owner, np.minimum(upto, longest) - 1] + np.minimum(upto, np.maximum(sizes - 2, 1)[owner]).astype(np.uint64)
+    return Lists(_spread(three), n_tri), Lists(_spread(begin), n_begin)
 
 
 def fresh(vocabulary: int, hidden: int = 10, word_dim: int = 10, char_dim: int = 8, seed: int = 7) -> dict[str, np.ndarray]:
@@ -44,21 +72,26 @@ def fresh(vocabulary: int, hidden: int = 10, word_dim: int = 10, char_dim: int =
     return p
 
 
-def _means(table: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, tuple]:
-    """Mean vector of each (not empty) list of rows; flat rows, owners and sizes, for the gradient."""
-    if not lists:
-        return np.zeros((0, table.shape[1]), F32), (np.zeros(0, np.int64),) * 3
-    sizes = np.array([len(g) for g in lists], np.int64)
-    flat = np.concatenate(lists)
-    sums = np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0)
-    return sums / sizes[:, None].astype(F32), (flat, np.repeat(np.arange(len(lists)), sizes), sizes)
+def _means(table: np.ndarray, lists: Lists) -> np.ndarray:
+    """Mean vector of each list of rows."""
+    if not len(lists.sizes):
+        return np.zeros((0, table.shape[1]), F32)
+    return np.add.reduceat(table[lists.flat], lists.starts, axis=0) / lists.sizes[:, None].astype(F32)
+
+
+def _gathered_sums(n: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values with each index below ``n``."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    out[ordered[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
-def inputs(p: dict, word_ids: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict]:
-    """Input vectors of word types, and what their gradient needs."""
-    chars, a = _means(p["Ec"], [g[0] for g in grams])
-    begin, b = _means(p["Eb"], [g[1] for g in grams])
-    return np.concatenate([p["Ew"][word_ids], chars, begin], 1), {"Ec": a, "Eb": b}
+def inputs(p: dict, word_ids: np.ndarray, chars: tuple[Lists, Lists]) -> np.ndarray:
+    """Input vectors of word types."""
+    return np.concatenate([p["Ew"][word_ids], _means(p["Ec"], chars[0]), _means(p["Eb"], chars[1])], 1)
 
 
 def _gates(g: np.ndarray, h: np.ndarray, u: np.ndarray, k: int):
@@ -112,7 +145,7 @@ def backward(p: dict, gx: dict, idx: np.ndarray, mask: np.ndarray, saved, dlogit
     dgx = {}
     for d, order in (("f", range(steps - 1, -1, -1)), ("b", range(steps))):
         at, u = slice(0, k) if d == "f" else slice(k, 2 * k), p[f"U{d}"]
-        du, dh, acc = np.zeros_like(u), np.zeros((b, k), F32), np.zeros_like(gx[d])
+        du, dh, dg = np.zeros_like(u), np.zeros((b, k), F32), np.empty((b, steps, 3 * k), F32)
         for t in order:
             before, z, r, n, un = tape[d][t]
             dh = dh + dstates[t, :, at]
@@ -123,9 +156,9 @@ def backward(p: dict, gx: dict, idx: np.ndarray, mask: np.ndarray, saved, dlogit
             dr = dn * un * r * (1 - r)
             da = np.concatenate([dz, dr, dn * r], 1)
             du += before.T @ da
-            np.add.at(acc, idx[:, t], np.concatenate([dz, dr, dn], 1))
+            dg[:, t] = np.concatenate([dz, dr, dn], 1)
             dh = dh * z + da @ u.T
-        g[f"U{d}"], dgx[d] = du, acc
+        g[f"U{d}"], dgx[d] = du, _gathered_sums(len(gx[d]), idx.ravel(), dg.reshape(b * steps, 3 * k))
     return g, dgx
 
 
@@ -160,7 +193,7 @@ def gathered(types: np.ndarray, first: np.ndarray, count: np.ndarray, size: int)
     return np.where(mask, types[at], 0), mask.astype(F32)
 
 
-def epochs(p: dict, word_ids: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], idx: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, rate: float, batch: int = 128, drop: float = 0.1, seed: int = 3) -> Iterator[float]:
+def epochs(p: dict, word_ids: np.ndarray, chars: tuple[Lists, Lists], idx: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, rate: float, batch: int = 128, drop: float = 0.1, seed: int = 3) -> Iterator[float]:
     """Train on windows for ``n`` epochs; yields the mean loss of each."""
     rng, adam = np.random.default_rng(seed), Adam(p, rate)
     for _ in range(n):
@@ -170,7 +203,8 @@ def epochs(p: dict, word_ids: np.ndarray, grams: list[tuple[np.ndarray, np.ndarr
             types, local = np.unique(idx[rows], return_inverse=True)
             local, m, w = local.reshape(len(rows), -1), mask[rows], weight[rows]
             ids = np.where(rng.random(len(types)) < drop, 0, word_ids[types])  # at times a word has its characters alone
-            x, lists = inputs(p, ids, [grams[t] for t in types])
+            lists = [c.take(types) for c in chars]
+            x = inputs(p, ids, lists)
             gx = {d: x @ p[f"W{d}"] + p[f"c{d}"] for d in "fb"}
             logit, saved = forward(p, gx, local, m, keep=True)
             prob = 1 / (1 + np.exp(-logit))
@@ -180,15 +214,12 @@ def epochs(p: dict, word_ids: np.ndarray, grams: list[tuple[np.ndarray, np.ndarr
             for d in "fb":
                 g[f"W{d}"], g[f"c{d}"] = x.T @ dgx[d], dgx[d].sum(0)
             wide = p["Ew"].shape[1]
-            g["Ew"] = np.zeros_like(p["Ew"])
-            np.add.at(g["Ew"], ids, dx[:, :wide])
+            g["Ew"] = _gathered_sums(len(p["Ew"]), ids, np.ascontiguousarray(dx[:, :wide]))
             g["Ew"][0] = 0
             for i, k in enumerate(("Ec", "Eb")):
-                flat, owner, sizes = lists[k]
                 at_k = wide + i * p[k].shape[1]
-                share = dx[:, at_k : at_k + p[k].shape[1]] / sizes[:, None].astype(F32)
-                g[k] = np.zeros_like(p[k])
-                np.add.at(g[k], flat, share[owner])
+                share = dx[:, at_k : at_k + p[k].shape[1]] / lists[i].sizes[:, None].astype(F32)
+                g[k] = _gathered_sums(len(p[k]), lists[i].flat, np.repeat(share, lists[i].sizes, axis=0))
             for k in ("Ew", "Ec", "Eb"):
                 g[k] += F32(1e-5) * p[k]
             adam.step(g)

@@ -5,7 +5,7 @@ include held-out ids, and the score sees nothing but the text. A label marks a d
 first take their document's label; then windows of positive documents that the network itself finds harmless are
 left out, and it is trained further. A word that harmful texts use often may occur in a harmless one, so a
 document's score is the logistic of a linear map, fitted on the training rows, of its highest window
-logit, the log odds of the mean window probability and that mean.
+logit, the mean window probability (and its log odds) and the number of windows.
 
 Defined results: null, empty and blank texts have no window and score as a text whose only window has the
 lowest logit of the training rows; repeated rows score alike; an empty table gives none; without labels of both kinds
@@ -14,6 +14,8 @@ every score is 0; other columns are ignored. Whole texts are scored, in batches
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,32 +42,32 @@ def core(word: str) -> str:
     return word.strip(_STRIP) or word
 
 
-def characters(word: str) -> tuple[np.ndarray, np.ndarray]:
-    return gru.trigrams(word), gru.beginnings(word or "$")
-
-
 class Types:
-    """Word types in order of first sight, with the network's inputs; type 0 is padding."""
+    """Word types in order of first sight: what a text has between white space, without marks at its ends. Type 0 is padding."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.number = vocabulary, {"": 0}
-        self.word_ids, self.grams = [0], [characters("")]
+        self.vocabulary, self.number, self.by_core, self.cores = vocabulary, {"": 0}, {"": 0}, [""]
 
     def of(self, seq: list[str]) -> np.ndarray:
-        number = self.number
-        for w in set(seq):
-            if w not in number:
-                c = core(w)
-                number[w] = len(self.grams)
-                self.word_ids.append(self.vocabulary.get(c, 0))
-                self.grams.append(characters(c))
-        return np.array([number[w] for w in seq], np.int64)
+        number, by_core = self.number, self.by_core
+        for w in set(seq).difference(number):
+            c = core(w)
+            if c not in by_core:
+                by_core[c] = len(self.cores)
+                self.cores.append(c)
+            number[w] = by_core[c]
+        return np.fromiter(map(number.__getitem__, seq), np.int64, len(seq))
+
+    def inputs(self, new: slice) -> tuple[np.ndarray, tuple[gru.Lists, gru.Lists]]:
+        """Vocabulary numbers and characters of a range of types."""
+        cores = self.cores[new]
+        return np.array([self.vocabulary.get(c, 0) for c in cores], np.int64), gru.characters(cores)
 
 
 class Scorer:
     """A trained network, applied to texts."""
 
-    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 250_000):
+    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 500_000):
         self.p, self.vocabulary, self.scale, self.bound = p, vocabulary, scale, bound
         self._renew()
 
@@ -81,9 +83,9 @@ class Scorer:
         self.__init__(*state)
 
     def _project(self):
-        new = slice(self.done, len(self.types.grams))
+        new = slice(self.done, len(self.types.cores))
         if new.start < new.stop:
-            x = gru.inputs(self.p, np.array(self.types.word_ids[new], np.int64), self.types.grams[new])[0]
+            x = gru.inputs(self.p, *self.types.inputs(new))
             if len(self.gx["f"]) < new.stop:
                 for d in "fb":
                     grown = np.zeros((max(1024, 2 * new.stop), self.gx[d].shape[1]), gru.F32)
@@ -91,11 +93,11 @@ class Scorer:
                     self.gx[d] = grown
             for d in "fb":
                 self.gx[d][new] = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
-            self.types.grams[new] = [None] * (new.stop - new.start)  # projected: no longer needed
             self.done = new.stop
 
     def features(self, texts: list[str], block: int = 4096) -> np.ndarray:
-        """(texts, 3): highest window logit, log odds of the mean window probability, that mean; nan without words."""
+        """(texts, 5): highest window logit, log odds of the mean window probability, that mean, log of the number of windows, and
+        the product of the last two; nan without words."""
         if len(self.types.number) > self.bound:
             self._renew()
         seqs = [self.types.of(words(t)) for t in texts]
@@ -111,18 +113,32 @@ class Scorer:
         np.maximum.at(top, doc, logit)
         n = np.bincount(doc, minlength=len(texts))
         mean = np.bincount(doc, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), minlength=len(texts)) / np.maximum(1, n)
-        return np.where((n > 0)[:, None], _summary(np.clip(top, -12, 12), mean), np.nan)
+        return np.where((n > 0)[:, None], _summary(np.clip(top, -12, 12), mean, n), np.nan)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         weights, low = self.scale
         x = self.features(texts)
-        x = np.where(np.isnan(x), _summary(np.array([low]), 1 / (1 + np.exp(-np.array([low])))), x)
+        x = np.where(np.isnan(x), _summary(np.array([low]), 1 / (1 + np.exp(-np.array([low]))), np.ones(1)), x)
         return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))
 
 
-def _summary(top: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    held = np.clip(mean, 1e-5, 1 - 1e-5)
-    return np.stack([top, np.log(held / (1 - held)), mean], 1)
+_kept: dict[bytes, Scorer] = {}
+
+
+def in_worker(scorer: Scorer | None) -> Scorer | None:
+    """The worker's own copy of a scorer: what it knows of words outlives a task."""
+    if scorer is None:
+        return None
+    key = hashlib.sha256(b"".join(scorer.p[k].tobytes() for k in sorted(scorer.p)) + repr(scorer.scale).encode()).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = scorer
+    return _kept[key]
+
+
+def _summary(top: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    held, size = np.clip(mean, 1e-5, 1 - 1e-5), np.log(np.maximum(1, n))
+    return np.stack([top, np.log(held / (1 - held)), mean, size, mean * size], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 40) -> np.ndarray:
@@ -151,19 +167,19 @@ def train(texts: list[str], y: np.ndarray, min_docs: int = 3, first: int = 4, mo
     flat = np.concatenate(seqs)
     doc, start, count = gru.windows([len(s) for s in seqs], SIZE, SIZE)
     idx, mask = gru.gathered(flat, start, count, SIZE)
-    label, ids, grams = y[doc], np.array(types.word_ids), types.grams
+    label, (ids, chars) = y[doc], types.inputs(slice(0, None))
     # A document counts alike however long it is, up to a root; the labels count alike.
     weight = 1 / np.sqrt(np.bincount(doc, minlength=len(texts))[doc])
     for v in (0, 1):
         weight[label == v] *= 0.5 * len(weight) / max(1e-9, weight[label == v].sum())
     p = gru.fresh(len(vocabulary))
-    times = int(np.clip(700 * 128 // max(1, len(idx)), 1, 4))  # few windows are read more often
+    times = int(np.clip(350 * 128 // max(1, len(idx)), 1, 4))  # few windows are read more often
     first, more = first * times, more * times
-    for _ in gru.epochs(p, ids, grams, idx, mask, label, weight, first, rate):
+    for _ in gru.epochs(p, ids, chars, idx, mask, label, weight, first, rate):
         pass
 
     def by_window() -> np.ndarray:
-        gx = {d: (x := gru.inputs(p, ids, grams)[0]) @ p[f"W{d}"] + p[f"c{d}"] for d in "fb"}
+        gx = {d: (x := gru.inputs(p, ids, chars)) @ p[f"W{d}"] + p[f"c{d}"] for d in "fb"}
         return np.concatenate([gru.forward(p, gx, idx[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(idx), 4096)])
 
     logit = by_window()
@@ -173,16 +189,16 @@ def train(texts: list[str], y: np.ndarray, min_docs: int = 3, first: int = 4, mo
     if use[label == 1].any():
         weight = np.ones(len(use))
         weight[label == 1] = 0.5 * (label == 0).sum() / max(1, (use & (label == 1)).sum())
-        for _ in gru.epochs(p, ids, grams, idx[use], mask[use], label[use], weight[use], more, rate / 2, seed=4):
+        for _ in gru.epochs(p, ids, chars, idx[use], mask[use], label[use], weight[use], more, rate / 2, seed=4):
             pass
-    scorer = Scorer(p, vocabulary, (np.zeros(4), 0.0))
+    scorer = Scorer(p, vocabulary, (np.zeros(6), 0.0))
     x = np.concatenate([scorer.features(texts[at : at + 500]) for at in range(0, len(texts), 500)])
     has = ~np.isnan(x[:, 0])
     scorer.scale = _logistic(x[has], y[has]), float(x[has, 0].min())
     return scorer
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_negative: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_negative: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
     """Train on at most so many labelled rows that are not held out. Ids with two labels are left out."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     rank = F.xxhash64(F.col(id_col).cast("string"))
@@ -195,9 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_n
 
 def _scored(docs: DataFrame, scorer: Scorer | None, id_col: str, text_col: str, threshold: float) -> DataFrame:
     def run(frames):
+        own = in_worker(scorer)
         for batch in batches(frames):
             texts = batch.column(2).to_pylist()
-            score = scorer.scores(texts) if scorer else np.zeros(len(texts))
+            score = own.scores(texts) if own else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     ids = docs[id_col]
@@ -214,9 +231,10 @@ def keep_harmless(docs: DataFrame, scorer: Scorer | None, threshold: float = 0.7
     at = docs.columns.index(text_col)
 
     def run(frames):
+        own = in_worker(scorer)
         for batch in batches(frames):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            score = scorer.scores(texts) if scorer else np.zeros(len(texts))
+            score = own.scores(texts) if own else np.zeros(len(texts))
             yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)
