@@ -1,12 +1,12 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from tidemark.plans import interval_queries, signal_queries, text_queries
+from tidemark.plans import interval_queries, match_queries, signal_queries, text_queries
 
-_MODULES = (interval_queries, signal_queries, text_queries)
+_MODULES = (interval_queries, signal_queries, text_queries, match_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
 
 def flagship(spark, sf_dir):
-    """Merged activity of each stream."""
-    return interval_queries.interval_merge(spark, sf_dir)
+    """Documents to timed words to subtitle blocks to rendered subtitles."""
+    return match_queries.subtitle_files(spark, sf_dir)
