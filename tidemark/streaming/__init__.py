@@ -1 +1 @@
-"""Package."""
+"""Structured Streaming forms of the interval and job operators."""
