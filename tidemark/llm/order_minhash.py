@@ -7,10 +7,10 @@ texts that share a band are candidates. A candidate pair is a link if aligning t
 sequences inside a diagonal band (as wide as the threshold allows) matches at least ``similarity`` of
 their union. Classes are the connected components of links.
 
-Work is never quadratic in a group: equal word sequences count once; a band's members are compared with its
-smallest id, those that are not linked to it with the smallest of them, and what still is left
-pairwise, behind an agreement test on the 32 sketch values (9 must agree; a pair at similarity 0.8 has
-20 or so, and fewer than 9 about once in 100 000). Texts travel only for pairs that pass it.
+Work is not quadratic in a group: equal word sequences count once; a band's members are compared with its most
+central one, then with the most central one of a random part of the band, and members that still are in different classes
+pairwise. Pairs become rows only if they can reach the threshold: each document has a bitmap of its shingles, a bit that one
+has and the other lacks is a shingle without a match, and so an upper bound of the similarity is known without the texts.
 
 Defined results: null and texts without words have no shingle and are classes of their own; texts of under five words
 have one shingle, all their words; repeated rows share a class; rows with a null id are left out of classes (and
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batches, materialise, text_of
 from tidemark.llm.wordhash import U, mix, rolled, word_hashes
 
-WORDS, SKETCHES, ROWS, AGREE = 5, 32, 2, 9
+WORDS, SKETCHES, ROWS, TURNS, PART, BITS = 5, 32, 2, 2, 8, 12
 _rng = np.random.default_rng(977)
 _XOR = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(U)
 _MUL = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -52,9 +52,8 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return mix(s + occurrence.astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def sketch(s: np.ndarray, block: int = 1 << 19) -> np.ndarray:
-    """The sketch values of a sequence of shingles: for each order, its two smallest in text order."""
-    x = labelled(s)
+def sketch(x: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """The sketch values of labelled shingles: for each order, its two smallest in text order."""
     out = np.empty(SKETCHES, U)
     step = max(1, block // len(x))  # a very long text takes fewer orders at a time
     for at in range(0, SKETCHES, step):
@@ -73,6 +72,13 @@ def sketch(s: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     return out
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """4096 bits, one for each value of the labelled shingles' first 12 bits, as 64-bit numbers."""
+    out = np.zeros(1 << BITS, bool)
+    out[x >> U(64 - BITS)] = True
+    return np.packbits(out, bitorder="little").view("<i8")
+
+
 def bands(values: np.ndarray) -> np.ndarray:
     """One key for each pair of sketches."""
     pairs = values.reshape(-1, ROWS)
@@ -119,44 +125,80 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float = 0.8) -> float:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key of the word sequence, number of shingles, sketch values (32 bits each), bands."""
+    """doc_id, key of the word sequence, number of shingles, their bitmap, bands."""
 
     def run(frames):
         for batch in batches(frames):
-            seq, n, values, keys = [], [], [], []
+            seq, n, bits, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 if not len(s):
-                    seq.append(None), values.append([]), keys.append([])
+                    seq.append(None), bits.append([]), keys.append([])
                     continue
-                v = sketch(s)
+                x = labelled(s)
                 one, two = rolled(s, len(s)), rolled(s, len(s), salt=5)
                 seq.append(one.tobytes() + two.tobytes() + len(s).to_bytes(8, "little"))
-                values.append((v >> U(33)).astype(np.int32))
-                keys.append(bands(v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(values, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "seq", "n_shingles", "sketch", "bands"])
+                bits.append(bitmap(x))
+                keys.append(bands(sketch(x)))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)], ["doc_id", "seq", "n_shingles", "bits", "bands"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, seq binary, n_shingles long, sketch array<int>, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, seq binary, n_shingles long, bits array<long>, bands array<long>")
+
+
+def can_reach(na: str, a: str, nb: str, b: str, at_least: float):
+    """Whether two bitmaps, of ``na`` and ``nb`` shingles, leave enough that may match. Never false for a pair that is similar."""
+
+    def lacking(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+
+    sizes = F.least(F.col(na), F.col(nb)) >= F.greatest(F.col(na), F.col(nb)) * at_least - 1e-6
+    most = F.least(F.col(na) - lacking(a, b), F.col(nb) - lacking(b, a))
+    return sizes & (most * (1 + at_least) >= (F.col(na) + F.col(nb)) * at_least - 1e-6)
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """doc_id, key, n, company of members of bands of n > 1; company is the sum of n over a document's bands."""
+    crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
+    shared = materialise(members.join(crowd, F.col("key") == F.col("k")).select("doc_id", "key", "n"), "omh-shared")
+    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company")).withColumnRenamed("doc_id", "d")
+    return materialise(shared.join(company, F.col("doc_id") == F.col("d")).drop("d"), "omh-shared")
+
+
+def _undecided(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with the root of their class so far, of bands that hold more than one class."""
+    roots = components(found)
+    rooted = shared.drop("root").join(roots, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("id")
+    rooted = materialise(rooted, "omh-rooted")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(F.col("key").alias("k"))
+    return materialise(rooted.join(open_, F.col("key") == F.col("k")).drop("k"), "omh-open")
 
 
-def _agreeing(a: str, b: str):
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _starred(members: DataFrame, turn: int) -> DataFrame:
+    """a, b: members of a band with its most central one, who has the most company (of a text and its altered copies, the
+    text); from the second turn on, within random parts of a band, of another class only."""
+    parts = F.lit(1) if not turn else F.ceil(F.col("n") / PART)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(turn)), parts))
+    center = dealt.groupBy("key", "part").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"), "root")).alias("c"))
+    center = materialise(center.select(F.col("key").alias("k"), F.col("part").alias("p"), (-F.col("c.minus")).alias("a"), F.col("c.root").alias("ra")), "omh-centers")
+    met = dealt.join(center, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("root") != F.col("ra")))
+    return met.select("a", F.col("doc_id").alias("b"))
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs of each band's smallest id with the others: key, a, b, and whether enough sketch values agree."""
-    first = members.groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("least.doc_id").alias("a"), F.col("least.sketch").alias("sa"), "n")
-    joined = members.join(first, (F.col("key") == F.col("k")) & (F.col("doc_id") > F.col("a")))
-    return joined.select("key", "a", F.col("doc_id").alias("b"), "sketch", (_agreeing("sa", "sketch") >= AGREE).alias("close"))
+def _close(pairs: DataFrame, values: DataFrame, at_least: float) -> DataFrame:
+    """The pairs, smaller id first, that can reach the threshold."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda side: values.select(F.col("doc_id").alias(side), F.col("n_shingles").alias("n" + side), F.col("bits").alias("x" + side))
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(can_reach("na", "xa", "nb", "xb", at_least)).select("a", "b")
 
 
 def _with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, text_a, text_b for each pair; texts come from ``docs`` (doc_id, text), one row each id."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "omh-ids")
     small = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -180,19 +222,23 @@ def verified(pairs: DataFrame, at_least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, sketches: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """Verified links a < b between ids that stand for different word sequences. ``docs``: doc_id, text."""
+    """Verified links a < b between ids that stand for different word sequences, enough to connect every class. ``docs``: doc_id, text."""
     stands = sketches.where("n_shingles > 0").groupBy("seq").agg(F.min("doc_id").alias("rep")).select("rep")
-    members = sketches.join(stands, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "sketch", F.explode("bands").alias("key"))
-    found = None
-    for _ in range(2):
-        pairs = materialise(_candidates(members), "omh-pairs")
-        fresh = materialise(verified(_with_texts(docs, pairs.where("close").select("a", "b").distinct()), at_least), "omh-links")
-        found = fresh if found is None else found.unionByName(fresh)
-        members = materialise(pairs.join(fresh, ["a", "b"], "left_anti").select(F.col("b").alias("doc_id"), "sketch", "key"), "omh-rest")
-        if not members.groupBy("key").count().where("count > 1").limit(1).count():
-            return found.distinct()
-    other = members.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("key").alias("k"))
-    close = members.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("doc_id")) & (_agreeing("sa", "sketch") >= AGREE))
+    single = materialise(sketches.join(stands, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).drop("seq"), "omh-single")
+    shared = _shared(single.select("doc_id", F.explode("bands").alias("key")))
+    values = single.join(shared.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", "n_shingles", "bits")
+    values = materialise(values, "omh-values")
+    members, found = shared.withColumn("root", F.col("doc_id")), None
+    for turn in range(TURNS):
+        close = materialise(_close(_starred(members, turn), values, at_least), "omh-pairs")
+        fresh = verified(_with_texts(docs, close), at_least).distinct()
+        found = materialise(fresh if found is None else found.unionByName(fresh).distinct(), "omh-links")
+        members = _undecided(members, found)
+        if not members.limit(1).count():
+            return found
+    valued = members.select("doc_id", "key", "root").join(values.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).drop("d")
+    other = valued.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"), F.col("key").alias("k"), F.col("root").alias("ra"))
+    close = valued.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("doc_id")) & (F.col("ra") != F.col("root")) & can_reach("na", "xa", "n_shingles", "bits", at_least))
     pairs = materialise(close.select("a", F.col("doc_id").alias("b")).distinct(), "omh-pairs")
     return materialise(found.unionByName(verified(_with_texts(docs, pairs), at_least)).distinct(), "omh-links")
 
