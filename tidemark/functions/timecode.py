@@ -45,7 +45,7 @@ def timecode(frames: Column, nominal: int, drop: bool = False) -> Column:
         n = n % ((nominal * 3600 - d * 54) * 24)
         rest = n % ten
         n = n + d * 9 * F.floor(n / ten) + F.when(rest >= d, d * F.floor((rest - d) / one)).otherwise(0)
-    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
+    two = lambda c: F.when(c < 100, F.lpad(c.cast("long").cast("string"), 2, "0")).otherwise(c.cast("long").cast("string"))
     return F.concat(two(F.floor(n / (nominal * 3600))), F.lit(":"), two(F.floor(n / (nominal * 60)) % 60), F.lit(":"), two(F.floor(n / nominal) % 60), F.lit(";" if drop else ":"), two(n % nominal))
 
 
