@@ -174,19 +174,29 @@ def surrogate(e: Column, key: bytes, attempt: Column) -> Column:
     )
 
 
+#: Put around matches to cut a text at them in one pass; a text that has it is cut in two.
+_CUT = "\x01"
+
+
+def cut(text: Column) -> Column:
+    """A text as stretches and entities by turns: odd places (from 0) hold entities."""
+    once = F.split(F.regexp_replace(text, f"({PATTERN})", f"{_CUT}$1{_CUT}"), _CUT, -1)
+    entities = F.concat(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array(F.lit("")))
+    twice = F.flatten(F.zip_with(F.split(text, PATTERN, -1), entities, lambda piece, e: F.array(piece, e)))
+    return F.when(text.contains(_CUT), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(once)
+
+
 def found(text: Column) -> Column:
     """The entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-
+    return F.filter(cut(text), lambda e, i: i % 2 == 1)
 
-def _rewritten(text: Column, key: bytes, attempts: Column | None) -> Column:
-    pieces = F.split(text, PATTERN, -1)
 
-    def one(e: Column, piece: Column) -> Column:
+def _rewritten(parts: Column, key: bytes, attempts: Column | None) -> Column:
+    def one(e: Column, i: Column) -> Column:
         attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, canonical(e)), F.lit(0))
-        return F.concat(surrogate(e, key, attempt), piece)
+        return F.when(i % 2 == 1, surrogate(e, key, attempt)).otherwise(e)
 
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(found(text), F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.array_join(F.transform(parts, one), "")
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame | None:
@@ -214,15 +224,16 @@ def replaced(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", tex
     secret = key.encode()
     text = F.col(text_col)
     redone = collisions(docs, secret, text_col)
-    more = [] if count_col is None else [F.coalesce(F.size(found(text)), F.lit(0)).cast("long").alias(count_col)]
-    keep = lambda attempts: [(_rewritten(text, secret, attempts).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+    more = [] if count_col is None else [F.greatest(F.floor(F.coalesce(F.size("__parts"), F.lit(0)) / 2), F.lit(0)).cast("long").alias(count_col)]
+    keep = lambda attempts: [(_rewritten(F.col("__parts"), secret, attempts).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+    parted = docs.withColumn("__parts", cut(text))
     if redone is None:
-        return docs.select(*keep(None), *more)
+        return parted.select(*keep(None), *more)
     redone = materialise(redone, "pii-redone")
     held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.transform(found(text), canonical))).alias("__e"))
     few = redone.limit(small + 1).count() <= small
     held = held.join(F.broadcast(redone) if few else redone, F.col("__e") == F.col("entity"))
     held = materialise(held.groupBy("__id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__attempts")), "pii-documents")
     few = held.limit(small + 1).count() <= small
-    joined = docs.join(F.broadcast(held) if few else held, F.col(id_col) == F.col("__id"), "left")
+    joined = parted.join(F.broadcast(held) if few else held, F.col(id_col) == F.col("__id"), "left")
     return joined.select(*keep(F.coalesce(F.col("__attempts"), F.create_map().cast("map<string,int>"))), *more)
