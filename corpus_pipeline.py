@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences, in five stages.
 
-Each stage takes what its predecessor kept, as a table that was written and read again. All but
-the last return the columns of ``documents``. A stage of a run on an empty table returns an empty table.
+Each stage takes what its predecessor kept, as a table that was written and read again. All but the last return the columns of
+``documents``, others that the table has included. Nulls, empty texts and repeated rows are treated as each operator's docstring
+says; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, order_minhash, packing, pii_surrogates, toxicity
 from tidemark.llm.common import materialise, table
 
-#: The text of a stage changes in one stage alone, and its length column with it.
+#: Documents that score as high are rejected.
 THRESHOLD = 0.7
 
 

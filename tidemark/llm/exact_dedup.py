@@ -32,11 +32,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     )
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``keep`` is "min" (the smallest stable id stays, the default of the operator's
-    general form elsewhere) or "max". Groups of one never meet a join partner.
+    ``keep`` is "min" (the smallest stable id stays) or "max". Groups of one never meet a join partner.
     """
     pick = F.max if keep == "max" else F.min
     keyed = _keyed(docs, id_col, text_col)
