@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from tidemark.plans import interval_queries, match_queries, signal_queries, text_queries
+from tidemark.plans import interval_queries, match_queries, record_queries, signal_queries, text_queries
 
-_MODULES = (interval_queries, signal_queries, text_queries, match_queries)
+_MODULES = (interval_queries, signal_queries, text_queries, match_queries, record_queries)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
