@@ -121,7 +121,7 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_c
     listed = materialise(several.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("k").alias("listed")), "listed-blocks")
     windows = materialise(_windows(_touched(docs, listed), window), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    twice = twice.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "least")
+    twice = materialise(twice.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "least"), "twice")  # read again, its join can be split
     single = windows.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")) & (F.col("doc_id") > F.col("least"))).select("doc_id", F.col("at").alias("i"))
     marks = owned.select("doc_id", F.col("k").cast("long").alias("k"), F.lit(None).cast("long").alias("i")).unionByName(single.select("doc_id", F.lit(None).cast("long").alias("k"), "i"))
     marks = materialise(marks.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("k").alias("whole"), F.collect_set("i").alias("single")), "marks")
