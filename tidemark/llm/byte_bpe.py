@@ -15,7 +15,6 @@ special tokens do not exist; other columns are ignored; ids of any length of tex
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.chunk_tokens import IRREGULAR, ChunkCache
-from tidemark.llm.common import batches, text_of
+from tidemark.llm.common import batches, held, text_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -34,7 +33,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class ByteBpe:
     """Encoder and decoder over a file of ranks."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, memo: int = 1_000_000):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, memo: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
@@ -130,7 +129,7 @@ class TextEncoder:
     def _piece(self, piece: str) -> str:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) > 300_000:
+            if len(self.pieces) > 150_000:
                 self.pieces.clear()
             found = self.pieces[piece] = " ".join(map(str, self.bpe.encode_piece(piece.encode())))
         return found
@@ -154,10 +153,9 @@ class TextEncoder:
         return b"".join(map(self.by_name.__getitem__, joined.split(" "))) if joined else b""
 
 
-@functools.lru_cache(2)
 def text_encoder(ranks: str) -> TextEncoder:
-    """One encoder for each Python worker: its caches outlive a task."""
-    return TextEncoder(public_tokenizers.path(ranks))
+    """The worker's encoder: its caches outlive a task."""
+    return held(("byte_bpe", ranks), lambda: TextEncoder(public_tokenizers.path(ranks)))
 
 
 def digests(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ IRREGULAR = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]| \n|\n |^\s|\s$")
 class ChunkCache:
     """chunk -> value, filled by ``encode`` for the chunks that are missing."""
 
-    def __init__(self, encode: Callable[[list[str]], list], bound: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list], bound: int = 300_000):
         self.encode, self.bound, self.known = encode, bound, {}
 
     def fill(self, rows: list[list[str]]) -> Callable:

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SERIAL = itertools.count()
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks. It keeps one thing: another key takes the first one's place and memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Hand memory that is free again to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session says otherwise than Spark's default of 10 000: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,13 +63,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by a table written to the shared folder; lost executors lose nothing."""
+    short_batches(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches(frames: Iterator, rows: int = 0, chars: int = 4_000_000) -> Iterator:
-    """Cut Arrow record batches so that one piece holds about ``chars`` bytes of its largest column.
+def batches(frames: Iterator, chars: int = 1_500_000) -> Iterator:
+    """Cut Arrow record batches so that one piece holds about ``chars`` bytes.
 
     A single longer row is a piece of its own: texts are never cut here.
     """
@@ -50,3 +80,4 @@ def batches(frames: Iterator, rows: int = 0, chars: int = 4_000_000) -> Iterator
         step = max(1, min(n, n * chars // size)) if n else 1
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    give_back()

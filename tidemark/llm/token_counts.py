@@ -15,7 +15,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
-import functools
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,15 +22,18 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, text_of
+from tidemark.llm.common import batches, held, text_of
 
 KEYS = ("source", "lang", "tokenizer_version")
 MEASURES = ("n_docs", "n_tokens", "n_chars")
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_chars long"
 
 
-@functools.lru_cache(4)
 def _encoding(name: str) -> tiktoken.Encoding:
+    return held(("tiktoken", name), lambda: _loaded(name))
+
+
+def _loaded(name: str) -> tiktoken.Encoding:
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
-from tidemark.llm.common import batches, text_of
+from tidemark.llm.common import batches, held, text_of
 
 SIZE, STRIDE = 32, 16
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>«»“”„…-–_~"
@@ -67,7 +67,7 @@ class Types:
 class Scorer:
     """A trained network, applied to texts."""
 
-    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 500_000):
+    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 200_000):
         self.p, self.vocabulary, self.scale, self.bound = p, vocabulary, scale, bound
         self._renew()
 
@@ -88,7 +88,7 @@ class Scorer:
             x = gru.inputs(self.p, *self.types.inputs(new))
             if len(self.gx["f"]) < new.stop:
                 for d in "fb":
-                    grown = np.zeros((max(1024, 2 * new.stop), self.gx[d].shape[1]), gru.F32)
+                    grown = np.zeros((max(1024, new.stop * 5 // 4), self.gx[d].shape[1]), gru.F32)
                     grown[: self.done] = self.gx[d][: self.done]
                     self.gx[d] = grown
             for d in "fb":
@@ -122,18 +122,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500)))
 
 
-_kept: dict[bytes, Scorer] = {}
-
-
 def in_worker(scorer: Scorer | None) -> Scorer | None:
     """The worker's own copy of a scorer: what it knows of words outlives a task."""
     if scorer is None:
         return None
     key = hashlib.sha256(b"".join(scorer.p[k].tobytes() for k in sorted(scorer.p)) + repr(scorer.scale).encode()).digest()
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = scorer
-    return _kept[key]
+    return held(("toxicity", key), lambda: scorer)
 
 
 def _summary(top: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:

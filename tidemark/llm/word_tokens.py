@@ -7,7 +7,6 @@ cache lacks, and a text with any other white space goes to the library whole.
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
@@ -15,6 +14,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tidemark.llm.chunk_tokens import ChunkCache
+from tidemark.llm.common import held
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel unit
 
@@ -56,7 +56,6 @@ class WordTokens:
         return [np.frombuffer(b"".join(map(get, row)) if row is not None else self._chunks([text])[0], np.uint32) for text, row in zip(texts, cut)]
 
 
-@functools.lru_cache(2)
 def word_tokens(name: str) -> WordTokens:
-    """One for each Python worker: its cache outlives a task."""
-    return WordTokens(public_tokenizers.path(name))
+    """The worker's tokens: their cache outlives a task."""
+    return held(("word_tokens", name), lambda: WordTokens(public_tokenizers.path(name)))
