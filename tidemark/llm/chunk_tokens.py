@@ -1,8 +1,7 @@
 """Token streams of whole texts, by way of a bounded cache of space-separated chunks.
 
 A tokenizer that never merges across a single space between two visible characters can be run
-chunk by chunk. ``ChunkCache`` keeps what a chunk encodes to; it is emptied when it
-reaches its bound, which changes speed and never results.
+chunk by chunk. ``ChunkCache`` keeps what a chunk encodes to; its bound changes speed and never results.
 """
 
 from __future__ import annotations
@@ -15,17 +14,22 @@ IRREGULAR = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]| \n|\n |^\s|\s$")
 
 
 class ChunkCache:
-    """chunk -> value, filled by ``encode`` for the chunks that are missing."""
+    """chunk -> value, filled by ``encode`` for the chunks that are missing. Two generations: at its bound the present one
+    becomes the one before, from which chunks that come again are taken over; the one before that is dropped."""
 
-    def __init__(self, encode: Callable[[list[str]], list], bound: int = 300_000):
-        self.encode, self.bound, self.known = encode, bound, {}
+    def __init__(self, encode: Callable[[list[str]], list], bound: int = 330_000):
+        self.encode, self.bound, self.known, self.before = encode, bound, {}, {}
 
     def fill(self, rows: list[list[str]]) -> Callable:
         """Make all chunks of ``rows`` known; returns the look-up."""
         chunks = set().union(*rows)
-        new = list(chunks.difference(self.known))
+        new = chunks.difference(self.known)
         if len(self.known) + len(new) > self.bound:
-            self.known, new = {}, list(chunks)
-        if new:
-            self.known.update(zip(new, self.encode(new)))
+            self.before, self.known, new = self.known, {}, chunks
+        before = self.before
+        again = {c: before[c] for c in new if c in before}
+        self.known.update(again)
+        missing = [c for c in new if c not in again]
+        if missing:
+            self.known.update(zip(missing, self.encode(missing)))
         return self.known.__getitem__

@@ -23,16 +23,25 @@ _LATIN = bytes(range(256)).decode("latin-1")
 _NO_MARK = bytes(i for i, c in enumerate(_LATIN) if c.isalnum() or c in " \n")
 
 
-def _fewer_forms(text: str) -> str:
-    """The same ids from fewer different chunks: Latin-1 text in lower case, commas and stops apart from words."""
+#: White space of Latin-1 beside these two, for Python or for the library.
+_OTHER_WHITE = frozenset(b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
+
+
+def _chunks_of(text: str) -> list[str] | None:
+    """The chunks of a text between spaces and newlines, in fewer different forms that have the same ids: Latin-1 text
+    in lower case, commas and stops apart from words. None if there is other white space."""
     try:
         marks = text.encode("latin-1").translate(None, _NO_MARK)
     except UnicodeEncodeError:
-        return text
+        row = text.split()
+        return row if len(text) - sum(map(len, row)) == text.count(" ") + text.count("\n") else None
     text = text.lower()
-    if not marks.strip(b",.") and not any(x in text for x in ("..", ".,", ",.", ",,")):
-        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-    return text
+    if marks:
+        if not _OTHER_WHITE.isdisjoint(marks):
+            return None
+        if not marks.strip(b",.") and not any(x in text for x in ("..", ".,", ",.", ",,")):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+    return text.split()
 
 
 class WordTokens:
@@ -46,12 +55,7 @@ class WordTokens:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, unsigned 32-bit."""
-        cut = []
-        for text in texts:
-            plain = _fewer_forms(text)
-            row = plain.split()
-            # Cut at other white space than these two, a text is longer than its chunks by more than their number.
-            cut.append(row if len(plain) - len("".join(row)) == plain.count(" ") + plain.count("\n") else None)
+        cut = list(map(_chunks_of, texts))
         get = self.chunks.fill([row for row in cut if row])
         return [np.frombuffer(b"".join(map(get, row)) if row is not None else self._chunks([text])[0], np.uint32) for text, row in zip(texts, cut)]
 
