@@ -120,6 +120,42 @@ def test_packing_is_whole_and_tight(spark, sf):
     assert padding == 0
 
 
+def test_packing_closes_windows_of_every_tier():
+    rng = random.Random(4)
+    packer, lengths = packing.Packer(hold=64), [int(4096 ** rng.random()) for _ in range(3000)] + [9000]
+    for doc, n in enumerate(lengths):
+        packer.add(doc, np.arange(n, dtype=np.uint32))
+    packer.finish()
+    sequences, seen = {}, Counter()
+    for doc, start, ids, total, number, offset, tier, _ in packer.out:
+        assert ids.tolist() == list(range(start, start + len(ids))) and total == lengths[doc]
+        sequences.setdefault((number, tier), []).append((offset, len(ids)))
+        seen[doc] += len(ids)
+    assert seen == dict(enumerate(lengths))
+    closed = Counter(tier for _, tier in sequences)
+    assert all(closed[t] > 20 for t in packing.TIERS) and all(closed[t] <= 1 for t in closed if t < 512), closed
+    for (_, tier), pieces in sequences.items():
+        assert sum(n for _, n in pieces) == tier
+        assert tier < 1024 or min(pieces)[1] > tier // 2 or min(pieces)[1] == tier
+
+
+def test_packing_step_groups_are_of_one_tier_and_balanced(spark):
+    rng = random.Random(6)
+    df = docs(spark, [(i, "the cat sat on " * int(18 ** rng.random())) for i in range(1500)]).repartition(3)
+    rows = packing.packed(df, tiers=(8, 16, 32, 64), group_tokens=256).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.step_group, set()).add((r.tier, r.sequence_id))
+    sizes = {}
+    for members in groups.values():
+        (tier,) = {t for t, _ in members}
+        assert len(members) * tier <= 256
+        sizes.setdefault(tier, []).append(len(members))
+    assert {8, 16, 32, 64} <= set(sizes)
+    for tier, n in sizes.items():
+        assert max(n) - min(n) <= 1 and len(n) == -(-sum(n) // (256 // tier))
+
+
 def test_packing_edges(spark):
     got = packing.packed(clashing(spark, docs(spark, [(1, None), (1, ""), (None, "a")])), with_ids=True).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 2), (1, 1), (1, 1)] and packing.packed(docs(spark, [])).count() == 0
