@@ -280,6 +280,36 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(flat)) == 10 and out[9][0] == out[1][0]
 
 
+def test_pii_families_and_numbers_are_drawn_again_as_one(spark, monkeypatch):
+    real = pii_surrogates._hmac
+
+    def same(key, label, message, attempt):  # the first draw of families and numbers is one for all
+        return F.when((attempt == 0) & F.lit(label in ("family", "any")), F.lit("0" * 64)).otherwise(real(key, label, message, attempt))
+
+    monkeypatch.setattr(pii_surrogates, "_hmac", same)
+    rows = [
+        (1, "Ms Smith|Anna Smith|Dr. Karl Smith|Alice Smith"), (2, "Ms Jones|Anna Jones|Mr Jones"), (3, "Mr Brown|Emma Brown"),
+        (4, "+1 (499) 555-6503|+1 499 555 6503|+14995556503"), (5, "+1 (498) 555-6503|+1 498 555 6503"),
+        (6, "4111 1111 1111 1111|4111-1111-1111-1111|4111111111111111"), (7, "4012 8888 8888 1881|4012888888881881"),
+        (8, "DE89 3704 0044 0532 0130 00|DE89370400440532013000"),
+    ]
+    out = {r.doc_id: r.text.split("|") for r in pii_surrogates.replaced(docs(spark, rows)).collect()}
+    families = [{x.split(" ")[-1] for x in out[i]} for i in (1, 2, 3)]
+    assert all(len(f) == 1 for f in families) and len(set.union(*families)) == 3
+    assert len(set(out[1])) == 4 and out[1][1].split()[0] == out[2][1].split()[0]
+    numbers = [{"".join(c for c in x if c.isalnum()) for x in out[i]} for i in range(4, 9)]
+    assert all(len(n) == 1 for n in numbers) and len(set.union(*numbers)) == 5
+    for i, text in rows:
+        if i > 3:
+            assert ["".join(" " if c.isalnum() else c for c in x) for x in out[i]] == ["".join(" " if c.isalnum() else c for c in x) for x in text.split("|")]
+    assert all(x.startswith("+1") for x in out[4] + out[5]) and all(x.startswith("DE") for x in out[8])
+
+
+def test_pii_given_names_keep_apart():
+    names = [set(n.split()) for n in pii_surrogates.GIVEN.values()]
+    assert sum(map(len, names)) == len(set.union(*names))
+
+
 def test_pii_has_no_python(spark, sf):
     df = pii_surrogates.replaced(spark.read.parquet(f"{sf}/documents.parquet"))
     plan = df._jdf.queryExecution().toString()

@@ -8,13 +8,16 @@ punctuation and length keep their places. By kind:
 * phone: country code kept, other digits drawn; IPv4: four octets drawn;
 * card-like number: first digit kept, the rest drawn; a number that passes the Luhn test gets one that does;
 * IBAN, social security number: country letters kept, the rest by shape; key, token or password: name kept, value by shape;
-* person: titles kept; a given name becomes one of the same gender (the list or the title tells) and script, a family
-  name becomes syllables of the same script, and each word of a name is drawn by itself, so "Ms Smith" and
-  "Anna Smith" stay one family.
+* person: titles kept; a given name becomes another of the same gender and script (its list tells; the lists are put in a keyed
+  order, so two names never become one), a family name becomes syllables of the same script, and each word of a name is
+  drawn by itself, so "Ms Smith" and "Anna Smith" stay one family.
 
-Distinctness is checked over the whole corpus: entities whose replacement equals another's, or is itself an entity of the
-corpus, are drawn again (next attempt, which also lengthens emails and names) until none is left. Only the entities that needed it
-are joined back, to the documents that hold them; the others are recomputed in place.
+A card, phone or IBAN is drawn from the number without separators and laid into each spelling of it.
+
+Distinctness is checked over the whole corpus for what is drawn (``canonical``): family names, numbers without separators, emails,
+values. Those whose replacement equals another's, or is itself one of the corpus, are drawn again (next attempt, which also lengthens
+emails and names) until none is left, and every entity that holds one gets its attempt. Only these are joined back, to the documents
+that hold them; the others are recomputed in place.
 
 Defined results: a null text stays null, an empty one empty; a text without entities is unchanged; repeated rows are changed
 alike; a row with a null id is changed too, at attempt 0; an empty table gives none; other columns are kept.
@@ -23,6 +26,7 @@ alike; a row with a null id is changed too, at attempt 0; an empty table gives n
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,12 +101,24 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(one, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
-def _card(e: Column, stream: Column) -> Column:
-    drawn = F.concat(F.substring(e, 1, 1), F.substring(_shaped(e, stream), F.lit(2), F.length(e)))
-    bare, drawn_bare = F.regexp_replace(e, "[^0-9]", ""), F.regexp_replace(drawn, "[^0-9]", "")
-    last = F.substring(drawn, F.length(e), F.lit(1)).cast("int")
-    fixed = F.concat(F.substring(drawn, F.lit(1), F.length(e) - 1), ((last + 10 - _luhn(drawn_bare)) % 10).cast("string"))
-    return F.when(_luhn(bare) == 0, fixed).otherwise(drawn)
+#: Calling codes have one to three digits, which the digits alone tell.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
+def _bare(e: Column) -> Column:
+    return F.regexp_replace(e, "[ .()-]", "")
+
+
+def _numbered(e: Column, kind: Column, stream: Column) -> Column:
+    """A card, phone or IBAN: drawn without separators, then laid into the spelling."""
+    bare = _bare(e)
+    head = F.when(kind == "card", F.substring(bare, 1, 1)).when(kind == "iban", F.substring(bare, 1, 2)).otherwise(F.regexp_extract(bare, _COUNTRY, 0))
+    drawn = F.concat(head, F.substring(_shaped(bare, stream), F.length(head) + 1, F.length(bare)))
+    last = F.substring(drawn, F.length(drawn), F.lit(1)).cast("int")
+    fixed = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), ((last + 10 - _luhn(drawn)) % 10).cast("string"))
+    out = F.regexp_replace(F.when((kind == "card") & (_luhn(bare) == 0), fixed).otherwise(drawn), r"^\+", "")
+    at = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
+    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(out, at(i), F.lit(1))).otherwise(c)), "")
 
 
 def _email(e: Column, key: bytes, attempt: Column) -> Column:
@@ -113,30 +129,31 @@ def _email(e: Column, key: bytes, attempt: Column) -> Column:
     return F.concat(_shaped(local, stream), grown, F.lit("@"), _shaped(domain, _hmac(key, "domain", domain, F.lit(0))), F.regexp_extract(low, "\\.[^.]*$", 0))
 
 
-def _pick(names: str, hexes: Column) -> Column:
-    array = F.array(*map(F.lit, names.split()))
-    return F.element_at(array, (_number(hexes, 1, 6) % F.size(array) + 1).cast("int"))
+def _given(w: Column, key: bytes) -> Column:
+    """The next given name in the keyed order of its list."""
+    pairs = []
+    for names in GIVEN.values():
+        order = sorted(names.split(), key=lambda name: hmac.new(key, f"given:{name}".encode(), hashlib.sha256).digest())
+        pairs += [F.lit(x) for pair in zip(order, order[1:] + order[:1]) for x in pair]
+    return F.element_at(F.create_map(*pairs), w)
 
 
 def _person(e: Column, key: bytes, attempt: Column) -> Column:
     words = F.split(e, " ")
     bare = lambda w: F.regexp_replace(w, "\\.$", "")
-    female = e.rlike(rf"^(?:{'|'.join(TITLES['f'].split())})\b") | e.rlike(rf"(?:^| )(?:{'|'.join((GIVEN['latin', 'f'] + ' ' + GIVEN['cyrillic', 'f']).split())}) ")
     n = F.size(words)
 
     def word(w: Column, i: Column) -> Column:
         title = bare(w).rlike(f"^(?:{_TITLE})$") & (i == 0)
         given = w.rlike(f"^(?:{_GIVEN})$") & (i < n - 1)
         cyrillic = w.rlike(r"^\p{IsCyrillic}")
-        hexes = _hmac(key, "name", F.lower(w), F.lit(0))
-        first = F.when(cyrillic & female, _pick(GIVEN["cyrillic", "f"], hexes)).when(cyrillic, _pick(GIVEN["cyrillic", "m"], hexes)).when(female, _pick(GIVEN["latin", "f"], hexes)).otherwise(_pick(GIVEN["latin", "m"], hexes))
         own = _hmac(key, "family", F.lower(w), attempt)
 
         def syllables(script: str) -> Column:
             parts = F.array(*map(F.lit, SYLLABLES[script]))
             return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda k: F.element_at(parts, (F.conv(F.substring(own, k, F.lit(1)), 16, 10).cast("int") + 1))), ""))
 
-        return F.when(title, w).when(given, first).when(cyrillic, syllables("cyrillic")).otherwise(syllables("latin"))
+        return F.when(title, w).when(given, _given(w, key)).when(cyrillic, syllables("cyrillic")).otherwise(syllables("latin"))
 
     return F.array_join(F.transform(words, word), " ")
 
@@ -150,25 +167,37 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("other")
 
 
+def _head(e: Column) -> Column:
+    return F.regexp_extract(e, r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?", 0)
+
+
+def _drawn(kind: Column, e: Column) -> Column:
+    """What a replacement of this kind is drawn for, and by which it is told apart."""
+    return (
+        F.when(kind == "email", F.lower(e))
+        .when(kind == "person", F.concat(F.lit("family:"), F.lower(F.element_at(F.split(e, " "), -1))))
+        .when(kind.isin("card", "phone", "iban"), F.concat(F.lit("number:"), _bare(e)))
+        .when(kind == "ip", e)
+        .otherwise(F.concat(F.lit("value:"), F.regexp_replace(F.substring(e, F.length(_head(e)) + 1, F.length(e)), "[\"']$", "")))
+    )
+
+
 def canonical(e: Column) -> Column:
-    """What two spellings of one entity share."""
-    return F.when(e.contains("@"), F.lower(e)).otherwise(e)
+    """One text for all entities that are drawn alike: those of a family, and the spellings of an email, number or value."""
+    return _drawn(kind_of(e), e)
 
 
 def surrogate(e: Column, key: bytes, attempt: Column) -> Column:
     """The replacement of one entity."""
     kind = kind_of(e)
-    stream = _hmac(key, "any", e, attempt)
-    head = F.regexp_extract(e, r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?", 0)
+    stream = _hmac(key, "any", F.when(kind.isin("card", "phone", "iban"), _bare(e)).otherwise(e), attempt)
+    head = _head(e)
     value = F.substring(e, F.length(head) + 1, F.length(e))
-    country = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])|^[A-Z]{2}", 0)
-    rest = F.substring(e, F.length(country) + 1, F.length(e))
     octets = F.concat_ws(".", (_number(stream, 1, 4) % 223 + 1).cast("string"), *[(_number(stream, 5 + 2 * i, 2)).cast("string") for i in range(3)])
     return (
         F.when(kind == "email", _email(e, key, attempt))
         .when(kind == "ip", octets)
-        .when(kind == "card", _card(e, stream))
-        .when(kind.isin("phone", "iban"), F.concat(country, _shaped(rest, stream)))
+        .when(kind.isin("card", "phone", "iban"), _numbered(e, kind, stream))
         .when(kind == "person", _person(e, key, attempt))
         .otherwise(F.concat(head, _shaped(value, _hmac(key, "value", F.regexp_replace(value, "[\"']$", ""), attempt))))
     )
@@ -200,19 +229,20 @@ def _rewritten(parts: Column, key: bytes, attempts: Column | None) -> Column:
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame | None:
-    """entity, attempt of those that attempt 0 does not keep apart; None if there are none. Loops until all are distinct."""
-    spelt = docs.select(F.explode(found(F.col(text_col))).alias("e")).select(canonical(F.col("e")).alias("entity")).distinct()
-    tried = materialise(spelt.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), key, F.lit(0)).alias("out")), "pii-entities")
+    """entity (in canonical form), attempt of those that attempt 0 does not keep apart; None if there are none. Loops until all are distinct."""
+    spelt = docs.select(F.explode(found(F.col(text_col))).alias("e")).distinct().groupBy(canonical(F.col("e")).alias("entity")).agg(F.min("e").alias("e"))
+    drawn = lambda attempt: ["entity", "e", F.lit(attempt).alias("attempt"), _drawn(kind_of(F.col("e")), surrogate(F.col("e"), key, F.lit(attempt))).alias("out")]
+    tried = materialise(spelt.select(*drawn(0)), "pii-entities")
     names = tried.select(F.col("entity").alias("real"))
     settled, again = tried, None
     for attempt in range(1, 64):
         shared = settled.groupBy("out").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("out").alias("o"), F.col("first.entity").alias("keeper"))
-        clash = settled.join(shared, (F.col("out") == F.col("o")) & (F.col("entity") != F.col("keeper"))).select("entity")
-        real = settled.join(names, F.col("out") == F.col("real"), "left_semi").select("entity")
+        clash = settled.join(shared, (F.col("out") == F.col("o")) & (F.col("entity") != F.col("keeper"))).select("entity", "e")
+        real = settled.join(names, F.col("out") == F.col("real"), "left_semi").select("entity", "e")
         bad = materialise(clash.unionByName(real).distinct(), "pii-again")
         if not bad.limit(1).count():
             return again
-        redrawn = materialise(bad.select("entity", F.lit(attempt).alias("attempt"), surrogate(F.col("entity"), key, F.lit(attempt)).alias("out")), "pii-entities")
+        redrawn = materialise(bad.select(*drawn(attempt)), "pii-entities")
         redone = redrawn.select(F.col("entity").alias("done"))
         settled = settled.join(redone, F.col("entity") == F.col("done"), "left_anti").unionByName(redrawn)
         again = settled.where("attempt > 0").select("entity", "attempt")
