@@ -155,3 +155,23 @@ def test_stabilized_and_faults(spark):
     got = sorted(map(tuple, match.stabilized(frame(spark, [(1, 0, 0, 10), (1, 1, 6, 20)])).collect()))
     assert got == [(1, 0, 0.0, 8.0), (1, 1, 8.0, 20.0)]
     assert match.first_fault(frame(spark, [(1, 0, 5, 9), (1, 1, 4, 10)]), 0, 100).first().error == "NON_MONOTONIC_TIME:1"
+
+
+def test_best_valley_equals_brute_force_at_every_frame(spark, sf):
+    from tidemark.plans.record_queries import best_valley
+    from tidemark.sources.frames import signal as frames
+
+    track = signal.smooth_centered(frames(spark, sf), 5).withColumn("smooth", F.round("smooth", 6))
+    found = {}
+    for v in signal.valleys(track, 0.3, 2).selectExpr("stream", "center", "end - start AS width", "round(mean, 6) AS mean", "round(p95, 6) AS p95").collect():
+        found.setdefault(v.stream, []).append(v)
+    want = {}
+    for f in frames(spark, sf).collect():
+        a = f.frame
+        cost = lambda v: round(0.65 * abs(v.center - (a + 45)) / 45 + 0.2 * v.mean + 0.1 * v.p95 - 0.05 * min(1.0, v.width), 9)  # noqa: E731, B023
+        near = [(v.center > a + 60, cost(v), v.center) for v in found.get(f.stream, []) if a + 15 <= v.center <= a + 90]
+        if near:
+            want[f.stream, a] = min(near)[2]
+    rows = best_valley(spark, sf).collect()
+    assert {(r.stream, r.ask): r.center for r in rows} == want and len(rows) == len(want)
+    assert any(a % 50 for _, a in want)

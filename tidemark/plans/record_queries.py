@@ -32,9 +32,10 @@ def same_occurrence(spark, d):
 
 
 def best_valley(spark, d):
+    """The best valley for a window that begins at each frame of the signal."""
     track = sg.smooth_centered(signal(spark, d), 5).withColumn("smooth", F.round("smooth", 6))
     found = sg.valleys(track, 0.3, 2).selectExpr("stream", "center", "end - start AS width", "round(mean, 6) AS mean", "round(p95, 6) AS p95")
-    asks = signal(spark, d).where("frame % 50 = 0").select("stream", F.col("frame").alias("ask"), (F.col("frame") + 15).alias("low"), (F.col("frame") + 60).alias("soft"), (F.col("frame") + 90).alias("up"), (F.col("frame") + 45).alias("target"))
+    asks = signal(spark, d).select("stream", F.col("frame").alias("ask"), (F.col("frame") + 15).alias("low"), (F.col("frame") + 60).alias("soft"), (F.col("frame") + 90).alias("up"), (F.col("frame") + 45).alias("target"))
     return ops.best_valley(asks, found, 64)
 
 
