@@ -175,3 +175,11 @@ def test_best_valley_equals_brute_force_at_every_frame(spark, sf):
     rows = best_valley(spark, sf).collect()
     assert {(r.stream, r.ask): r.center for r in rows} == want and len(rows) == len(want)
     assert any(a % 50 for _, a in want)
+
+
+def test_job_candidates_go_on_after_the_queue(spark, sf):
+    from tidemark.plans.text_queries import job_candidates, job_queue
+
+    rows = sorted(job_candidates(spark, sf).collect(), key=lambda r: r.rank)
+    assert len(rows) > 50 and [r.rank for r in rows] == list(range(1, len(rows) + 1))
+    assert [r.job for r in rows[:50]] == [r.job for r in job_queue(spark, sf).collect()]

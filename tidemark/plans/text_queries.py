@@ -159,17 +159,30 @@ def retention(spark, d):
     return joined.select("job", F.when(old, "expired").when(F.col("kept").isNotNull(), "kept").otherwise("over_limit").alias("action"))
 
 
-def job_queue(spark, d):
-    """The 50 oldest open jobs of customers that have no running one."""
+def _open_jobs(spark, d):
+    """Open jobs of customers that have no running one."""
     o = table(spark, d, "orders")
     busy = o.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_custkey")
-    return o.where("o_orderstatus = 'O'").join(busy, "o_custkey", "left_anti").orderBy("o_orderdate", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("job"))
+    return o.where("o_orderstatus = 'O'").join(busy, "o_custkey", "left_anti")
+
+
+def job_queue(spark, d):
+    """The 50 oldest open jobs, as its SQL says; ``job_candidates`` has all."""
+    return _open_jobs(spark, d).orderBy("o_orderdate", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("job"))
+
+
+def job_candidates(spark, d):
+    """All open jobs with their rank from the oldest: the rank within a day, after the jobs of earlier days."""
+    jobs = _open_jobs(spark, d).select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("job"))
+    earlier = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # one row for each day
+    days = jobs.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return jobs.join(days, "day").select("job", (F.col("before") + F.row_number().over(W.partitionBy("day").orderBy("job"))).alias("rank"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (visible_punctuation, closing_collapse, trim_punctuation, ends_with_class, lexical_words, lexical_edges, parse_lines, abnormal_text, repeated_suffix, normalize_text, display_units, find_count, replace_all, join_tokens, redact, url_encode, humanize_bytes, version_compare, sha256_fingerprint)
-    + (srt_timestamp, srt_render, timecode, trusted_language, previous_tail, asr_outcome, response_parse, retention, job_queue)
+    + (srt_timestamp, srt_render, timecode, trusted_language, previous_tail, asr_outcome, response_parse, retention, job_queue, job_candidates)
 }
 
 _WORD = tx.WORD.replace("'", "''")
@@ -239,4 +252,5 @@ ORACLE = {
     "retention": """WITH a AS (SELECT o_orderkey AS job, o_orderstatus AS state, date_diff('day', cast(o_orderdate AS date), date '2001-09-01') AS age FROM orders), b AS (SELECT *, age >= CASE WHEN state = 'F' THEN 300 ELSE 900 END AS old FROM a),
       c AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY age, job) AS rank FROM b) SELECT job, CASE WHEN old THEN 'expired' WHEN rank <= 100 THEN 'kept' ELSE 'over_limit' END AS action FROM c""",
     "job_queue": "SELECT o_orderkey AS job FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderstatus = 'P' AND b.o_orderpriority = '1-URGENT' AND b.o_custkey = o.o_custkey) ORDER BY o_orderdate, o_orderkey LIMIT 50",
+    "job_candidates": "SELECT o_orderkey AS job, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderstatus = 'P' AND b.o_orderpriority = '1-URGENT' AND b.o_custkey = o.o_custkey)",
 }
