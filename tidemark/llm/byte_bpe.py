@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.chunk_tokens import IRREGULAR, ChunkCache
+from tidemark.llm.chunk_tokens import ChunkCache, regular
 from tidemark.llm.common import batches, held, text_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -33,20 +33,24 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class ByteBpe:
     """Encoder and decoder over a file of ranks."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, memo: int = 300_000):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, memo: int = 600_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern)
         self.latin = {t.decode("latin-1"): r for t, r in self.ranks.items()}
         self.length = {r: len(t) for t, r in self.ranks.items()}
-        reverse = ahocorasick.Automaton()  # tokens reversed: matches that end at a place are tokens that start there
+        self.trie = ahocorasick.Automaton()
         for text, rank in self.latin.items():
-            reverse.add_word(text[::-1], rank)
-        reverse.make_automaton()
-        self.starts = reverse
+            self.trie.add_word(text, rank)
+        self.most = max(map(len, self.latin))
+        self.within: dict[str, int] = {}  # every beginning of a token -> the longest token that it begins with, or -1
+        for text in sorted(self.latin, key=len):
+            for n in range(1, len(text) + 1):
+                if text[:n] not in self.within:
+                    self.within[text[:n]] = self.latin.get(text[:n], self.within.get(text[: n - 1], -1))
         self.shorter: dict[int, int] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.memo = memo
 
     def _next_shorter(self, token: int) -> int:
@@ -68,13 +72,11 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _fits(self, left: int, right: int) -> bool:
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) >= self.memo:
-                self.compatible.clear()
-            known = self._merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.compatible[left, right] = known
+    def _decide(self, left: int, right: int) -> bool:
+        if len(self.compatible) >= self.memo:
+            self.compatible.clear()
+        known = self._merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        self.compatible[left << 24 | right] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -82,31 +84,36 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, text = len(piece), piece.decode("latin-1")
-        longest = [0] * n
-        for end, rank in self.starts.iter(text[::-1]):  # ascending by length at one end: the last is the longest
-            at = n - 1 - end
-            if not longest[at] or self.length[rank] > self.length[longest[at] - 1]:
-                longest[at] = rank + 1
+        n, text, most = len(piece), piece.decode("latin-1"), self.most
+        prefix, within, length, compatible, shorter = self.trie.longest_prefix, self.within, self.length, self.compatible.get, self.shorter.get
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0] - 1
+        dead: set[int] = set()
+        at, last = 0, -1
+        token = within.get(text[: prefix(text[:most])], -1)
         while at < n:
             while token >= 0:
-                after = at + self.length[token]
-                if not dead[after] and (not out or self._fits(out[-1], token)):
-                    break
-                token = self._next_shorter(token)
+                after = at + length[token]
+                if not dead or after not in dead:
+                    if last < 0:
+                        break
+                    fits = compatible(last << 24 | token)
+                    if fits or (fits is None and self._decide(last, token)):
+                        break
+                less = shorter(token)
+                token = self._next_shorter(token) if less is None else less
             if token >= 0:
                 out.append(token)
-                at += self.length[token]
-                token = longest[at] - 1 if at < n else -1
+                at, last = after, token
+                if at < n:
+                    ahead = text[at : at + most]
+                    token = within.get(ahead[: prefix(ahead)], -1)
             else:
-                dead[at] = 1
+                dead.add(at)
                 if not out:
                     raise ValueError("the ranks do not cover all bytes")
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
+                last = out[-1] if out else -1
                 token = self._next_shorter(token)
         return out
 
@@ -122,32 +129,30 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.bpe = ByteBpe(path)
-        self.pieces: dict[str, str] = {}
-        self.chunks = ChunkCache(self._chunks)
+        self.pieces = ChunkCache(self._pieces, 400_000)
+        self.chunks = ChunkCache(self._chunks, 700_000)
         self.by_name = {str(r): t for r, t in self.bpe.tokens.items()}
 
-    def _piece(self, piece: str) -> str:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > 150_000:
-                self.pieces.clear()
-            found = self.pieces[piece] = " ".join(map(str, self.bpe.encode_piece(piece.encode())))
-        return found
+    def _pieces(self, pieces: list[str]) -> list[str]:
+        encode = self.bpe.encode_piece
+        return [" ".join(map(str, encode(p.encode()))) for p in pieces]
 
     def _chunks(self, chunks: list[str]) -> list[str]:
-        return [" ".join(map(self._piece, self.bpe.split.findall(c))) for c in chunks]
+        """A chunk of letters is one match; the matches of others are cached on their own, as words come with many marks."""
+        split = self.bpe.split.findall
+        cut = [[c] if c.strip(" ").isalpha() else split(c) for c in chunks]
+        get = self.pieces.fill([row for row in cut if len(row) > 1])
+        single = iter(self._pieces([row[0] for row in cut if len(row) == 1]))
+        return [next(single) if len(row) == 1 else " ".join(map(get, row)) for row in cut]
 
     def ids(self, texts: list[str]) -> Iterator[str]:
         """Decimal ids of each text, joined by a space."""
         cut = []
-        for text in texts:
-            if not text or IRREGULAR.search(text):
-                cut.append(None)
-            else:  # a space before each chunk but the first belongs to it
-                cut.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
+        for text in texts:  # a space before a word belongs to its chunk, a newline between two is a match of its own
+            cut.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if regular(text) else None)
         get = self.chunks.fill([row for row in cut if row])
         for text, row in zip(texts, cut):
-            yield " ".join(map(get, row)) if row else self._chunks([text])[0]
+            yield " ".join(map(get, row)) if row else " ".join(self._pieces(self.bpe.split.findall(text)))
 
     def decode(self, joined: str) -> bytes:
         return b"".join(map(self.by_name.__getitem__, joined.split(" "))) if joined else b""

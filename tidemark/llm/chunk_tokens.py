@@ -6,11 +6,14 @@ chunk by chunk. ``ChunkCache`` keeps what a chunk encodes to; its bound changes
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-#: White space of the two-character kind, or any but the plain space and newline: such texts take the plain path.
-IRREGULAR = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]| \n|\n |^\s|\s$")
+
+def regular(text: str) -> bool:
+    """Whether all white space is single blanks and newlines between other characters (and no NUL is there, which marks cuts)."""
+    words = text.split()
+    gaps = len(words) - 1
+    return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps and "\0" not in text
 
 
 class ChunkCache:
