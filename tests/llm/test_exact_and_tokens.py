@@ -10,6 +10,7 @@ import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts
 from tidemark.llm.common import materialise
@@ -85,18 +86,31 @@ def test_bpe_general_form(spark, reference):
 
 def test_bpe_pieces_of_random_bytes(reference):
     bpe, rng = byte_bpe.text_encoder("byte_bpe_50k.tiktoken").bpe, random.Random(2)
-    for _ in range(300):
+    for _ in range(2000):
         piece = "".join(rng.choice("aehinst") for _ in range(rng.randrange(1, 40))).encode()
-        assert bpe.encode_piece(piece) == reference.encode_single_piece(piece) if hasattr(reference, "encode_single_piece") else bpe._merged(piece)
+        assert bpe.encode_piece(piece) == reference.encode_ordinary(piece.decode()) == bpe._merged(piece)
+    for _ in range(2000):
+        piece = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30)))
+        assert bpe.encode_piece(piece) == bpe._merged(piece) and bpe.decode(bpe.encode_piece(piece)) == piece
+
+
+def test_bpe_caches_change_nothing(reference):
+    encoder = byte_bpe.TextEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder.chunks.bound = encoder.pieces.bound = 50
+    encoder.bpe.memo = 20
+    t = texts(1500, 11) + ["ab" * 40_000, "\n" * 3000 + "x", "a\n b\nc  d\n\ne", "a\0 b\nc", "a\x1cb c\x85d"]
+    for i in range(0, len(t), 40):
+        assert [list(map(int, j.split())) for j in encoder.ids(t[i : i + 40])] == [reference.encode_ordinary(x) for x in t[i : i + 40]]
 
 
 # packing
 
 
 def test_packing_is_whole_and_tight(spark, sf):
-    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(docs(spark, [(10**6 + i, t) for i, t in enumerate([None, *texts(60)])]))
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(docs(spark, [(10**6 + i, t) for i, t in enumerate([None, "a <|endoftext|> b", *texts(60)])]))
     rows = packing.packed(df).collect()
-    ids = {r.doc_id: np.append(x, np.uint32(2)) for r, x in [(r, word_tokens("word_bpe_49k.json").ids([r.text or ""])[0]) for r in df.collect()]}
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 2], np.uint32) for r in df.collect()}
     seen, sequences = {}, {}
     for r in rows:
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].astype("<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
@@ -161,10 +175,15 @@ def test_packing_edges(spark):
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 2), (1, 1), (1, 1)] and packing.packed(docs(spark, [])).count() == 0
 
 
-def test_word_ids_equal_library():
-    t, tokens = texts(2000, 5), word_tokens("word_bpe_49k.json")
-    want = tokens.library.encode_batch(t, add_special_tokens=False)
-    assert all(a.tolist() == b.ids for a, b in zip(tokens.ids(t), want))
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids_equal_library(name):
+    """The plain library, as its file loads: it makes added tokens of their strings in a text."""
+    plain, tokens, rng = Tokenizer.from_file(public_tokenizers.path(name)), word_tokens(name), random.Random(3)
+    kinds = ["ab cdé\n", "the in ger.\n $$$ 's don't", "Привет и ", "\x00\x85\xa0 日本😀 a", "01234 ,.!?-_ ", "ªºµßÿÀÉ a.'s", "Σσς ΑΒ İI ", "<|endoftext|> ab", "e\u0301 \u200b\ufeff "]
+    t = texts(2000, 5) + ["Hello <|endoftext|> there", "<|startoftext|>x", "<|ENDOFTEXT|>", "w'$$$ it's're x'tea", "a" * 9000]
+    t += ["".join(rng.choice("".join(rng.sample(kinds, 2))) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    for i in range(0, len(t), 500):
+        assert all(a.tolist() == plain.encode(x, add_special_tokens=False).ids for a, x in zip(tokens.ids(t[i : i + 500]), t[i : i + 500]))
 
 
 # quality rules

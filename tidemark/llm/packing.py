@@ -15,8 +15,9 @@ A task keeps at most ``hold`` pieces open, about ``hold`` windows of memory; not
 shuffled, and the plan is the same for any size. Sequence ids are (partition, counter), stable when a
 lost task runs again, since the partition's rows are.
 
-Defined results: null and empty texts are one piece, the end id alone; repeated rows are packed
-each; a null id stays null; an empty table gives none; other columns are ignored.
+Defined results: null and empty texts are one piece, the end id alone; a text of any length is encoded whole, and held whole by its
+task; a text that spells one of the vocabulary's added tokens has that token's id, as the plain library gives it; repeated rows are
+packed each; a null id stays null; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
