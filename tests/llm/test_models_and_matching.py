@@ -2,10 +2,12 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from test_exact_and_tokens import clashing, docs
 
@@ -254,28 +256,26 @@ def test_bounds_and_banded_alignment_are_exact():
 def test_pii_kinds_and_formats(spark):
     text = 'Mail bob.smith@example.com or BOB.smith@example.com, call +1 (499) 555-6503, card 4111 1111 1111 1111, ip 172.242.194.228, token = "1eb9c654e721b4f812088970e66a6345cee33dd6", Mr. John Smith, Anna Smith.'
     df = clashing(spark, docs(spark, [(1, text), (2, None), (3, ""), (4, "call +1 (499) 555-6503\x01 now"), (4, "plain"), (None, "x 172.242.194.228")]))
-    got = {str(r.doc_id) + (r.text or "")[:1]: r for r in pii_surrogates.replaced(df, count_col="found").collect()}
+    got = {str(r.doc_id) + (r.text or "")[:1]: r for r in pii_surrogates.replaced(df, "k", count_col="found").collect()}
     out = got["1M"].text
     for secret in ("smith@", "6503", "4111 1111", "172.242", "1eb9c654", "John Smith", "Anna"):
         assert secret not in out
     assert got["1M"].found == 8 and got["2"].text is None and got["3"].text == "" and got["4p"].text == "plain"
-    import re
-
-    m = re.fullmatch(r'Mail (\S+@\S+\.com) or (\S+@\S+\.com), call (\+1 \(\d{3}\) \d{3}-\d{4}), card (\d{4} \d{4} \d{4} \d{4}), ip ([\d.]+), token = "([0-9a-f]{40})", Mr\. (\w+) (\w+), (\w+) (\w+)\.', out)
+    m = regex.fullmatch(r'Mail (\S+@\S+\.com) or (\S+@\S+\.com), call (\+1 \(\d{3}\) \d{3}-\d{4}), card (\d{4} \d{4} \d{4} \d{4}), ip ([\d.]+), token = "([0-9a-f]{40})", Mr\. (\w+) (\w+), (\w+) (\w+)\.', out)
     assert m and m[1] == m[2] and m[8] == m[10]
     assert m[3] in got["4c"].text and m[5] in got["Nonex"].text and "\x01" in got["4c"].text
     assert m[7] in pii_surrogates.GIVEN["latin", "m"].split() and m[9] in pii_surrogates.GIVEN["latin", "f"].split()
     digits = [int(c) for c in m[4] if c.isdigit()][::-1]
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
-    assert pii_surrogates.replaced(df.limit(0)).count() == 0
-    assert pii_surrogates.replaced(df, key="other").where("doc_id = 1").first().text != out
+    assert pii_surrogates.replaced(df.limit(0), "k").count() == 0
+    assert pii_surrogates.replaced(df, "other").where("doc_id = 1").first().text != out
 
 
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     real = pii_surrogates.surrogate
     monkeypatch.setattr(pii_surrogates, "surrogate", lambda e, key, attempt: F.when(attempt == 0, F.lit("198.51.100.1")).otherwise(real(e, key, attempt)))
     rows = [(i, f"ip 10.0.0.{i} and 10.0.1.{i}") for i in range(1, 6)] + [(9, "ip 10.0.0.1")]
-    out = {r.doc_id: r.text.split()[1::2] for r in pii_surrogates.replaced(docs(spark, rows)).collect()}
+    out = {r.doc_id: r.text.split()[1::2] for r in pii_surrogates.replaced(docs(spark, rows), "k").collect()}
     flat = [x for i in range(1, 6) for x in out[i]]
     assert len(set(flat)) == 10 and out[9][0] == out[1][0]
 
@@ -293,7 +293,7 @@ def test_pii_families_and_numbers_are_drawn_again_as_one(spark, monkeypatch):
         (6, "4111 1111 1111 1111|4111-1111-1111-1111|4111111111111111"), (7, "4012 8888 8888 1881|4012888888881881"),
         (8, "DE89 3704 0044 0532 0130 00|DE89370400440532013000"),
     ]
-    out = {r.doc_id: r.text.split("|") for r in pii_surrogates.replaced(docs(spark, rows)).collect()}
+    out = {r.doc_id: r.text.split("|") for r in pii_surrogates.replaced(docs(spark, rows), "k").collect()}
     families = [{x.split(" ")[-1] for x in out[i]} for i in (1, 2, 3)]
     assert all(len(f) == 1 for f in families) and len(set.union(*families)) == 3
     assert len(set(out[1])) == 4 and out[1][1].split()[0] == out[2][1].split()[0]
@@ -310,8 +310,61 @@ def test_pii_given_names_keep_apart():
     assert sum(map(len, names)) == len(set.union(*names))
 
 
+def test_pii_texts_are_linear_and_columns_untouched(spark):
+    size = 1_000_000
+    odd = ["-" * size, "." * size, "a." * (size // 2), "x@" + "a." * 100_000 + "com", "token=" + "a" * size, "1 " * (size // 2), "a" * size + "@x.com", "A1 " * (size // 3), "Dr " * 100_000, "::" * 100_000, "f:" * 100_000]
+    df = clashing(spark, docs(spark, list(enumerate([*odd, "mail a.b@c.example.com"]))))
+    df = df.select("*", *(F.lit("mine").alias(n) for n in ("parts", "tag", "attempts", "h", "m", "held", "entity", "e", "out")))
+    began = time.time()
+    got = pii_surrogates.replaced(df, "k").collect()
+    assert time.time() - began < 90
+    assert {tuple(v for c, v in r.asDict().items() if c not in ("doc_id", "text")) for r in got} == {tuple(v for c, v in df.first().asDict().items() if c not in ("doc_id", "text"))}
+    out = {r.doc_id: r.text for r in got}
+    assert all(out[i] == odd[i] for i in (0, 1, 2)) and len(out[5]) == size and "a" * 100 not in out[4] and "a.b@" not in out[11]
+    with pytest.raises(ValueError):
+        pii_surrogates.replaced(df, "")
+
+
+def test_pii_scripts_capitals_and_addresses(spark):
+    text = "Dr Παπαδόπουλος|Иван Петров|ANNA SMITH|Anna Smith|2001:db8::8a2e:370:7334|2001:DB8:0:0:1:2:3:4|at 10:30:45|std::vector|face::add"
+    out = pii_surrogates.replaced(docs(spark, [(1, text)]), "k").first().text.split("|")
+    assert regex.fullmatch(r"Dr \p{Greek}+", out[0]) and out[0] != text.split("|")[0]
+    assert regex.fullmatch(r"\p{Cyrillic}+ \p{Cyrillic}+", out[1]) and out[1].split()[0] in pii_surrogates.GIVEN["cyrillic", "m"].split()
+    assert out[2].isupper() and out[2] == out[3].upper() and out[3] != "Anna Smith" and out[3].split()[0] in pii_surrogates.GIVEN["latin", "f"].split()
+    assert regex.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", out[4]) and out[4] != text.split("|")[4]
+    assert regex.fullmatch(r"[0-9A-F]{4}:[0-9A-F]{3}(:[0-9A-F]){6}", out[5]) and out[6:] == text.split("|")[6:]
+
+
+def test_pii_equals_the_rules_on_real_rows(spark, sf):
+    """Every match of the pattern, found here without Spark, is replaced: one for one, apart, in its format; nothing else changes."""
+    pattern = regex.compile(pii_surrogates.PATTERN.replace(r"\p{Is", r"\p{"))
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in pii_surrogates.replaced(docs(spark, list(rows.items())), "k").collect()}
+    forms, names = {}, set()
+    for i, text in rows.items():
+        at, rest = 0, got[i]
+        for m in pattern.finditer(text):
+            between = text[at : m.start()]
+            assert rest.startswith(between)
+            rest = rest[len(between) :]
+            at = m.end()
+            follows = text[at : m.end() + 1]
+            new = pattern.match(rest)
+            new = new[0] if new else rest[: len(m[0])]
+            if "@" in m[0]:
+                new = regex.match(r"[^\s@]+@[\w.-]*?" + regex.escape(m[0][m[0].rindex(".") :]), rest)[0]
+            assert new != m[0] and forms.setdefault(m[0], new) == new, (m[0], new, follows)
+            names.add(m[0])
+            digits = lambda x: regex.sub("[0-9]", "0", x)
+            if regex.fullmatch(r"[\d ()+-]+", m[0]):
+                assert digits(new) == digits(m[0])
+            rest = rest[len(new) :]
+        assert rest == text[at:]
+    assert len(forms) > 20 and len(set(forms.values())) == len(forms) and not names & set(forms.values())
+
+
 def test_pii_has_no_python(spark, sf):
-    df = pii_surrogates.replaced(spark.read.parquet(f"{sf}/documents.parquet"))
+    df = pii_surrogates.replaced(spark.read.parquet(f"{sf}/documents.parquet"), "k")
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 

@@ -25,7 +25,7 @@ def op4_substring_dedup(spark, sf_dir):
 
 def op5_pii_surrogates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii_surrogates.replaced(docs, count_col="n_entities")
+    return pii_surrogates.replaced(docs, pii_surrogates.key_of(spark), count_col="n_entities")
 
 
 def op6_byte_bpe(spark, sf_dir):
