@@ -35,7 +35,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; ``n_chars`` is that of the new text."""
-    out = pii_surrogates.replaced(docs)
+    out = pii_surrogates.replaced(docs, pii_surrogates.key_of(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
