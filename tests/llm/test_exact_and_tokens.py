@@ -1,8 +1,10 @@
+import base64
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, token_counts
+from tidemark.llm import byte_bpe, exact_dedup, packing, quality_rules, queries, token_counts
 from tidemark.llm.common import materialise
 from tidemark.llm.word_tokens import word_tokens
 
@@ -254,5 +256,92 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert rows() == want and store.committed() == ["one", "three", "two"] and not store.commit("two", token_counts.signed(counts, 1))
 
 
+def _store(spark, tmp_path):
+    one = spark.createDataFrame([("s", "en", "v", 1, 10, 100)], token_counts.SCHEMA)
+    store = token_counts.RollupStore(spark, f"file://{tmp_path}/store")
+    return store, one, lambda: tuple(store.totals().select("n_docs", "n_tokens").first() or ())
+
+
+class Died(Exception):
+    pass
+
+
+def _dies(*_):
+    raise Died
+
+
+def test_rollup_survives_a_crash_at_each_step(spark, tmp_path, monkeypatch):
+    store, one, total = _store(spark, tmp_path)
+    for step in range(3):
+        for name in ("_write", "_publish"):
+            with monkeypatch.context() as m:
+                m.setattr(token_counts.RollupStore, name, _dies)
+                with pytest.raises(Died):
+                    store.commit(f"b{step}", one)
+            assert total() == ((step, 10 * step) if step else ())
+        store.commit(f"b{step}", one)
+        assert total() == (step + 1, 10 * step + 10)
+        for name in ("_write", "_publish"):
+            with monkeypatch.context() as m:
+                m.setattr(token_counts.RollupStore, name, _dies)
+                if step:
+                    with pytest.raises(Died):
+                        store.compact()
+            assert total() == (step + 1, 10 * step + 10)
+        store.compact()
+        assert total() == (step + 1, 10 * step + 10) and not store.commit("b0", one)
+    store.vacuum(older_than=-10)
+    assert total() == (3, 30) and len(store._names("data")) == 1 and store.committed() == ["b0", "b1", "b2"]
+
+
+def test_rollup_of_writers_at_once(spark, tmp_path, monkeypatch):
+    store, one, total = _store(spark, tmp_path)
+    with ThreadPoolExecutor(6) as pool:
+        applied = list(pool.map(lambda i: store.commit(["a", "b" * 300, "a/=+é"][i % 3], one), range(9)))
+    assert sum(applied) == 3 and total() == (3, 30)
+    real, late = token_counts.RollupStore._write, []
+
+    def beside(self, deltas):  # a batch comes in while a compaction sums
+        folder = real(self, deltas)
+        if not late:
+            late.append(1)
+            store.commit("late", one)
+        return folder
+
+    monkeypatch.setattr(token_counts.RollupStore, "_write", beside)
+    store.compact()
+    assert total() == (4, 40) and len(store.committed()) == 4
+
+
+def test_rollup_of_many_ids(spark, tmp_path):
+    store, one, total = _store(spark, tmp_path)
+    folder = store._write(one)
+    assert store._publish(1, {"folder": folder, "batches": [f"id {i}" * 10 for i in range(10_000)]}) and not store._publish(1, {})
+    store.commit("more", one)
+    store.compact()
+    assert total() == (2, 20) and len(store.committed()) == 10_001 and not store.commit("id 77" * 10, one)
+
+
+def test_rollup_query_equals_brute_force(spark, sf):
+    def encoding(name):
+        with open(public_tokenizers.path(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    names = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+    known, want, seen = {n: encoding(n) for n in names}, {}, set()
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        text = r.text or ""
+        same = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        if same not in seen:
+            seen.add(same)
+            name = names[r.lang != "en"]
+            total = want.setdefault((r.source, r.lang, name), [0, 0, 0])
+            for i, n in enumerate((1, len(known[name].encode_ordinary(text)), len(text))):
+                total[i] += n
+    got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens, r.n_chars] for r in queries.op7_token_counts(spark, sf).collect()}
+    assert got == want
+
+
 def test_pattern_is_the_library_s():
     assert regex.findall(public_tokenizers.PATTERN, "a  b") == ["a", " ", " b"]

@@ -335,7 +335,7 @@ def test_pii_scripts_capitals_and_addresses(spark):
     assert regex.fullmatch(r"[0-9A-F]{4}:[0-9A-F]{3}(:[0-9A-F]){6}", out[5]) and out[6:] == text.split("|")[6:]
 
 
-def test_pii_equals_the_rules_on_real_rows(spark, sf):
+def test_pii_equals_the_rules_on_real_rows(spark, sf="/root/testdata/sf0.01"):
     """Every match of the pattern, found here without Spark, is replaced: one for one, apart, in its format; nothing else changes."""
     pattern = regex.compile(pii_surrogates.PATTERN.replace(r"\p{Is", r"\p{"))
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -33,14 +33,17 @@ def op6_byte_bpe(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
-    """Load every document, then delete those whose text another keeps; each batch is sent twice."""
+    """Load every document, delete those whose text another keeps, then count the rest of other languages than English anew under
+    a tokenizer for many languages, which replaces their former counts; each batch is sent twice."""
     docs = table(spark, sf_dir, "documents")
     counts = materialise(token_counts.counted(docs), "token-counts")
+    dropped = materialise(exact_dedup.classes(docs, keep="min").where("NOT kept").select("doc_id"), "dropped")
+    foreign = lambda rows: rows.where("lang IS NULL OR lang != 'en'").join(dropped, "doc_id", "left_anti")
     store = token_counts.RollupStore(spark, shared_path(spark, "rollup"))
-    dropped = exact_dedup.classes(docs, keep="min").where("NOT kept").select("doc_id")
     for _ in range(2):
         store.commit("load", token_counts.signed(counts, 1))
         store.commit("dedup", token_counts.signed(counts.join(dropped, "doc_id", "left_semi"), -1))
+        store.commit("many languages", token_counts.revised(foreign(counts), token_counts.counted(foreign(docs), "byte_bpe_multi_50k.tiktoken")))
     return store.totals()
 
 
