@@ -1,9 +1,13 @@
+import base64
 import collections
+import gzip
 import hashlib
 import itertools
+import json
 import random
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from test_exact_and_tokens import clashing, docs
 
 import corpus_pipeline
-from tidemark.llm import gru, order_minhash, pii_surrogates, recompression, substring_dedup, toxicity, warc
+from tidemark.llm import gru, order_minhash, pii_surrogates, queries, recompression, substring_dedup, toxicity, warc
 from tidemark.llm.wordhash import rolled, word_hashes
 
 # WARC
@@ -34,11 +38,80 @@ def test_warc_round_trip(spark, tmp_path):
     derived = warc.derive_responses(warc.read_responses(spark, str(tmp_path / "a.warc"))).collect()
     assert {r.refers_to for r in derived} == {"<urn:uuid:1>"} and {r.source_payload_digest for r in derived} == {warc.digest(page.encode())}
     assert bytes([r for r in derived if r.record_type == "conversion"][0].block).decode() == text
-    out = warc.derive("<urn:uuid:1>", "u", "d", {"Server": "s"}, page, page.encode())
-    heads = [h for h, b in warc.parse_records(b"".join(r["record"] for r in out)) if warc.digest(b) == h["WARC-Block-Digest"]]
+    out = warc.derive("<urn:uuid:1>", "u", "d", [("Server", "s")], page, page.encode())
+    heads = [dict(h) for h, b in warc.parse_records(b"".join(r["record"] for r in out)) if warc.digest(b) == dict(h)["WARC-Block-Digest"]]
     assert [h["WARC-Type"] for h in heads] == ["metadata", "conversion"] and all(h["WARC-Refers-To"] == "<urn:uuid:1>" for h in heads)
 
 
+def test_warc_bodies_headers_and_sink(spark, tmp_path):
+    page = "<html><body><p>Grüße</p></body></html>"
+    packed = gzip.compress(page.encode())
+    chunked = b"5\r\n" + packed[:5] + b"\r\n" + f"{len(packed) - 5:x}".encode() + b"\r\n" + packed[5:] + b"\r\n0\r\n\r\n"
+    sent = {
+        "a": (b"Content-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2", chunked),
+        "b": (b"Content-Type: image/png", b"\x89PNG\r\n\x1a\n"),
+        "c": (b"Content-Type: text/html; charset=iso-8859-1", page.encode("latin-1")),
+        "d": (b"Content-Encoding: br", b"x"),
+        "e": (b"Content-Type: text/html", b"<meta charset=iso-8859-1>" + page.encode("latin-1")),
+        "f": (b"Content-Type: text/html\r\nTransfer-Encoding: chunked", page.encode()),
+    }
+    record = lambda name, head, body: warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", name)], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)
+    for k in range(2):
+        parts = [gzip.compress(record(n, h, b)) for n, (h, b) in list(sent.items())[k::2]]
+        (tmp_path / f"in {k}.warc.gz").write_bytes(b"".join(parts))
+    derived = warc.derive_responses(warc.read_responses(spark, str(tmp_path), batch_bytes=10)).cache()
+    rows = {(r.refers_to, r.record_type): r for r in derived.collect()}
+    assert {n for n, kind in rows if kind == "conversion"} == {"a", "c", "e", "f"} and len(rows) == 10
+    assert all(bytes(rows[n, "conversion"].block).decode() == "Grüße" for n in "acef")
+    assert bytes(rows["a", "metadata"].block).decode().count("http-header: Set-Cookie") == 2 and json.loads(rows["a", "metadata"].source_headers)[-1] == ["Set-Cookie", "b=2"]
+    assert rows["a", "metadata"].source_payload_digest == warc.digest(chunked)
+    twice = derived.unionByName(derived)
+    assert warc.distinct_records(twice).count() == 10
+    files = warc.write_records(derived.coalesce(2), f"{tmp_path}/out").collect()
+    assert sum(r.n_records for r in files) == 10
+    read = [(dict(h), b) for r in files for h, b in warc.parse_records(open(f"{tmp_path}/out/{r.file}", "rb"))]
+    assert {(h["WARC-Refers-To"], h["WARC-Type"], h["WARC-Block-Digest"]) for h, _ in read} == {(*k, r.block_digest) for k, r in rows.items()}
+    assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in read)
+
+
+def test_warc_query_equals_a_plain_parser(spark, sf):
+    """Text and links found by the standard library's parser, and digests, for every page."""
+    hidden, breaks = {"script", "style", "noscript", "template", "svg"}, set("p div br hr li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside blockquote pre title head body html form dd dt dl".split())
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.text, self.links, self.inside = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in hidden
+            self.text += ["\n"] * (tag in breaks)
+            self.links += [v for k, v in attrs if tag == "a" and k == "href" and not self.inside]
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in hidden
+            self.text += ["\n"] * (tag in breaks)
+
+        def handle_data(self, data):
+            if not self.inside:
+                self.text.append(data)
+
+    got = {(r.page_id, r.record_type): r for r in queries.op2_warc_derivatives(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == 2 * len(pages)
+    for r in pages:
+        page = Page()
+        page.feed(r.html or "")
+        page.close()
+        lines = [" ".join(x.split()) for x in "".join(page.text).split("\n")]
+        text, meta = bytes(got[r.page_id, "conversion"].block), bytes(got[r.page_id, "metadata"].block).decode()
+        assert text.decode() == "\n".join(x for x in lines if x)
+        assert regex.findall(r"(?m)^outlink: (.*)\r$", meta) == list(dict.fromkeys(x for x in page.links if x))
+        for kind in ("conversion", "metadata"):
+            d = got[r.page_id, kind]
+            assert d.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(bytes(d.block)).digest()).decode() and d.content_length == len(d.block) and d.refers_to == got[r.page_id, "metadata"].refers_to
+
+
 # toxicity
 
 

@@ -11,7 +11,7 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_warc_derivatives(spark, sf_dir):
-    return warc.derivatives(table(spark, sf_dir, "pages"), with_block=False)
+    return warc.derivatives(table(spark, sf_dir, "pages"))
 
 
 def op3_toxicity(spark, sf_dir):
