@@ -224,6 +224,44 @@ def test_quality_learns_labels(spark):
     assert quality_rules.fit(d, labels.limit(0)) is quality_rules.PRIOR
 
 
+def test_quality_finds_boilerplate_inside_prose(spark):
+    """Lines in a document of both kinds, known here, which no label tells apart; the verdict is recomputed from them."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_rules.fit(d, labels, sample_rows=200)
+    good = [r.text for r in d.join(labels, "doc_id").where("quality = 1 AND n_chars BETWEEN 600 AND 3000").orderBy("doc_id").collect()]
+    junk = ["Home | News | Sport | Terms | Privacy | Login | Search", "win*** cash$$$ now&&& free%%% best### buy$$$"] * 3
+    rows, truth = [], {}
+    for i, text in enumerate(good[:60]):
+        prose = [x for x in text.split("\n") if len(x.split()) > 5]
+        at = i % (len(prose) + 1)
+        rows.append((i, "\n".join([*prose[:at], "", *junk[: i % 5 + 2], *prose[at:]])))
+        truth[i] = [1] * at + [None] + [0] * (i % 5 + 2) + [1] * (len(prose) - at)
+    flags = {r.doc_id: r for r in quality_rules.lines(docs(spark, rows), model).collect()}
+    pairs = [(f, t) for i, want in truth.items() for f, t in zip(flags[i].is_content, want, strict=True)]
+    assert all((f is None) == (t is None) for f, t in pairs)
+    assert np.mean([f for f, t in pairs if t == 1]) > 0.95 and np.mean([not f for f, t in pairs if t == 0]) > 0.95
+    for r in quality_rules.judged(docs(spark, rows), model).collect():
+        text = rows[r.doc_id][1].split("\n")
+        words = [len(x.split()) for x in text]
+        share = sum(w for w, f in zip(words, flags[r.doc_id].is_content) if f) / sum(words)
+        assert 0 < share < 1 and r.content_share == pytest.approx(share) and r.kept == (not r.base_failed and share >= 0.5)
+        assert flags[r.doc_id].content == "\n".join(x for x, f in zip(text, flags[r.doc_id].is_content) if f)
+
+
+def test_quality_fit_is_bounded(spark):
+    rows = [(1, "good words of a text")] * 50 + [(2, "bad&&& %%% text***"), (3, "x " * 400_000)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    real = quality_rules.learnt
+    quality_rules.learnt = lambda bags: seen.append(len(bags)) or real(bags)
+    try:
+        quality_rules.fit(docs(spark, rows), labels)
+    finally:
+        quality_rules.learnt = real
+    assert seen == [2]
+
+
 def test_viterbi_is_the_best_sequence():
     from itertools import product
 

@@ -2,8 +2,12 @@
 
 Lines are labelled content or boilerplate by a linear-chain CRF (``crf_lines``); the share of a
 document's words in content lines decides whether it is kept. The CRF is fitted on a
-bounded sample of labelled documents (``sample_rows``, by hash of the id, so any run takes the same
-ones): each line with a word carries its document's label. Counts and labelling read every whole text.
+bounded sample of labelled documents (``sample_rows`` of each label, by hash of the id, so any run takes the same
+ones, one text for each id, of ``sample_bytes`` at most). Labels are of documents, so those of lines are learnt with them (multiple instances): a first
+model of single lines scores each line; of a good document at least half the words stay content, of a bad one more than half become
+boilerplate, the lines most like it first, and other lines follow their own score. The CRF learns from these, labels the lines anew under the
+same rule, and learns again, so prose in a junk page counts as content and a menu inside prose as boilerplate.
+Counts and labelling read every whole text.
 
 Defined results: null reads as empty; a text without words has base_failed true and kept false;
 repeated rows are judged each; an empty table gives none; without usable labels the
@@ -26,6 +30,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("one", "symbols a character", "capitals a letter", "marks a word", "repeated words", "an earlier line", "long", "one word", "digits a character", "license")
 _LICENSE = re.compile(r"licen[sc]ed under|all rights reserved|terms of use|privacy policy|cookie|copyright", re.I)
+_WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: Brings each feature to about one where it is present.
 _SCALE = np.array([1.0, 12, 3, 2, 3, 1, 1, 1, 5, 1])
 #: Without labels: junk marks, shouting and repetition speak against a line.
@@ -93,24 +98,49 @@ def measured(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.
     return counts, features * _SCALE, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 700, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """The CRF, from at most ``sample_rows`` labelled documents of each label."""
+def _ruled(y: np.ndarray, odds: np.ndarray, words: np.ndarray, good: bool) -> np.ndarray:
+    """Line labels made to agree with the document's: over half of the words on its side, the lines most like that first."""
+    want = crf_lines.CONTENT if good else crf_lines.BOILERPLATE
+    out, order = y.copy(), np.argsort(-odds if good else odds, kind="stable")
+    have, need = int(words[out == want].sum()), words.sum() / 2
+    for i in order:
+        if have > need or (good and have >= need):
+            break
+        if out[i] != want:
+            out[i] = want
+            have += int(words[i])
+    return out
+
+
+def learnt(bags: list[tuple[np.ndarray, np.ndarray, bool]], rounds: int = 3) -> dict[str, np.ndarray]:
+    """The CRF, from (line features, words of the lines, whether the document is good)."""
+    single = crf_lines.train([x[i : i + 1] for x, _, _ in bags for i in range(len(x))], [np.array([int(good)]) for x, _, good in bags for _ in range(len(x))])
+    odds = [x @ (single["w"][:, 1] - single["w"][:, 0]) + single["s"][1] - single["s"][0] for x, _, _ in bags]
+    labels = [(o > (-1 if good else 0)).astype(np.int8) for o, (_, _, good) in zip(odds, bags)]
+    for _ in range(rounds):
+        ruled = [_ruled(y, o, w, good) for y, o, (_, w, good) in zip(labels, odds, bags)]
+        model = crf_lines.train([x for x, _, _ in bags], ruled)
+        labels = crf_lines.viterbi(model, [x for x, _, _ in bags])
+        odds = [x @ (model["w"][:, 1] - model["w"][:, 0]) for x, _, _ in bags]
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 700, sample_bytes: int = 500_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
+    """The CRF, from at most ``sample_rows`` labelled documents of each label, texts of more than ``sample_bytes`` not among them."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     rank = F.xxhash64(F.col(id_col).cast("string"))
     taken = [one.where(F.col("y") == y).orderBy(rank, id_col).limit(sample_rows) for y in (0, 1)]
     sample = taken[0].unionByName(taken[1]).select(F.col(id_col).alias("__id"), "y")  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__doc", "__text", "y").toPandas()
+    texts = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).where(F.octet_length("__text") <= sample_bytes)
+    rows = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).groupBy("__doc", "y").agg(F.min("__text").alias("__text")).toPandas()
     rows = rows.sort_values(["__doc", "__text"])
-    features, target = [], []
+    bags = []
     for text, y in zip(rows["__text"], rows["y"]):
-        _, x, _ = measured(text)
-        if len(x):
-            for at in range(0, len(x), 32):  # long texts as several sequences: what is fitted is the same
-                features.append(x[at : at + 32])
-                target.append(np.full(len(features[-1]), int(y)))
-    if len({int(t[0]) for t in target}) < 2:
+        _, x, w = measured(text)
+        bags += [(x[at : at + 32], w[at : at + 32], bool(y)) for at in range(0, len(x), 32)]  # long texts as several sequences
+    if len({good for _, _, good in bags}) < 2:
         return PRIOR
-    return crf_lines.train(features, target)
+    return learnt(bags)
 
 
 def judged(docs: DataFrame, model: dict[str, np.ndarray], min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,3 +157,20 @@ def judged(docs: DataFrame, model: dict[str, np.ndarray], min_share: float = 0.5
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
+def lines(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, is_content (for each line of the text; null for one without a word), content (the content lines)."""
+
+    def run(frames):
+        for batch in batches(frames):
+            texts = batch.column(1).to_pylist()
+            flags, content = [], []
+            for text, labels in zip(texts, crf_lines.viterbi(model, [measured(t)[1] for t in texts])):
+                rest = iter(labels.tolist())
+                split = text.split("\n")
+                flags.append([bool(next(rest)) if _WORD.search(x) else None for x in split])
+                content.append("\n".join(x for x, f in zip(split, flags[-1]) if f))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.list_(pa.bool_())), pa.array(content, pa.string())], ["doc_id", "is_content", "content"])
+
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, is_content array<boolean>, content string")
