@@ -192,13 +192,14 @@ def train(texts: list[str], y: np.ndarray, min_docs: int = 3, first: int = 4, mo
     return scorer
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_negative: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
-    """Train on at most so many labelled rows that are not held out. Ids with two labels are left out."""
+def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_negative: int = 1500, sample_bytes: int = 500_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
+    """Train on at most so many labelled ids that are not held out, one text each, texts of more than ``sample_bytes`` not among them. Ids with two labels are left out."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     rank = F.xxhash64(F.col(id_col).cast("string"))
     taken = [one.where(F.col("y") == y).orderBy(rank, id_col).limit(n) for y, n in ((0, sample_negative), (1, sample_positive))]
     sample = taken[0].unionByName(taken[1]).select(F.col(id_col).alias("__id"), "y")  # bounded by the two limits
-    rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("__doc", "__text", "y").toPandas()
+    texts = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).where(F.octet_length("__text") <= sample_bytes)
+    rows = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).groupBy("__doc", "y").agg(F.min("__text").alias("__text")).toPandas()
     rows = rows.sort_values(["__doc", "__text"])
     return train(rows["__text"].tolist(), rows["y"].to_numpy())
 
