@@ -49,15 +49,20 @@ def test_exact_classes_and_edges(spark):
 
 
 def test_exact_deduplicate_keeps_whole_rows(spark):
-    df = clashing(spark, docs(spark, [(2, "A"), (1, "a"), (1, "a"), (None, "a"), (3, None)]))
+    df = clashing(spark, docs(spark, [(2, "A"), (1, "a"), (1, "a"), (None, "a"), (3, None)])).withColumn("hot", F.lit("x"))
     got = exact_dedup.deduplicate(df)
+    assert {v for r in got.collect() for c, v in r.asDict().items() if c not in ("doc_id", "text")} == {"x"}
     assert got.columns == df.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a"), (3, None)]
     assert [r.doc_id for r in exact_dedup.deduplicate(df.where("text IS NOT NULL"), keep="max").collect()] == [2]
 
 
-def test_exact_collision_is_no_group(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("same"))
-    assert {r.group_size for r in exact_dedup.classes(docs(spark, [(1, "a"), (2, "b"), (3, "a")])).where("doc_id = 2").collect()} == {1}
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_exact_collision_is_no_group(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.when(F.length(c) < 3, "same").otherwise(F.sha2(c, 256)))
+    monkeypatch.setattr(exact_dedup, "BROADCAST", broadcast)
+    rows = [(1, "a"), (2, "b"), (3, "A"), (4, "long"), (5, "LONG"), (6, "alone")]
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.classes(docs(spark, rows)).collect()} == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2), 6: (6, 1)}
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs(spark, rows)).collect()) == [1, 2, 4, 6]
 
 
 # byte-level BPE
