@@ -19,6 +19,8 @@ kept by ``deduplicate``); an empty table gives none; other columns are ignored o
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,14 +133,14 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches(frames):
             seq, n, bits, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
+                data = text.lower().encode("utf-8", "surrogatepass")
                 s = shingles(text)
                 n.append(len(s))
                 if not len(s):
                     seq.append(None), bits.append([]), keys.append([])
                     continue
                 x = labelled(s)
-                one, two = rolled(s, len(s)), rolled(s, len(s), salt=5)
-                seq.append(one.tobytes() + two.tobytes() + len(s).to_bytes(8, "little"))
+                seq.append(hashlib.sha256(b" ".join(data.split())).digest())
                 bits.append(bitmap(x))
                 keys.append(bands(sketch(x)))
             longs = pa.list_(pa.int64())
