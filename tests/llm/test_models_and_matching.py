@@ -216,6 +216,19 @@ def test_substring_equals_brute_force(spark):
     assert substring_dedup.removed(docs(spark, [])).count() == 0
 
 
+def test_words_of_like_structure_are_told_apart(spark):
+    """Thue-Morse words agree under polynomials modulo powers of two."""
+    thue = ["ab"[i.bit_count() % 2] for i in range(2048)]
+    one, two = "".join(thue), "".join("ba"["ab".index(c)] for c in thue)
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, " ".join([one, *rest]))]
+    assert word_hashes(one.encode()) != word_hashes(two.encode())
+    assert sorted(map(tuple, substring_dedup.removed(docs(spark, rows)).collect())) == cut(rows)
+    rows = [(1, " ".join(thue)), (2, " ".join("ba"["ab".index(c)] for c in thue))]
+    assert {r.class_rep for r in order_minhash.classes(docs(spark, rows)).collect()} == {1, 2}
+    assert sorted(map(tuple, substring_dedup.removed(docs(spark, rows)).collect())) == cut(rows)
+
+
 def test_substring_text_and_real_rows(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = substring_dedup.removed(docs(spark, rows), with_text=True).collect()

@@ -6,15 +6,15 @@ equal stretches of words get equal symbols except near their ends. How near is t
 carries the span of words that decided it. A symbol whose span lies within a window is the same in every copy of that
 window. The *seed* of a window is its highest such symbol (of equal ones, by name, then
 the first); consecutive windows with one seed form a *block*. A block is named by its seed and the words
-that all windows with this seed have, and its content hash covers all its words: two blocks with the same name and hash
-have equal windows throughout, and a window's copies are in blocks of its block's name.
+that all windows with this seed have, so a window's copies are in blocks of its block's name. Names only propose: what is
+equal is decided on the words' bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from tidemark.llm.wordhash import U, mix, rolled, stretches
+from tidemark.llm.wordhash import U, mix, rolled
 
 FAR = 1 << 40
 ROUNDS = 4
@@ -63,10 +63,10 @@ def ranks(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def blocks(h: np.ndarray, window: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, name and content hash of each block. Windows 0..n-window are each in one block."""
+    """First window, name and end (of its words) of each block. Windows 0..n-window are each in one block."""
     n = len(h)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
     span = window // 2 + 1
     width = window - span + 1  # where in a window a seed may start
     r = ranks(h, span)
@@ -84,5 +84,4 @@ def blocks(h: np.ndarray, window: int = 50) -> tuple[np.ndarray, np.ndarray, np.
     first = np.flatnonzero(new)
     seed = at[first]
     end = np.append(first[1:], len(at)) - 1 + window
-    name = mix(r[seed] ^ rolled(h, span)[seed])
-    return first, name, mix(stretches(h, first, end) + (seed - first).astype(U))
+    return first, mix(r[seed] ^ rolled(h, span)[seed]), end

@@ -1,20 +1,24 @@
 """Substring dedup: words in a window of 50 that also starts in a document with a smaller id are removed.
 
 Windows are grouped into blocks by recompression (``recompression``), about nine windows each. One table holds every
-document's block names and content hashes. Names that occur in two documents or more are found by aggregation, and
-only their blocks are looked at again: a block whose name and hash occur in an earlier document is removed whole; where one name
+document's block names and contents. Names that occur in two documents or more are found by aggregation, and
+only their blocks are looked at again: a block whose name and content occur in an earlier document is removed whole; where one name
 has several contents, one document for each (the smallest id) lists the windows of its block, and windows are
-compared by a 128-bit hash. Nothing depends on how many documents share a passage: copies are reduced in
-partial aggregates and joins are split by adaptive execution. Texts travel for the documents that are touched only.
+compared. Names are hashes and only propose; a content is a BLAKE2b digest of the words' bytes, joined by one blank, under a key
+drawn for the run: 64 bits beside the name for a block, 128 bits for a window. Nothing depends on how many documents share a
+passage: copies are reduced in partial aggregates and joins are split by adaptive execution. Texts travel for the documents
+that are touched only; their ids are broadcast up to ``SMALL_IDS``, 8 bytes each.
 
 Defined results: null reads as empty; texts of fewer words than a window lose none; a row with a null id is neither a
-source nor changed; rows that repeat an id are one document for "smaller id" and are each treated alike; an empty
+source nor changed; texts of any length are read whole; rows that repeat an id are one document for "smaller id" and are each treated alike; an empty
 table gives none; other columns are ignored or carried along.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +27,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches, materialise, text_of
 from tidemark.llm.recompression import blocks
-from tidemark.llm.wordhash import rolled, word_hashes
+from tidemark.llm.wordhash import word_hashes
 
 WINDOW = 50
 #: Up to this many ids are sent to every task instead of dealing all texts out by id (8 bytes each).
 SMALL_IDS = 500_000
 
 
-def _parsed(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, sha256 of all words, block names and hashes."""
+def _contents(words: list[bytes], first: np.ndarray, end: np.ndarray, key: bytes, size: int) -> tuple[bytes, bytes]:
+    """All words joined by one blank, and the digests of the runs of words from ``first`` up to ``end``, one after another."""
+    joined = b" ".join(words)
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    digests = [blake2b(joined[a:b], digest_size=size, key=key).digest() for a, b in zip(at[first].tolist(), (at[end] - 1).tolist())]
+    return joined, b"".join(digests)
+
+
+def _parsed(docs: DataFrame, window: int, key: bytes) -> DataFrame:
+    """doc_id, n_words, sha256 of all words, block names and contents."""
 
     def run(frames):
         for batch in batches(frames):
@@ -39,11 +52,12 @@ def _parsed(docs: DataFrame, window: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
                 words = data.split()
+                first, name, end = blocks(word_hashes(data), window)
+                joined, content = _contents(words, first, end, key, 8)
                 n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                _, name, content = blocks(word_hashes(data), window)
+                sha.append(hashlib.sha256(joined).hexdigest())
                 names.append(name.view(np.int64))
-                hashes.append(content.view(np.int64))
+                hashes.append(np.frombuffer(content, np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, longs), pa.array(hashes, longs)], ["doc_id", "n_words", "sha", "names", "hashes"])
 
@@ -58,21 +72,23 @@ def _touched(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists, docs.doc_id == F.col("d")).drop("d")
 
 
-def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, at and hash of each window of the listed blocks."""
+def _windows(rows: DataFrame, window: int, key: bytes) -> DataFrame:
+    """doc_id, at and content of each window of the listed blocks."""
 
     def run(frames):
         for batch in batches(frames):
-            ids, at, one, two = [], [], [], []
+            ids, at, both = [], [], []
             for doc, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                h = word_hashes(text.encode("utf-8", "surrogatepass"))
+                data = text.encode("utf-8", "surrogatepass")
+                h = word_hashes(data)
                 first = blocks(h, window)[0]
                 end = np.append(first[1:], len(h) - window + 1)
                 mine = np.concatenate([np.arange(first[k], end[k]) for k in sorted(set(listed))])
                 ids.append(np.full(len(mine), doc, np.int64)), at.append(mine)
-                one.append(rolled(h, window)[mine].view(np.int64)), two.append(rolled(h, window, salt=9)[mine].view(np.int64))
+                both.append(_contents(data.split(), mine, mine + window, key, 16)[1])
             join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(ids), join(at), join(one), join(two)], ["doc_id", "at", "w1", "w2"])
+            digests = np.frombuffer(b"".join(both), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([join(ids), join(at), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["doc_id", "at", "w1", "w2"])
 
     return rows.select("doc_id", "text", "listed").mapInArrow(run, "doc_id long, at long, w1 long, w2 long")
 
@@ -108,8 +124,9 @@ def _cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; with ``with_text`` also kept_text (null where nothing was removed)."""
+    key = secrets.token_bytes(32)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    parsed = materialise(_parsed(docs, window), "blocks")
+    parsed = materialise(_parsed(docs, window, key), "blocks")
     each = parsed.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.arrays_zip("names", "hashes")).alias("k", "b")).select("doc_id", "k", F.col("b.names").alias("name"), F.col("b.hashes").alias("hash"))
     by_name = each.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("hash") != F.max("hash")).alias("several"))
     shared = materialise(by_name.where("least < most").select(F.col("name").alias("n"), "several"), "shared-names")
@@ -119,7 +136,7 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_c
     owned = mine.join(owner.where("owner < last"), (F.col("name") == F.col("n")) & (F.col("hash") == F.col("h")) & (F.col("doc_id") > F.col("owner"))).select("doc_id", "k")
     several = mine.where("several").join(owner.select("n", "h", "owner"), (F.col("name") == F.col("n")) & (F.col("hash") == F.col("h")) & (F.col("doc_id") == F.col("owner"))).select("doc_id", "k")
     listed = materialise(several.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("k").alias("listed")), "listed-blocks")
-    windows = materialise(_windows(_touched(docs, listed), window), "windows")
+    windows = materialise(_windows(_touched(docs, listed), window, key), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     twice = materialise(twice.select(F.col("w1").alias("x1"), F.col("w2").alias("x2"), "least"), "twice")  # read again, its join can be split
     single = windows.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")) & (F.col("doc_id") > F.col("least"))).select("doc_id", F.col("at").alias("i"))

@@ -5,24 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_rng = np.random.default_rng(20_240_917)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_BLOCK = 1 << 12
+_factors = np.zeros(0, U)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 4096)
-        for i, b in enumerate((_BASE, _INVERSE)):
-            a = np.full(size, b, U)
-            a[0] = 1
-            _powers[i] = np.cumprod(a, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
+def _factor(n: int) -> np.ndarray:
+    """A random 64-bit factor for each place in a word, the same in every task."""
+    global _factors
+    if len(_factors) < n:
+        _factors = np.concatenate([np.random.default_rng([20_240_917, i]).integers(0, 1 << 64, _BLOCK, dtype=U, endpoint=False) for i in range(-(-n // _BLOCK))])
+    return _factors
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,14 +37,23 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word's bytes; equal words have equal hashes wherever they stand."""
-    first, end = spans(data)
+def word_hashes(data: bytes, at: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of each word's bytes; equal words have equal hashes wherever they stand.
+
+    The sum of (byte + 1) * factor of its place: multilinear hashing modulo 2**64, where any two words, whatever their structure, agree
+    with a probability of 2**-55 at most over the choice of factors.
+    """
+    first, end = at or spans(data)
     if not len(first):
         return np.zeros(0, U)
-    up, down = _power(len(data))
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * up, dtype=U)])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U))
+    size = end - first
+    starts = np.cumsum(size) - size
+    total = int(starts[-1] + size[-1])
+    solid = np.frombuffer(data, np.uint8)
+    if total < len(data):
+        solid = solid[~_WHITE[solid]]
+    place = np.arange(total) - np.repeat(starts, size)
+    return mix(np.add.reduceat((solid.astype(U) + U(1)) * _factor(int(size.max()))[place], starts, dtype=U))
 
 
 def rolled(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -65,12 +69,3 @@ def rolled(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     x = mix(h + U(salt)) if salt else h
     sums = np.concatenate([np.zeros(1, U), np.cumsum(x * up[:-1], dtype=U)])
     return mix((sums[width:] - sums[:-width]) * down[: n] + U(width))
-
-
-def stretches(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each run h[first:end]."""
-    up, down = np.full(len(h) + 1, _BASE, U), np.full(len(h) + 1, _INVERSE, U)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + U(11)) * up[:-1], dtype=U)])
-    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(U))
