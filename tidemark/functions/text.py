@@ -31,6 +31,18 @@ def width_value(text: str) -> int:
     return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Cc", "Cf", "Mn", "Me", "Cn", "Zl", "Zp") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility forms resolved and case folded."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+@F.pandas_udf(StringType())
+def unit(text: pd.Series) -> pd.Series:
+    """The same without blanks around: a word as word lists know it."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold().strip())
+
+
 @F.pandas_udf(StringType())
 def normalize(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else normalize_value(t))
@@ -68,7 +80,7 @@ def collapse_closing(text: Column) -> Column:
 
 
 def trim_end_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\p{P}\s]+\z", "")
+    return F.regexp_replace(text, r"(?U)[\p{P}\s\x1C-\x1F]+\z", "")
 
 
 def ends_with(text: Column, marks: str) -> Column:
@@ -160,6 +172,19 @@ def log_field(text: Column, fallback: str = "unknown") -> Column:
     return F.when(F.length(out) > 64, F.concat(F.substring(out, 1, 61), F.lit("..."))).otherwise(out)
 
 
+def file_name(title: Column, job: Column) -> Column:
+    """The name of a temporary file: a title's letters, digits and hyphens, at most 64 characters, and a job's."""
+    safe = F.substring(F.regexp_replace(F.coalesce(title, F.lit("Timeline")), "[^A-Za-z0-9-]+", "_"), 1, 64)
+    return F.concat(safe, F.lit("_"), F.regexp_replace(job, "[^A-Za-z0-9-]", ""), F.lit("_audio_temp"))
+
+
+def without_paths(text: Column, names: dict[str, str], longest: int = 1000) -> Column:
+    """A message with private paths named instead of shown, cut to a length."""
+    for path, name in names.items():
+        text = F.replace(text, F.lit(path), F.lit(name))
+    return F.substring(text, 1, longest)
+
+
 def url_encoded(text: Column) -> Column:
     """Percent encoding that leaves letters, digits and -_.~ as they are."""
     out = F.url_encode(text)

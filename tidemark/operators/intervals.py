@@ -24,6 +24,17 @@ def merge(df: DataFrame, gap: int = 0, inclusive: bool = False, minimum: int = 1
     return merged.where(F.col("e") - F.col("s") >= minimum).drop("island")
 
 
+def merge_regions(df: DataFrame, totals: DataFrame, gap: int, minimum: int) -> DataFrame:
+    """Union of regions (stream, s, e, confidence) cut to their stream's 0..``total``, with the highest confidence of what is joined."""
+    cut = lambda c: F.greatest(F.lit(0), F.least(F.col("total"), F.col(c)))
+    rows = df.join(totals, "stream").select("stream", cut("s").alias("s"), cut("e").alias("e"), "confidence").where("e > s")
+    order = W.partitionBy("stream").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    flagged = rows.withColumn("new", F.when(reach.isNull() | (F.col("s") - reach >= gap), 1).otherwise(0))
+    island = flagged.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return island.groupBy("stream", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("confidence").alias("confidence")).where(F.col("e") - F.col("s") >= minimum).drop("island")
+
+
 def _bucketed(df: DataFrame, prefix: str, bucket: int) -> DataFrame:
     named = df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
     span = F.sequence(F.floor(F.col(prefix + "s") / bucket), F.floor((F.col(prefix + "e") - 1) / bucket))
@@ -39,8 +50,9 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: int = BUCKET) -> Dat
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Clipped intersections of overlapping pairs, with the left interval's start and the right one's id."""
-    return overlap_join(left, right).select(F.col("l_stream").alias("stream"), F.col("l_s").alias("region_s"), F.col("r_id").alias("id"), F.greatest("l_s", "r_s").alias("s"), F.least("l_e", "r_e").alias("e"))
+    """Clipped intersections of overlapping pairs, with the left interval's start and confidence (if it has one) and the right one's id."""
+    more = [F.col("l_confidence").alias("confidence")] if "confidence" in left.columns else []
+    return overlap_join(left, right).select(F.col("l_stream").alias("stream"), F.col("l_s").alias("region_s"), F.col("r_id").alias("id"), F.greatest("l_s", "r_s").alias("s"), F.least("l_e", "r_e").alias("e"), *more)
 
 
 def _per_region(regions: DataFrame, claims: DataFrame, value: Column) -> DataFrame:
@@ -138,8 +150,10 @@ def snap(df: DataFrame, numerator: int, denominator: int = 1, unit: int = 1000)
     i plus the running maximum of f, and a start is not before the previous end.
     """
     order = W.partitionBy("stream").orderBy("s", "e", "id")
-    fs = F.floor(F.col("s") * numerator / (denominator * unit))
-    fe = F.ceil(F.col("e") * numerator / (denominator * unit))
+    # Whole numbers throughout: a product of milliseconds since 1970 is beyond what a double holds exactly.
+    each = denominator * unit
+    fs = F.expr(f"(s * {numerator}L - pmod(s * {numerator}L, {each}L)) div {each}L")
+    fe = F.expr(f"(e * {numerator}L + pmod(-(e * {numerator}L), {each}L)) div {each}L")
     at = df.select("stream", "id", "s", "e", fs.alias("fs"), fe.alias("fe"), F.row_number().over(order).cast("long").alias("i"))
     end = (F.col("i") + F.max(F.greatest(F.col("fe"), F.col("fs") + 1) - F.col("i")).over(order.rowsBetween(W.unboundedPreceding, 0))).alias("end_frame")
     ended = at.select("stream", "id", "s", "e", "fs", end)

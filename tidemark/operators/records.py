@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.operators.intervals import overlap_join
+from tidemark.operators.scan import ordered_scan
 
 
 def token_candidates(windows: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -42,9 +42,10 @@ def best_valley(asks: DataFrame, valleys: DataFrame, bucket: int) -> DataFrame:
     return pairs.groupBy(F.col("l_stream").alias("stream"), F.col("l_ask").alias("ask")).agg(F.min(order).alias("m")).select("stream", "ask", F.col("m.c").alias("center"))
 
 
-def interval_ratios(df: DataFrame) -> DataFrame:
-    """Share of different intervals, and share of the stream's time between the first start and the last end."""
-    return df.groupBy("stream").agg((F.count_distinct("s", "e") / F.count(F.lit(1))).alias("unique_ratio"), ((F.max("e") - F.min("s")) / F.lit(2_678_400)).alias("span_ratio"))
+def interval_ratios(df: DataFrame, duration: Column | float) -> DataFrame:
+    """Share of different intervals, and share of the stream's ``duration`` between the first start and the last end."""
+    whole = F.lit(duration) if isinstance(duration, (int, float)) else F.max(duration)
+    return df.groupBy("stream").agg((F.count_distinct("s", "e") / F.count(F.lit(1))).alias("unique_ratio"), F.when(whole > 0, F.greatest(F.lit(0), F.max("e") - F.min("s")) / whole).otherwise(0.0).alias("span_ratio"))
 
 
 def verified_files(expected: DataFrame, present: DataFrame) -> DataFrame:
@@ -101,14 +102,26 @@ def next_match(df: DataFrame, hit: Column) -> DataFrame:
     return marked.select("stream", "id", F.coalesce(after, first).alias("next"))
 
 
-def speeds(df: DataFrame, keep: float = 0.65) -> DataFrame:
-    """Smoothed speed of a stream's amounts (stream, id, amount): 0.65 of the old and 0.35 of the new; a zero amount halves it."""
+class _Speed:
+    """A speed that follows new amounts and falls by half while there are none."""
+
+    def __init__(self, keep: float):
+        self.keep, self.speed = keep, 0.0
+
+    def row(self, r) -> list:
+        amount = max(0.0, r[2])
+        if amount > 0:
+            self.speed = self.keep * self.speed + (1 - self.keep) * amount if self.speed > 0 else amount
+        else:
+            self.speed = self.speed / 2 if self.speed >= 2 else 0.0
+        return [(*r, self.speed)]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        speed, out = None, []
-        for v in pdf.sort_values("id")["amount"]:
-            speed = float(v) if speed is None else speed / 2 if v == 0 else keep * speed + (1 - keep) * v
-            out.append(speed)
-        return pdf.sort_values("id").assign(speed=out)
+    def end(self) -> list:
+        return []
 
-    return df.select("stream", "id", F.col("amount").cast("double").alias("amount")).groupBy("stream").applyInPandas(fold, "stream long, id long, amount double, speed double")
+
+def speeds(df: DataFrame, keep: float = 0.65) -> DataFrame:
+    """Smoothed speed of a stream's amounts (stream, id, amount): 0.65 of the old and 0.35 of the new, the new alone after a
+    standstill; without an amount half of the old, nothing below 1."""
+    rows = df.select("stream", "id", F.col("amount").cast("double").alias("amount"))
+    return ordered_scan(rows, ["stream"], ["id"], lambda: _Speed(keep), "stream long, id long, amount double, speed double")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.scan import ordered_scan
+
 BLOCK = 65_536
 
 
@@ -37,23 +39,43 @@ def smooth_centered(track: DataFrame, frames: int) -> DataFrame:
     return summed.join(ends, "stream").select("stream", "frame", "p", ((F.col("inside") + beyond) / frames).alias("smooth"))
 
 
+def _numbered(track: DataFrame, flag: Column) -> DataFrame:
+    """``track`` with ``flag`` and ``run``, the first frame of the maximal run of equal flags that a frame is in.
+
+    Runs are found within blocks of frames; only those that touch a block's edge, two a block at most, are joined across blocks in one
+    window over the stream. Frames count up without gaps."""
+    w = W.partitionBy("stream", "block").orderBy("frame")
+    marked = track.withColumns({"flag": flag, "block": F.floor(F.col("frame") / BLOCK)})
+    begins = F.when(~F.lag("flag").over(w).eqNullSafe(F.col("flag")), F.col("frame"))
+    local = marked.withColumn("begin", begins).withColumn("begin", F.max("begin").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = local.groupBy("stream", "block", "begin", "flag").agg((F.max("frame") + 1).alias("end"))
+    edges = pieces.where((F.col("begin") % BLOCK == 0) | (F.col("end") % BLOCK == 0))
+    order = W.partitionBy("stream").orderBy("begin")
+    goes_on = (F.lag("end").over(order) == F.col("begin")) & F.lag("flag").over(order).eqNullSafe(F.col("flag"))
+    first = F.max(F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("begin"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    moved = edges.select("stream", "begin", first.alias("run")).where("run != begin")
+    return local.join(moved, ["stream", "begin"], "left").withColumn("run", F.coalesce("run", "begin")).drop("block", "begin")
+
+
 def runs(track: DataFrame, flag: Column) -> DataFrame:
     """Maximal runs of equal ``flag``: stream, flag, start, end (exclusive)."""
-    w = W.partitionBy("stream").orderBy("frame")
-    marked = track.select("stream", "frame", flag.alias("flag"))
-    marked = marked.withColumn("new", F.when(F.lag("flag").over(w).eqNullSafe(F.col("flag")), 0).otherwise(1))
-    numbered = marked.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("stream", "run", "flag").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end")).drop("run")
+    numbered = _numbered(track, flag)
+    return numbered.groupBy("stream", "flag", F.col("run").alias("start")).agg((F.max("frame") + 1).alias("end")).select("stream", "flag", "start", "end")
+
+
+def valley_frames(seconds: float, rate: int, hop: int) -> int:
+    """The least number of frames of a valley of so many seconds: two at least."""
+    return max(2, -(-round(seconds * rate * 1_000_000) // (hop * 1_000_000)))
 
 
 def valleys(track: DataFrame, threshold: float, minimum: int) -> DataFrame:
     """Runs of smoothed values at or below ``threshold`` of at least ``minimum`` frames, with their statistics."""
-    w = W.partitionBy("stream").orderBy("frame")
-    low = track.withColumn("low", F.col("smooth") <= threshold)
-    numbered = low.withColumn("run", F.sum(F.when(F.lag("low").over(w).eqNullSafe(F.col("low")), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).where("low")
-    found = numbered.groupBy("stream", "run").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.avg("smooth").alias("mean"), F.expr("percentile(smooth, 0.95)").alias("p95"), F.map_from_arrays(F.collect_list("frame"), F.collect_list("smooth")).alias("values"))
-    center = F.floor((F.col("start") + F.col("end")) / 2)
-    return found.where(F.col("end") - F.col("start") >= minimum).select("stream", "start", "end", center.alias("center"), F.element_at("values", center).alias("at_center"), "mean", "p95")
+    low = _numbered(track, F.col("smooth") <= threshold).where("flag")
+    found = low.groupBy("stream", F.col("run").alias("start")).agg((F.max("frame") + 1).alias("end"), F.avg("smooth").alias("mean"), F.expr("percentile(smooth, 0.95)").alias("p95"))
+    found = found.where(F.col("end") - F.col("start") >= minimum).withColumn("center", F.floor((F.col("start") + F.col("end")) / 2))
+    # Of two frames or more, the middle one is in the run.
+    at = track.select("stream", F.col("frame").alias("center"), F.col("smooth").alias("at_center"))
+    return found.join(at, ["stream", "center"]).select("stream", "start", "end", "center", "at_center", "mean", "p95")
 
 
 def hysteresis(track: DataFrame, threshold: float, min_speech: int, min_silence: int, shift: int, padded: bool = False) -> DataFrame:
@@ -102,28 +124,26 @@ def hysteresis_limited(track: DataFrame, threshold: float, min_speech: int, min_
     return track.select("stream", "frame", "smooth").groupBy("stream").applyInPandas(fold, "stream string, start long, end long")
 
 
-def block_average(track: DataFrame, block: int, overlap: int) -> DataFrame:
-    """Mean over the overlapping blocks that hold a frame; here a block's value is the frame's own, less its place in the block over 10000."""
-    step = block - overlap
-    first = F.greatest(F.lit(0), F.floor((F.col("frame") - block) / step) + 1)
-    held = track.withColumn("k", F.explode(F.sequence(first, F.floor(F.col("frame") / step))))
-    value = F.col("p") - (F.col("frame") - F.col("k") * step) / 10000.0
-    return held.groupBy("stream", "frame").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_blocks"))
+class _Quiet:
+    """The time of a key's last row that was let through; others do not move it."""
+
+    def __init__(self, at: int, quiet: int):
+        self.at, self.quiet, self.last = at, quiet, None
+
+    def row(self, r) -> list:
+        if self.last is None or r[self.at] - self.last >= self.quiet:
+            self.last = r[self.at]
+            return [r]
+        return []
+
+    def end(self) -> list:
+        return []
 
 
 def throttle(df: DataFrame, key: str, time: str, quiet: int) -> DataFrame:
     """Rows of each key that come at least ``quiet`` after the last row that was let through."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, "id"])
-        last, keep = None, []
-        for t in pdf[time]:
-            through = last is None or t - last >= quiet
-            keep.append(through)
-            last = t if through else last
-        return pdf[keep]
-
-    return df.select(key, "id", time).groupBy(key).applyInPandas(fold, df.select(key, "id", time).schema)
+    rows = df.select(key, "id", time)
+    return ordered_scan(rows, [key], [time, "id"], lambda: _Quiet(2, quiet), rows.schema)
 
 
 def plan_windows(ends: DataFrame, cuts: DataFrame, target: int, soft: int, hard: int, minimum: int, context: int, unit: float) -> DataFrame:

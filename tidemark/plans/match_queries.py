@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -72,15 +71,6 @@ def line_mapping(spark, d):
     return match.map_lines(rows, 0.5)
 
 
-def quality_gate(spark, d):
-    """Reasons against each stream's intervals, in order."""
-    order = W.partitionBy("stream").orderBy("id")
-    at = intervals(spark, d).withColumns({"ps": F.lag("s").over(order), "pe": F.lag("e").over(order)})
-    agg = at.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("starts"), (F.max("e") - F.min("s")).alias("span"), F.count_if(F.col("e") - F.col("s") < 600).alias("tiny"), F.count_if(F.col("s") < F.col("pe")).alias("over"), F.count_if(F.col("s") < F.col("ps")).alias("back"))
-    reasons = match.quality_reasons([("COLLAPSED_ALIGNMENT_INTERVALS", (F.col("n") >= 10) & (F.col("starts") < 0.8 * F.col("n"))), ("COMPRESSED_ALIGNMENT_SPAN", F.col("span") < 0.98 * 2_592_000), ("LOCALLY_COLLAPSED_SCRIPT_INTERVALS", F.col("tiny") > 0.1 * F.col("n")), ("NON_MONOTONIC_SCRIPT_INTERVALS", F.col("back") > 0), ("OVERLAPPING_SCRIPT_INTERVALS", F.col("over") > 20)])
-    return agg.select("stream", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
-
-
 def dedup_reconcile(spark, d):
     """Events of a user of one kind as candidates of three overlapping windows."""
     c = intervals(spark, d).select("stream", F.col("kind").alias("norm"), "id", (F.col("id") % 3).alias("win"), F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), (F.col("s") - F.col("id") % 50).cast("double").alias("in_s"), (F.col("e") + F.col("id") % 70).cast("double").alias("in_e"), F.lit(1.0).alias("coverage"))
@@ -95,47 +85,7 @@ def validate_alignment(spark, d):
     return match.first_fault(intervals(spark, d), 0, 1_706_500_000)
 
 
-def repair_alignment(spark, d):
-    """Words of a turn decoded on a coarse time grid, zero lengths repaired."""
-
-    def one(it):
-        for pdf in it:
-            out = []
-            for stream, words in zip(pdf["stream"], pdf["words"]):
-                grid = [(w, 0.24 * (i // 2) + (0.16 if i % 2 else 0), 0.24 * (i // 2) + 0.16) for i, w in enumerate(words)]
-                fixed, error = match.repaired(grid, 0.0, 0.24 * (len(words) // 2 + 1))
-                out.append((stream, len(fixed), error, round(sum(b - a for _, a, b in fixed), 3)))
-            yield pd.DataFrame(out, columns=["stream", "n", "error", "seconds"])
-
-    rows = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream"), tx.split_blank(F.col("text")).alias("words"))
-    return rows.mapInPandas(one, "stream long, n long, error string, seconds double")
-
-
-def restore_punctuation(spark, d):
-    """Bare words of a turn with the marks of its text."""
-
-    def one(it):
-        for pdf in it:
-            yield pd.DataFrame({"stream": pdf["stream"], "restored": [" ".join(match.punctuated(t, list(w))) for t, w in zip(pdf["text"], pdf["words"])]})
-
-    rows = _talk(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream"), "text", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
-    return rows.mapInPandas(one, "stream long, restored string")
-
-
-def recovery_match(spark, d):
-    """For each conversation, later turns as recovery windows over the words of the first turns."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        words = [(w, 0.4 * i, 0.4 * i + 0.35) for i, w in enumerate(w for t in pdf["text"] for w in t.split())]
-        windows = [(int(t), 4.0 * n, 4.0 * n + 2.0, " ".join(w for w, a, _ in words if 4.0 * n <= a <= 4.0 * n + 2.0)) for n, t in enumerate(pdf["turn"])]
-        found = match.recovered(windows, words)
-        return pd.DataFrame([(pdf["conv_id"].iloc[0], w, len(i), int(min(i))) for w, i in found.items()], columns=["conv_id", "turn", "n_tokens", "first_token"])
-
-    return _talk(spark, d).groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, n_tokens long, first_token long")
-
-
-QUERIES = {f.__name__: f for f in (boundary_features, boundary_score, segment_blocks, subtitle_files, timed_units, group_coverage, coverage_ratio, line_mapping, quality_gate, dedup_reconcile, stabilize_blocks, validate_alignment, repair_alignment, restore_punctuation, recovery_match)}
+QUERIES = {f.__name__: f for f in (boundary_features, boundary_score, segment_blocks, subtitle_files, timed_units, group_coverage, coverage_ratio, line_mapping, dedup_reconcile, stabilize_blocks, validate_alignment)}
 
 _TOK = r"list_filter(string_split_regex({x}, '[ \t\n\x0B\f\r]+'), lambda t: t != '')"
 _EDGE = tx.EDGE.replace("'", "''")
@@ -160,10 +110,6 @@ ORACLE = {
       SELECT stream, ord, i, unit, round(ord * 400 + 350 * i / n, 3) AS start, round(ord * 400 + 350 * (i + 1) / n, 3) AS "end" FROM e WHERE unit != ''""",
     "group_coverage": rf"""WITH a AS (SELECT doc_id AS stream, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT stream, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS line FROM a), c AS (SELECT stream, line, unnest({_TOK.format(x='lower(t)')}) AS w FROM b)
       SELECT stream, line, count_if(NOT regexp_matches(w, '[kq]'))::bigint AS complete, count(*) AS total, round(count_if(NOT regexp_matches(w, '[kq]')) / count(*), 6) AS coverage FROM c GROUP BY stream, line""",
-    "quality_gate": f"""WITH {_IV}, a AS (SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY stream ORDER BY id)),
-      g AS (SELECT stream, count(*) AS n, count(DISTINCT s) AS starts, max(e) - min(s) AS span, count_if(e - s < 600) AS tiny, count_if(s < pe) AS over_, count_if(s < ps) AS back FROM a GROUP BY stream),
-      r AS (SELECT stream, concat_ws(',', CASE WHEN n >= 10 AND starts < 0.8 * n THEN 'COLLAPSED_ALIGNMENT_INTERVALS' END, CASE WHEN span < 0.98 * 2592000 THEN 'COMPRESSED_ALIGNMENT_SPAN' END, CASE WHEN tiny > 0.1 * n THEN 'LOCALLY_COLLAPSED_SCRIPT_INTERVALS' END, CASE WHEN back > 0 THEN 'NON_MONOTONIC_SCRIPT_INTERVALS' END, CASE WHEN over_ > 20 THEN 'OVERLAPPING_SCRIPT_INTERVALS' END) AS reasons FROM g)
-      SELECT stream, reasons, reasons = '' AS passed FROM r""",
     "validate_alignment": f"""WITH {_IV}, a AS (SELECT *, row_number() OVER w - 1 AS i, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY stream ORDER BY id)),
       b AS (SELECT stream, i, CASE WHEN s < 0 OR e > 1706500000 THEN 'TOKEN_OUT_OF_BOUNDS' WHEN e <= s THEN 'INVALID_INTERVAL' WHEN s < ps OR e < pe THEN 'NON_MONOTONIC_TIME' END AS code FROM a)
       SELECT stream, coalesce(arg_min(code, i) FILTER (code IS NOT NULL) || ':' || min(i) FILTER (code IS NOT NULL), '') AS error FROM b GROUP BY stream""",

@@ -40,7 +40,7 @@ def best_valley(spark, d):
 
 
 def interval_ratios(spark, d):
-    return ops.interval_ratios(intervals(spark, d)).withColumns({c: F.round(c, 6) for c in ("unique_ratio", "span_ratio")})
+    return ops.interval_ratios(intervals(spark, d), 2_678_400).withColumns({c: F.round(c, 6) for c in ("unique_ratio", "span_ratio")})
 
 
 def manifest_verify(spark, d):
@@ -84,12 +84,6 @@ def download_speed(spark, d):
     return ops.speeds(intervals(spark, d).select("stream", "id", F.when(F.col("kind") == "error", 0).otherwise(F.col("e") - F.col("s")).alias("amount"))).withColumn("speed", F.round("speed", 4))
 
 
-def run_metrics(spark, d):
-    """Counts and sums of the windows by why they end, and the real-time factor of a run of 1000 s."""
-    w = _windows(spark, d)
-    return w.groupBy("stream").agg(F.count_if(F.col("e") - F.col("s") == LONGEST).alias("hard_max"), F.count_if(F.col("e") - F.col("s") < LONGEST).alias("end_of_region"), F.sum(F.col("e") - F.col("s")).alias("seconds")).withColumn("real_time_factor", F.round(F.when(F.col("seconds") > 0, 1000 / F.col("seconds")), 6))
-
-
 def global_totals(spark, d):
     return intervals(spark, d).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") - F.col("s")).alias("seconds"), F.bool_and(F.col("e") > F.col("s")).alias("all_valid"), F.max(F.col("e") - F.col("s")).alias("peak"))
 
@@ -100,13 +94,6 @@ def text_statistics(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")).cast("long").alias("lexical"), F.regexp_count(t, F.lit(r"\d[.,] \d")).cast("long").alias("continued"), F.length(F.regexp_replace(t, r"[^\x{1100}-\x{11FF}\x{2E80}-\x{2FFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]", "")).cast("long").alias("cjk"))
 
 
-def word_groups(spark, d):
-    """Mapping groups of each turn: words, in which inner apostrophes, stops and hyphens do not part."""
-    t = F.regexp_replace(F.lower("text"), r"(?<=[\p{L}\p{N}])['’.-](?=[\p{L}\p{N}])", "")
-    groups = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(groups).cast("long").alias("n"), F.md5(F.array_join(groups, " ")).alias("digest"))
-
-
 def block_scores(spark, d):
     """Fill score and fragment width for widths of 1 to 60 at 42."""
     rows = [(n, segment.fragment_units(n), segment.fill_score(n, 42)) for n in range(1, 61)]
@@ -130,7 +117,7 @@ def abnormal_share(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(tx.abnormal(F.col("text")).cast("int")), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (token_candidates, core_claimed, same_occurrence, best_valley, interval_ratios, manifest_verify, comparison_report, subtitle_track, render_range, error_class, paging, find_next, download_speed, run_metrics, global_totals, text_statistics, word_groups, block_scores, union_recovered, reason_list, abnormal_share)}
+QUERIES = {f.__name__: f for f in (token_candidates, core_claimed, same_occurrence, best_valley, interval_ratios, manifest_verify, comparison_report, subtitle_track, render_range, error_class, paging, find_next, download_speed, global_totals, text_statistics, block_scores, union_recovered, reason_list, abnormal_share)}
 
 _IV = "iv AS (SELECT user_id AS stream, event_id AS id, event_type AS kind, cast(floor(epoch_us(ts) / 1000000.0) AS bigint) AS s, cast(floor(epoch_us(ts) / 1000000.0) AS bigint) + 1 + cast(floor(value * 300) AS bigint) AS e FROM events)"
 _WIN = f"""WITH {_IV}, v AS (SELECT * FROM iv WHERE kind = 'view'), m AS (SELECT stream, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY stream ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -154,7 +141,6 @@ ORACLE = {
     "error_class": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'cuda' WHEN 1 THEN 'memory' WHEN 2 THEN 'mps' ELSE 'other' END AS cls, event_id % 4 != 0 AS valid_id FROM events",
     "paging": f"WITH {_IV}, a AS (SELECT stream, id, row_number() OVER (PARTITION BY stream ORDER BY id) - 1 AS n FROM iv) SELECT stream, id, n // 150 AS page, n % 150 AS place FROM a",
     "find_next": f"WITH {_IV}, a AS (SELECT stream, id, CASE WHEN kind = 'error' THEN id END AS hit FROM iv) SELECT stream, id, coalesce(min(hit) OVER (PARTITION BY stream ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(hit) OVER (PARTITION BY stream)) AS next FROM a",
-    "run_metrics": f"{_WIN} SELECT stream, count_if(e - s = {LONGEST})::bigint AS hard_max, count_if(e - s < {LONGEST})::bigint AS end_of_region, sum(e - s)::bigint AS seconds, round(1000 / sum(e - s), 6) AS real_time_factor FROM w GROUP BY stream",
     "global_totals": f"WITH {_IV} SELECT count(*) AS n, sum(e - s)::bigint AS seconds, bool_and(e > s) AS all_valid, max(e - s) AS peak FROM iv",
     "text_statistics": f"SELECT doc_id, length(regexp_replace(text, '{_LETTERS}', '', 'g')) AS lexical, len(regexp_extract_all(text, '\\d[.,] \\d')) AS continued, length(regexp_replace(text, '[^\\x{{1100}}-\\x{{11FF}}\\x{{2E80}}-\\x{{2FFF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]', '', 'g')) AS cjk FROM documents",
     "union_recovered": f"WITH {_IV} SELECT stream, s, e FROM iv WHERE kind = 'view' UNION ALL SELECT DISTINCT stream, s, e FROM iv r WHERE kind = 'error' AND NOT EXISTS (SELECT 1 FROM iv c WHERE c.kind = 'click' AND c.stream = r.stream AND c.s < r.e AND r.s < c.e)",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions import rates
+from tidemark.operators import audio
 from tidemark.operators import signal as ops
-from tidemark.sources.frames import intervals, signal
+from tidemark.sources.frames import intervals, signal, table
 
 THRESHOLD, FRAMES, SPEECH, SILENCE = 0.4, 5, 2, 3
 
@@ -36,12 +38,57 @@ def hysteresis_padded(spark, d):
 
 
 def hysteresis_limited(spark, d):
-    """Equal to ``hysteresis_regions``: no region reaches 30 000 frames."""
-    return ops.hysteresis_limited(_rounded(ops.smooth_causal(signal(spark, d), FRAMES), "smooth"), THRESHOLD, SPEECH, SILENCE, FRAMES, 30_000)
+    """Regions of at most 20 frames, which most would pass: counting starts anew after each cut."""
+    return ops.hysteresis_limited(_rounded(ops.smooth_causal(signal(spark, d), FRAMES), "smooth"), THRESHOLD, SPEECH, SILENCE, FRAMES, 20)
 
 
 def block_average(spark, d):
-    return _rounded(ops.block_average(signal(spark, d), 300, 100), "value")
+    """Blocks of 300 frames that overlap by 100, each frame's value lowered by its place in the block; no block has an answer for frames 700 to 999."""
+    track = signal(spark, d).select("stream", "frame", F.col("p").alias("v"))
+    values = audio.blocks(track, 300, 100).where("frame NOT BETWEEN 700 AND 999").select("stream", "frame", (F.col("v") - (F.col("frame") - F.col("block_start")) / 10000.0).alias("value"))
+    return _rounded(audio.averaged(values, track.groupBy("stream").agg((F.max("frame") + 1).alias("total"))), "value")
+
+
+def block_analysis(spark, d):
+    """A model that answers with the values and one region, the block's first half: tracks averaged, regions merged."""
+    track = signal(spark, d).select("stream", "frame", F.col("p").alias("v"))
+    return audio.analysed(track, 300, 100, lambda v: (v, [(0, len(v) // 2, 0.5 + len(v) / 1000)]), 30, 20)[1]
+
+
+def hysteresis_finished(spark, d):
+    """Padded regions as samples of a 16 kHz stream: widened, rounded by single precision, joined."""
+    totals = signal(spark, d).groupBy("stream").agg(((F.max("frame") + 1) * 160 - 37).alias("total"))
+    return audio.finished(hysteresis_padded(spark, d), totals, 16_000, 100, FRAMES, 2, 4, lambda c: rates.native_sample(c, 16_000))
+
+
+def valley_lengths(spark, d):
+    """Valleys of at least 0.3 s at 10 frames a second."""
+    return _rounded(ops.valleys(_rounded(ops.smooth_centered(signal(spark, d), FRAMES), "smooth"), 0.3, ops.valley_frames(0.3, 16_000, 1600)), "at_center", "mean", "p95")
+
+
+def audio_peaks(spark, d):
+    """Peak of each stream, which one of three has a value without number in."""
+    v = F.when((F.col("frame") == 5) & (F.length("stream") % 3 == 0), F.lit(float("nan"))).otherwise(F.col("p") * 3 - 2)
+    return audio.peaks(signal(spark, d).select("stream", "frame", v.alias("v")))
+
+
+def audio_prepared(spark, d):
+    """Customers' balances as two channels of a stream for each nation; some files are ready as they are."""
+    c = table(spark, d, "customer")
+    order = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = c.select(F.col("c_nationkey").cast("long").alias("stream"), (F.row_number().over(order) - 1).cast("long").alias("n"), (F.col("c_acctbal").cast("double") / 4000).alias("v"))
+    samples = rows.select("stream", F.floor(F.col("n") / 2).alias("frame"), (F.col("n") % 2).alias("channel"), "v")
+    files = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("path"), F.lit("WAV").alias("format"), F.when(F.col("n_nationkey") % 4 == 0, "PCM_16").otherwise("FLOAT").alias("subtype"), F.when(F.col("n_nationkey") % 7 == 6, 8000).otherwise(16000).alias("rate"), F.lit(1).alias("channels"), F.lit(10).alias("frames"))
+    ready_rows = samples.where("channel = 0")  # one channel is what a ready file has
+    out = audio.prepared(files, samples.where("stream % 4 != 0").unionByName(ready_rows.where("stream % 4 = 0")), 16000)
+    return out.select("stream", "frame", F.round("v", 6).alias("v"))
+
+
+def audio_ranges(spark, d):
+    """Ranges of each signal that begin before it, end behind it, or are empty."""
+    track = signal(spark, d).select("stream", "frame", F.col("p").alias("v"))
+    asks = spark.range(1, 40).select(F.col("id").alias("ask"), (F.col("id") * 37 - 200).alias("start"), (F.col("id") * 37 - 200 + F.col("id") % 7 * 5).alias("end"))
+    return _rounded(audio.ranges(track, track.select("stream").distinct().join(asks)), "v")
 
 
 def throttle(spark, d):
@@ -63,9 +110,8 @@ def isotonic_windows(spark, d):
 
 def normalize_range(spark, d):
     """Values over the stream's peak where that is above one, clipped to [-1, 1]."""
-    track = intervals(spark, d).select("stream", "id", ((F.col("e") - F.col("s")) / 30000.0).alias("v"))
-    peak = F.max(F.abs("v")).over(W.partitionBy("stream"))
-    return _rounded(track.select("stream", "id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v") / F.greatest(F.lit(1.0), peak))).alias("v")), "v")
+    track = intervals(spark, d).select("stream", F.col("id").alias("frame"), ((F.col("e") - F.col("s")) / 30000.0).alias("v"))
+    return _rounded(audio.normalised(track), "v").withColumnRenamed("frame", "id")
 
 
 def group_report(spark, d):
@@ -81,7 +127,7 @@ def progress_monotone(spark, d):
     return intervals(spark, d).select("stream", "id", F.least(F.lit(100), F.max(F.floor((F.col("e") - F.col("s")) / 600)).over(order)).alias("progress"))
 
 
-QUERIES = {f.__name__: f for f in (smooth_causal, smooth_centered, threshold_runs, hysteresis_regions, hysteresis_padded, hysteresis_limited, block_average, throttle, plan_windows, isotonic_windows, normalize_range, group_report, progress_monotone)}
+QUERIES = {f.__name__: f for f in (smooth_causal, smooth_centered, threshold_runs, hysteresis_regions, hysteresis_padded, hysteresis_limited, hysteresis_finished, valley_lengths, block_average, block_analysis, audio_peaks, audio_prepared, audio_ranges, throttle, plan_windows, isotonic_windows, normalize_range, group_report, progress_monotone)}
 
 _SIG = "sig AS (SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame, least(1.0, value / 100.0) AS p FROM events)"
 _CAUSAL = f"{_SIG}, sm AS (SELECT stream, frame, p, round(sum(p) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5, 6) AS smooth FROM sig)"
@@ -103,8 +149,34 @@ ORACLE = {
     "threshold_runs": f'WITH {_VALLEY} SELECT v.stream, start, "end", center, round(sm.smooth, 6) AS at_center, round(mean, 6) AS mean, round(p95, 6) AS p95 FROM val v JOIN sm ON sm.stream = v.stream AND sm.frame = v.center',
     "hysteresis_regions": _HYST.format(pad=0),
     "hysteresis_padded": _HYST.format(pad=3),
-    "hysteresis_limited": _HYST.format(pad=0),
-    "block_average": f"WITH {_SIG}, k AS (SELECT *, unnest(range(greatest(0, cast(floor((frame - 300) / 200.0) AS bigint) + 1), frame // 200 + 1)) AS k FROM sig) SELECT stream, frame, round(avg(p - (frame - k * 200) / 10000.0), 6) AS value, count(*) AS n_blocks FROM k GROUP BY stream, frame",
+    "hysteresis_limited": f"""WITH RECURSIVE {_CAUSAL}, f AS (SELECT stream, frame, smooth >= 0.4 AS on_ FROM sm), n AS (SELECT stream, max(frame) + 1 AS n FROM f GROUP BY stream),
+      t AS (SELECT stream, 0::bigint AS frame, 0::bigint AS speech, 0::bigint AS quiet, NULL::bigint AS begin_, NULL::bigint AS out_s, NULL::bigint AS out_e FROM n
+        UNION ALL SELECT t.stream, t.frame + 1, CASE WHEN t.begin_ IS NOT NULL THEN 0 WHEN f.on_ AND t.speech + 1 <= 2 THEN t.speech + 1 ELSE 0 END,
+          CASE WHEN t.begin_ IS NULL OR f.on_ THEN 0 WHEN t.quiet + 1 >= 3 OR t.frame + 1 - t.begin_ >= 20 THEN 0 ELSE t.quiet + 1 END,
+          CASE WHEN t.begin_ IS NULL THEN CASE WHEN f.on_ AND t.speech + 1 > 2 THEN greatest(0, t.frame - t.speech - 5) END WHEN (NOT f.on_ AND t.quiet + 1 >= 3) OR t.frame + 1 - t.begin_ >= 20 THEN NULL ELSE t.begin_ END,
+          CASE WHEN t.begin_ IS NOT NULL AND ((NOT f.on_ AND t.quiet + 1 >= 3) OR t.frame + 1 - t.begin_ >= 20) THEN t.begin_ END,
+          CASE WHEN t.begin_ IS NOT NULL AND NOT f.on_ AND t.quiet + 1 >= 3 THEN t.frame - t.quiet WHEN t.begin_ IS NOT NULL AND t.frame + 1 - t.begin_ >= 20 THEN t.frame + 1 END
+        FROM t JOIN f ON f.stream = t.stream AND f.frame = t.frame)
+      SELECT stream, out_s AS start, out_e AS "end" FROM t WHERE out_s IS NOT NULL UNION ALL SELECT t.stream, begin_, n FROM t JOIN n ON n.stream = t.stream AND t.frame = n.n WHERE begin_ IS NOT NULL""",
+    "hysteresis_finished": f"""WITH raw AS ({_HYST.format(pad=3)}), q AS (SELECT event_type AS stream, count(*) * 160 - 37 AS total FROM events GROUP BY event_type),
+      a AS (SELECT stream, total, greatest(0, (start - 2) * 160) AS s, least(total, ("end" + 2) * 160) AS e, start = max(start) OVER (PARTITION BY stream) AS last_ FROM raw JOIN q USING (stream)),
+      b AS (SELECT stream, total, s, CASE WHEN last_ AND total - e <= 800 THEN total ELSE e END AS e FROM a),
+      c AS (SELECT stream, greatest(0, least(cast(round_even(round_even(cast(cast(s / 16000.0 AS float) AS double), 3) * 16000, 0) AS bigint), total)) AS s, greatest(0, least(cast(round_even(round_even(cast(cast(e / 16000.0 AS float) AS double), 3) * 16000, 0) AS bigint), total)) AS e FROM b),
+      d AS (SELECT *, max(e) OVER (PARTITION BY stream ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE e > s), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 640 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM d)
+      SELECT stream, min(s) AS s, max(e) AS e FROM i GROUP BY stream, island""",
+    "valley_lengths": f'WITH {_VALLEY.replace(">= 2)", ">= 3)")} SELECT v.stream, start, "end", center, round(sm.smooth, 6) AS at_center, round(mean, 6) AS mean, round(p95, 6) AS p95 FROM val v JOIN sm ON sm.stream = v.stream AND sm.frame = v.center',
+    "block_average": f"""WITH {_SIG}, t AS (SELECT stream, max(frame) + 1 AS total FROM sig GROUP BY stream), k AS (SELECT *, unnest(range(greatest(0, cast(floor((frame - 300) / 200.0) AS bigint) + 1), frame // 200 + 1)) AS k FROM sig JOIN t USING (stream)),
+      m AS (SELECT stream, frame, avg(p - (frame - k * 200) / 10000.0) AS value, count(*) AS n FROM k WHERE (k = 0 OR (k - 1) * 200 + 300 < total) AND frame NOT BETWEEN 700 AND 999 GROUP BY stream, frame)
+      SELECT s.stream, s.frame, round(coalesce(value, 1.0), 6) AS value, coalesce(n, 0) AS n_blocks FROM sig s LEFT JOIN m USING (stream, frame)""",
+    "block_analysis": f"""WITH {_SIG}, t AS (SELECT stream, max(frame) + 1 AS total FROM sig GROUP BY stream), k AS (SELECT stream, total, unnest(range(0, total, 200)) AS st FROM t), b AS (SELECT stream, st AS s, st + least(300, total - st) // 2 AS e, 0.5 + least(300, total - st) / 1000.0 AS c, total FROM k WHERE st = 0 OR st - 200 + 300 < total),
+      d AS (SELECT *, max(e) OVER (PARTITION BY stream ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b WHERE e > s), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM d)
+      SELECT stream, min(s) AS s, max(e) AS e, max(c)::double AS confidence FROM i GROUP BY stream, island HAVING max(e) - min(s) >= 20""",
+    "audio_peaks": f"WITH {_SIG} SELECT stream, count(*) AS n, CASE WHEN length(stream) % 3 = 0 THEN NULL ELSE max(abs(p * 3 - 2)) END AS peak, CASE WHEN length(stream) % 3 = 0 THEN 'AUDIO_NOT_FINITE' END AS error FROM sig GROUP BY stream",
+    "audio_prepared": """WITH a AS (SELECT c_nationkey::bigint AS stream, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, c_acctbal::double / 4000 AS v FROM customer), b AS (SELECT stream, n // 2 AS frame, n % 2 AS channel, v FROM a WHERE stream % 7 != 6),
+      m AS (SELECT stream, frame, avg(v) AS v FROM b WHERE stream % 4 != 0 GROUP BY stream, frame)
+      SELECT stream, frame, round(v, 6) AS v FROM b WHERE stream % 4 = 0 AND channel = 0 UNION ALL SELECT stream, frame, round(greatest(-1.0, least(1.0, v / greatest(1.0, max(abs(v)) OVER (PARTITION BY stream)))), 6) FROM m""",
+    "audio_ranges": f"""WITH {_SIG}, t AS (SELECT stream, max(frame) + 1 AS n FROM sig GROUP BY stream), q AS (SELECT i AS ask, i * 37 - 200 AS a, i * 37 - 200 + i % 7 * 5 AS b FROM range(1, 40) r(i)), c AS (SELECT stream, ask, greatest(0, least(n, a)) AS a, greatest(0, least(n, b)) AS b FROM t, q)
+      SELECT c.stream, ask, frame - a AS at, round(p, 6) AS v FROM c JOIN sig ON sig.stream = c.stream AND frame >= a AND frame < b""",
     "throttle": f"""WITH RECURSIVE {_IV}, a AS (SELECT kind AS signature, id, s, row_number() OVER (PARTITION BY kind ORDER BY s, id) AS n FROM iv),
       t AS (SELECT signature, id, s, n, s AS last, true AS through FROM a WHERE n = 1 UNION ALL SELECT a.signature, a.id, a.s, a.n, CASE WHEN a.s - t.last >= 3600 THEN a.s ELSE t.last END, a.s - t.last >= 3600 FROM t JOIN a ON a.signature = t.signature AND a.n = t.n + 1)
       SELECT signature, id, s FROM t WHERE through""",

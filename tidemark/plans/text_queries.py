@@ -125,64 +125,10 @@ def timecode(spark, d):
     return intervals(spark, d).select("id", tc.timecode(n, 25).alias("plain"), tc.timecode(n, 30, drop=True).alias("drop30"), tc.timecode(n, 60, drop=True).alias("drop60"), tc.seconds_to_frames(F.col("id") * 1.0, 30000, 1001).alias("frames"))
 
 
-def trusted_language(spark, d):
-    """The first recognised language of a conversation holds for its later turns."""
-    seen = F.when(T().contains(" the "), "English").when(T().contains(" der "), "German").when(T().contains(" les "), "French").when(T().contains(" los "), "Spanish")
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return _talk(spark, d).select("conv_id", "turn", F.coalesce(F.first(seen, ignorenulls=True).over(w), F.lit("")).alias("language"))
-
-
-def previous_tail(spark, d):
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    return _talk(spark, d).select("conv_id", "turn", F.coalesce(F.right(F.trim(before), F.lit(160)), F.lit("")).alias("tail"))
-
-
-def asr_outcome(spark, d):
-    """First fault of a turn taken as a transcript of its window: abnormal, repeating, over its budget, empty for speech."""
-    n = F.size(tx.split_blank(T()))
-    out = F.when(tx.abnormal(T()), "ABNORMAL_TRANSCRIPT").when(tx.repeated_suffix(tx.split_blank(T()), 2, 3), "ASR_REPETITION_DETECTED").when((n >= 96) & (F.col("turn") % 2 == 0), "ASR_TOKEN_LIMIT_REACHED").when((F.trim(T()) == "") & (F.col("turn") > 0), "EMPTY_TRANSCRIPT_FOR_SPEECH").otherwise("")
-    return _talk(spark, d).select("conv_id", "turn", out.alias("error"), (out == "").alias("valid"))
-
-
-def response_parse(spark, d):
-    """Fields of a JSON response; a number that is none is a fault."""
-    k = F.try_element_at(F.from_json("props", "map<string,string>"), F.lit("k")).try_cast("int")
-    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(-1)).alias("generated"), F.coalesce(k >= 80, F.lit(False)).alias("hit_limit"), k.isNull().alias("fault"))
-
-
-def retention(spark, d):
-    """What happens to finished jobs: dropped by age (a day for done ones, three for others, here in units of 300 days), by rank over 100, or kept."""
-    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("state"), F.datediff(F.lit("2001-09-01").cast("date"), F.col("o_orderdate").cast("date")).alias("age"))
-    old = F.col("age") >= F.when(F.col("state") == "F", 300).otherwise(900)
-    first = jobs.where(~old).orderBy("age", "job").limit(100).select(F.col("job").alias("kept"))  # 100 rows at most
-    joined = jobs.join(F.broadcast(first), F.col("job") == F.col("kept"), "left")
-    return joined.select("job", F.when(old, "expired").when(F.col("kept").isNotNull(), "kept").otherwise("over_limit").alias("action"))
-
-
-def _open_jobs(spark, d):
-    """Open jobs of customers that have no running one."""
-    o = table(spark, d, "orders")
-    busy = o.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_custkey")
-    return o.where("o_orderstatus = 'O'").join(busy, "o_custkey", "left_anti")
-
-
-def job_queue(spark, d):
-    """The 50 oldest open jobs, as its SQL says; ``job_candidates`` has all."""
-    return _open_jobs(spark, d).orderBy("o_orderdate", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("job"))
-
-
-def job_candidates(spark, d):
-    """All open jobs with their rank from the oldest: the rank within a day, after the jobs of earlier days."""
-    jobs = _open_jobs(spark, d).select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("job"))
-    earlier = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)  # one row for each day
-    days = jobs.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return jobs.join(days, "day").select("job", (F.col("before") + F.row_number().over(W.partitionBy("day").orderBy("job"))).alias("rank"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (visible_punctuation, closing_collapse, trim_punctuation, ends_with_class, lexical_words, lexical_edges, parse_lines, abnormal_text, repeated_suffix, normalize_text, display_units, find_count, replace_all, join_tokens, redact, url_encode, humanize_bytes, version_compare, sha256_fingerprint)
-    + (srt_timestamp, srt_render, timecode, trusted_language, previous_tail, asr_outcome, response_parse, retention, job_queue, job_candidates)
+    + (srt_timestamp, srt_render, timecode)
 }
 
 _WORD = tx.WORD.replace("'", "''")
@@ -243,14 +189,4 @@ ORACLE = {
     "srt_render": f"""WITH {_IV}, a AS (SELECT stream, kind, row_number() OVER (PARTITION BY stream ORDER BY s, e, id) AS i, (s - min(s) OVER (PARTITION BY stream)) * 1000 AS a, (e - min(s) OVER (PARTITION BY stream)) * 1000 AS b FROM iv),
       b AS (SELECT stream, i, i || chr(10) || {_clock('a')} || ' --> ' || {_clock('b')} || chr(10) || kind || chr(10) AS block FROM a) SELECT stream, md5(string_agg(block, chr(10) ORDER BY i)) AS digest, count(*) AS n FROM b GROUP BY stream""",
     "timecode": f"WITH a AS (SELECT event_id AS id, event_id * 997 AS n FROM events) SELECT id, {_code('n', 25)} AS plain, {_code('n', 30, 2)} AS drop30, {_code('n', 60, 4)} AS drop60, cast(floor(id * 1.0 * 30000 / 1001 + 0.5) AS bigint) AS frames FROM a",
-    "trusted_language": """WITH a AS (SELECT conv_id, turn, CASE WHEN contains(text, ' the ') THEN 'English' WHEN contains(text, ' der ') THEN 'German' WHEN contains(text, ' les ') THEN 'French' WHEN contains(text, ' los ') THEN 'Spanish' END AS seen FROM conversations)
-      SELECT conv_id, turn, coalesce(first_value(seen IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS language FROM a""",
-    "previous_tail": "SELECT conv_id, turn, coalesce(right(trim(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), 160), '') AS tail FROM conversations",
-    "asr_outcome": f"""WITH {_prep('conversations')}, a AS (SELECT conv_id, turn, CASE WHEN {_ABN} THEN 'ABNORMAL_TRANSCRIPT' WHEN {_rep(2, 3)} THEN 'ASR_REPETITION_DETECTED' WHEN len(tok) >= 96 AND turn % 2 = 0 THEN 'ASR_TOKEN_LIMIT_REACHED' WHEN trim(text) = '' AND turn > 0 THEN 'EMPTY_TRANSCRIPT_FOR_SPEECH' ELSE '' END AS error FROM p)
-      SELECT *, error = '' AS valid FROM a""",
-    "response_parse": "WITH a AS (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS int) AS k FROM events) SELECT event_id, coalesce(k, -1) AS generated, coalesce(k >= 80, false) AS hit_limit, k IS NULL AS fault FROM a",
-    "retention": """WITH a AS (SELECT o_orderkey AS job, o_orderstatus AS state, date_diff('day', cast(o_orderdate AS date), date '2001-09-01') AS age FROM orders), b AS (SELECT *, age >= CASE WHEN state = 'F' THEN 300 ELSE 900 END AS old FROM a),
-      c AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY age, job) AS rank FROM b) SELECT job, CASE WHEN old THEN 'expired' WHEN rank <= 100 THEN 'kept' ELSE 'over_limit' END AS action FROM c""",
-    "job_queue": "SELECT o_orderkey AS job FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderstatus = 'P' AND b.o_orderpriority = '1-URGENT' AND b.o_custkey = o.o_custkey) ORDER BY o_orderdate, o_orderkey LIMIT 50",
-    "job_candidates": "SELECT o_orderkey AS job, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderstatus = 'P' AND b.o_orderpriority = '1-URGENT' AND b.o_custkey = o.o_custkey)",
 }
