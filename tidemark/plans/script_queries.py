@@ -164,8 +164,11 @@ _NUMBERED = f"{_IV}, bl AS (SELECT stream, row_number() OVER (PARTITION BY strea
 _FAULTS = """ft AS (SELECT stream, count_if(e <= s + 1e-6) AS invalid, count_if(s < -1e-6 OR e > duration + 1e-6) AS oob, count_if(s + 1e-6 < ps) AS nonmono, count_if(s + 1e-6 < pe) AS over_ FROM (SELECT *, lag(s) OVER w AS ps, lag(e) OVER w AS pe FROM {src} WINDOW w AS (PARTITION BY stream ORDER BY id)) GROUP BY stream)"""
 
 ORACLE = {
+    "frames_without_gaps": f"""WITH RECURSIVE {_IV}, a AS (SELECT stream, id, s * 30000 // 1001 AS fs, (e * 30000 + 1000) // 1001 AS fe, row_number() OVER (PARTITION BY stream ORDER BY s, e, id) AS n FROM iv),
+      t AS (SELECT stream, id, n, fs AS a, greatest(fe, fs + 1) AS b FROM a WHERE n = 1 UNION ALL SELECT a.stream, a.id, a.n, greatest(fs, t.b), greatest(fe, greatest(fs, t.b) + 1) FROM t JOIN a ON a.stream = t.stream AND a.n = t.n + 1)
+      SELECT stream, id, a AS start_frame, coalesce(lead(a) OVER (PARTITION BY stream ORDER BY n), b) AS end_frame FROM t""",
     "auditable_spans": f"WITH {_PIECES} SELECT * FROM pc",
-    "recovery_holes": f"""WITH {_PIECES}, cl AS (SELECT p.stream, p.s, p.e, max(least(c.e, p.e)) AS last_ FROM pc p LEFT JOIN iv c ON c.kind = 'click' AND c.stream = p.stream AND c.s < p.e AND p.s < c.e GROUP BY ALL), op AS (SELECT stream, coalesce(last_, s) AS s, e FROM cl WHERE last_ IS NULL OR e - last_ >= 120),
+    "recovery_holes": f"""WITH {_PIECES}, cl AS (SELECT p.stream, p.s, p.e, max(CASE WHEN c.e IS NOT NULL THEN least(c.e, p.e) END) AS last_ FROM pc p LEFT JOIN iv c ON c.kind = 'click' AND c.stream = p.stream AND c.s < p.e AND p.s < c.e GROUP BY ALL), op AS (SELECT stream, coalesce(last_, s) AS s, e FROM cl WHERE last_ IS NULL OR e - last_ >= 120),
       {_merged('SELECT * FROM op', 300, 'h')} SELECT stream, s + o AS s, least(e, s + o + 900) AS e FROM (SELECT *, unnest(range(0, e - s, 900)) AS o FROM h)""",
     "recovery_context": f"""WITH {_REG}, {_merged("SELECT stream, s, e FROM iv WHERE kind = 'error'", 300, 'sp')}, r AS (SELECT stream, s - 1704067200 AS s, e - 1704067200 AS e FROM reg), p AS (SELECT stream, s - 1704067200 AS s, e - 1704067200 AS e FROM sp)
       SELECT r.stream, r.s, r.e, greatest(0, r.s - 600, coalesce(max(CASE WHEN p.e <= r.s AND p.e > r.s - 600 THEN p.e WHEN p.s < r.s AND p.e > r.s THEN r.s - 30 END), 0)) AS input_s,

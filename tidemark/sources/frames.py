@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -26,10 +29,28 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("p"))
 
 
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream, lang, texts, starts, ends: words of documents with even times (ms) and a pause after each sentence end, one row for each document."""
+    split = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), "lang", F.coalesce(split, F.array().cast("array<string>")).alias("texts"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("texts")
+            at = np.asarray(texts.offsets, np.int64)
+            at, flat = at - at[0], texts.flatten()
+            size = np.diff(at)
+            ended = np.asarray(pc.match_substring_regex(flat, "[.!?]$"), bool) if len(flat) else np.zeros(0, bool)
+            before = np.concatenate([[0], np.cumsum(ended)])[: len(flat)]
+            base = np.concatenate([before, [0]])[np.minimum(at[:-1], len(before))] if len(size) else np.zeros(0, np.int64)
+            starts = (np.arange(len(flat)) - np.repeat(at[:-1], size)) * 400 + (before - np.repeat(base, size)) * 900
+            listed = lambda v: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("lang"), texts, listed(starts), listed(starts + 350)], ["stream", "lang", "texts", "starts", "ends"])
+
+    return words.mapInArrow(run, "stream long, lang string, texts array<string>, starts array<long>, ends array<long>")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stream, ord, text, ms_start, ms_end, lang: words of documents with even times and a pause after each sentence end."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), "lang", F.posexplode(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "")).alias("ord", "text"))
-    w = W.partitionBy("stream").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    pauses = F.coalesce(F.sum(F.when(F.col("text").rlike("[.!?]$"), 900).otherwise(0)).over(w), F.lit(0))
-    start = F.col("ord") * 400 + pauses
-    return words.select("stream", "lang", F.col("ord").cast("long").alias("ord"), "text", start.cast("long").alias("ms_start"), (start + 350).cast("long").alias("ms_end"))
+    """stream, lang, ord, text, ms_start, ms_end: the same, one row for each word."""
+    each = token_rows(spark, sf_dir).select("stream", "lang", F.posexplode(F.arrays_zip("texts", "starts", "ends")).alias("ord", "t"))
+    return each.select("stream", "lang", F.col("ord").cast("long").alias("ord"), F.col("t.texts").alias("text"), F.col("t.starts").alias("ms_start"), F.col("t.ends").alias("ms_end"))
