@@ -1,3 +1,4 @@
+import itertools
 import random
 from fractions import Fraction
 from math import ceil, floor
@@ -5,10 +6,11 @@ from math import ceil, floor
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicon
 from tidemark.functions import text as tx
 from tidemark.functions import timecode as tc
 from tidemark.operators import intervals as iv
-from tidemark.operators import match, segment, signal
+from tidemark.operators import audio, boundaries, match, records, recovery, segment, signal
 
 
 def frame(spark, rows, kind="stream long, id long, s long, e long"):
@@ -124,17 +126,90 @@ def test_text(spark):
     assert tx.width_value("漢字ab") == 6 and tx.width_value("é́\n") == 1
 
 
-def test_segmentation():
+def stream_of(words, lang="en", pauses=(), acoustic=None):
+    starts, at = [], 0
+    for i in range(len(words)):
+        starts.append(at)
+        at += 400 + dict(pauses).get(i, 0)
+    return boundaries.Stream(words, starts, [s + 350 for s in starts], lang, acoustic)
+
+
+def test_region_cuts_are_the_best_of_all(spark):
     assert [segment.fragment_units(n) for n in (2, 12, 42)] == [1, 4, 8]
     assert segment.fill_score(21, 42) == 10
     rng = random.Random(2)
-    for _ in range(60):
-        n = rng.randrange(1, 9)
-        widths, scores = [rng.randrange(1, 12) for _ in range(n)], [rng.choice([0, 45, -600, 1030]) for _ in range(n)]
-        ends = segment.cut_region(widths, scores, 14)
-        assert ends[-1] == n and ends == sorted(set(ends))
-        for a, b in zip([0, *ends], ends):
-            assert sum(widths[a:b]) + b - a - 1 <= 14 or b - a == 1
+    vocabulary = ["the", "and", "because", "of", "house.", "rain,", "(so", "on)", "in", "order", "to", "extraordinary", "3.", "5", "percent", "go", "«a", "b»"]
+    for trial in range(150):
+        n, width = rng.randrange(1, 9), rng.choice([8, 12, 20])
+        s = stream_of([rng.choice(vocabulary) for _ in range(n)], pauses=[(i, rng.choice([0, 0, 400, 900])) for i in range(n)])
+        tiny = segment.fragment_units(width)
+        short = max(tiny, round(width * 0.35))
+        places = [i for i in range(1, n) if s.safe[i]]
+
+        def total(cuts):
+            score = 0
+            for a, b in zip([0, *cuts], [*cuts, n]):
+                units = s.units(a, b)
+                over = units > width
+                if over and any(a < p < b for p in places):
+                    return None
+                score += (0 if over else segment.fill_score(units, width)) - 500 - (60 if units < short and n > 1 else 0)
+                score += s.worth(b, 0, n, width, tiny) if b < n else -(220 if units < tiny and n > 1 else 0)
+            return score, -len(cuts), (*cuts, n)
+
+        best = max(t for k in range(len(places) + 1) for c in itertools.combinations(places, k) if (t := total(c)) is not None)
+        assert tuple(segment.cut_region(s, 0, n, width)) == best[2], (trial, s.texts)
+
+
+def test_blocks_keep_every_token_and_fit():
+    rng = random.Random(5)
+    for lang, words in (("en", ["the", "end.", "a", "(b)", "because", "of", "wide-eyed", "$3.50"]), ("ja", ["東京", "で", "は", "A", "B", "3.", "5", "雨。", "test"]), ("ko", ["비가", "오지만", "나는", "간다."])):
+        for _ in range(40):
+            n = rng.randrange(1, 60)
+            heard = [rng.choice([0, 0, 0, 350, 900, 3200]) for _ in range(n)]
+            s = stream_of([rng.choice(words) for _ in range(n)], lang, [(i, rng.choice([0, 0, 0, 900, 3300])) for i in range(n)], heard)
+            blocks = segment.segmented(s, 14)
+            assert "".join(t for _, _, t in blocks).replace(" ", "") == s.rendered.replace(" ", "")
+            assert all(tx.width_value(t) <= 14 for _, _, t in blocks) and [b[0] for b in blocks] == sorted(b[0] for b in blocks)
+            for i in range(1, n):
+                if s.acoustic[i] >= 3000:
+                    assert any(b[0] == s.starts[i] for b in blocks)
+
+
+def test_regions_end_at_pauses_but_not_at_orphans():
+    words = "we went to the old house and then it rained".split()
+    assert segment.region_end(stream_of(words, pauses=[(5, 1600)]), 0, 42) == 6
+    assert segment.region_end(stream_of(words, pauses=[(3, 1600)]), 0, 42) == len(words)  # "the" holds on to what follows
+    quiet = lambda i, ms: [ms if k == i else 0 for k in range(len(words))]
+    assert segment.region_end(stream_of(words, acoustic=quiet(6, 400)), 0, 42) == 6  # before "and"
+    assert segment.region_end(stream_of(words, acoustic=quiet(9, 400)), 0, 42) == len(words)
+    assert segment.region_end(stream_of(words, acoustic=quiet(9, 900)), 0, 42) == 9
+    assert segment.region_end(stream_of(["a", *words], acoustic=[0, 900] + [0] * 9), 0, 42) == 11  # one letter alone
+    assert segment.region_end(stream_of(words, acoustic=quiet(4, 3000)), 0, 42) == 4
+    assert segment.region_end(stream_of(["It", "rained.", *words]), 0, 42) == 2
+
+
+def test_phrases_wildcards_and_korean_endings():
+    f = stream_of("x 뿐만 아니라 y".split(), "ko").features
+    assert f["matched_boundary"].tolist() == ["*뿐만 아니라", "", ""] and f["protected_phrase"].tolist() == [False, True, False]
+    f = stream_of("그렇뿐만 아니라 오지만 간다".split(), "ko").features
+    assert f["protected_phrase"].tolist() == [True, False, False] and f["matched_boundary"].tolist()[2] == "오지만"
+    f = stream_of("x in order to go".split()).features
+    assert f["matched_boundary"].tolist() == ["in order to", "", "", ""] and f["protected_phrase"].tolist() == [False, True, True, False]
+    assert boundaries.reason_names(int(stream_of(["10", "percent"]).features["reasons"][0])) == ["protected_right", "number_unit"]
+    assert {p.code for p in lexicon.PROFILES.values()} == set("zh yue en fr de it ja ko pt ru es".split())
+    with pytest.raises(ValueError):
+        stream_of(["a"], "xx")
+
+
+def test_overlapping_blocks_join():
+    join = lambda rows, width=42: segment.coalesced(rows, "en", width)
+    assert join([(0, 1000, "a"), (500, 900, "b"), (1000, 2000, "c")]) == [(0, 1000, "a b"), (1000, 2000, "c")]
+    assert join([(0, 1000, "one."), (500, 900, "b"), (1000, 2000, "c")]) == [(0, 1000, "one."), (500, 2000, "b c")]
+    assert join([(0, 1000, "a long one"), (500, 900, "b"), (1000, 2000, "c")], 10) == [(0, 1000, "a long one"), (500, 2000, "b c")]
+    assert join([(0, 9, "one."), (0, 9, "two")]) == [(0, 9, "one. two")]
+    assert join([(0, 1000, "one."), (500, 900, "b"), (1300, 2000, "c")]) == [(0, 1000, "one."), (500, 900, "b"), (1300, 2000, "c")]
+    assert segment.trimmed("so (it) was …!\u3000") == "so (it) was"
 
 
 def test_reconcile(spark):
@@ -143,12 +218,32 @@ def test_reconcile(spark):
     assert sorted(r.id for r in match.reconcile(spark.createDataFrame(rows, cols)).collect()) == [2, 3, 4]
 
 
-def test_repair_and_punctuation():
-    assert match.repaired([("a", 0.0, 0.0), ("b", 0.3, 0.5), ("c", 0.5, 0.5)], 0, 1) == ([("a", 0.0, 0.08), ("b", 0.3, 0.5), ("c", 0.5, 0.58)], "")
-    assert match.repaired([("a", 0.5, 0.4)], 0, 1)[1] == "INVALID_INTERVAL:0"
-    assert match.repaired([("a", 0.5, 0.6), ("b", 0.3, 0.7)], 0, 1)[1] == "NON_MONOTONIC_TIME:1"
+def repaired(spark, rows, end=1.0):
+    df = spark.createDataFrame([(1, i, t, float(a), float(b), 0.0, float(end)) for i, (t, a, b) in enumerate(rows)], "stream long, ord long, text string, start double, end double, in_s double, in_e double")
+    got = match.repaired(df).orderBy("ord").collect()
+    return got[0].fault or [(round(r.start, 3), round(r.end, 3)) for r in got]
+
+
+def test_repair(spark):
+    assert repaired(spark, [("a", 0, 0), ("b", 0.3, 0.5), ("c", 0.5, 0.5)]) == [(0, 0.08), (0.3, 0.5), (0.5, 0.58)]
+    assert repaired(spark, [("a", 0.1, 0.1), ("b", 0.14, 0.5), ("c", 1.0, 1.0)]) == [(0.1, 0.14), (0.14, 0.5), (0.92, 1.0)]
+    assert repaired(spark, [("a", 0.1, 0.1), ("b", 0.1, 0.13)]) == [(0.1, 0.13), (0.1, 0.13)]
+    assert repaired(spark, [("a", -0.1, 0.2), ("b", 0.2, 1.1)]) == [(0, 0.2), (0.2, 1.0)]
+    assert repaired(spark, [("a", -0.3, 0.2)]) == "TOKEN_OUT_OF_BOUNDS:0" and repaired(spark, [("a", 0, 0.2), ("b", 0.2, 1.3)]) == "TOKEN_OUT_OF_BOUNDS:1"
+    assert repaired(spark, [("a", 0.5, 0.4)]) == "INVALID_INTERVAL:0" and repaired(spark, [("a", 0.5, 0.6), ("b", 0.3, 0.7)]) == "NON_MONOTONIC_TIME:1"
+    assert repaired(spark, [("a", 1.0, 1.0)]) == "INVALID_INTERVAL:0" and repaired(spark, [("a", 0.2, 1.0), ("b", 1.0, 1.0)]) == "INVALID_INTERVAL:1"
+
+
+def test_punctuation_and_recovery(spark):
     assert match.punctuated("«Hello», (world)!", ["hello", "world"]) == ["«hello»,", "(world)!"]
-    assert match.recovered([(1, 0.0, 2.0, "well then go on")], [("then", 0.1, 0.4), ("go", 0.5, 0.7), ("on", 0.8, 1.0)]) == {1: [0, 1, 2]}
+    assert match.punctuated("Yes.,, No (ma'am", ["yes", "no", "x", "ma'am"]) == ["yes.", "no", "x", "(ma'am"]
+    assert match.punctuated("...", ["a"]) == ["a"] and match.significant("ﬁ-É’x!") == ("fié’x", [0, 0, 2, 3, 4])
+    tokens = spark.createDataFrame([(1, i, 4 * i, 4 * i + 3, t) for i, t in enumerate("well then go on . Y. now".split())], "stream long, id long, s long, e long, text string")
+    windows = spark.createDataFrame([(1, 1, 0, 14, "well then go on"), (1, 2, 0, 14, "well then go on"), (1, 3, 20, 22, "X!"), (1, 4, 8, 12, "nothing")], "stream long, win long, s long, e long, text string")
+    anchors = spark.createDataFrame([(1, 4, "nothing")], "stream long, win long, anchor_text string")
+    got = {r.win: (r.state, r.ids) for r in recovery.supported(windows, tokens, anchors, 10.0).collect()}
+    assert got == {1: ("matched", [0, 1, 2, 3]), 2: ("rejected", []), 3: ("matched", [5]), 4: ("anchored", [])}
+    assert recovery.likeness("abcdef", "ef") == 1.0 and recovery.likeness("abc", "x") is None and recovery.likeness("ab", "abc") is None
 
 
 def test_stabilized_and_faults(spark):
@@ -177,9 +272,46 @@ def test_best_valley_equals_brute_force_at_every_frame(spark, sf):
     assert any(a % 50 for _, a in want)
 
 
-def test_job_candidates_go_on_after_the_queue(spark, sf):
-    from tidemark.plans.text_queries import job_candidates, job_queue
+def test_runs_across_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(signal, "BLOCK", 8)
+    for _ in range(4):
+        flags = [rng.random() < rng.choice([0.2, 0.9]) for _ in range(20)] + [True] * rng.randrange(30) + [False] * rng.randrange(9)
+        track = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(flags)], "stream string, frame long, smooth double")
+        want, at = [], 0
+        for v, group in itertools.groupby(flags):
+            n = len(list(group))
+            want.append((at, at + n, v))
+            at += n
+        assert sorted((r.start, r.end, r.flag) for r in signal.runs(track, F.col("smooth") >= 0.5).collect()) == want
 
-    rows = sorted(job_candidates(spark, sf).collect(), key=lambda r: r.rank)
-    assert len(rows) > 50 and [r.rank for r in rows] == list(range(1, len(rows) + 1))
-    assert [r.job for r in rows[:50]] == [r.job for r in job_queue(spark, sf).collect()]
+
+def test_snap_is_exact_at_large_times(spark):
+    ms = 1_704_067_200_123
+    got = iv.snap(frame(spark, [(1, 0, ms, ms + 1), (1, 1, -7, -3)]), 30000, 1001).orderBy("id").collect()
+    rate = Fraction(30000, 1001)
+    assert [(r.start_frame, r.end_frame) for r in got] == [(floor(Fraction(ms, 1000) * rate), ceil(Fraction(ms + 1, 1000) * rate)), (floor(Fraction(-7, 1000) * rate), ceil(Fraction(-3, 1000) * rate))]
+
+
+def test_speeds_and_scan(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 100, 200, 0, 0, 0, 0, 0, 0, 0, 0, 50])], "stream long, id long, amount long")
+    got = [round(r.speed, 4) for r in records.speeds(rows).orderBy("id").collect()]
+    assert got == [0, 100, 135, 67.5, 33.75, 16.875, 8.4375, 4.2188, 2.1094, 1.0547, 0, 50]
+
+
+def test_block_analysis_slots(spark):
+    track = spark.createDataFrame([("a", i, i / 100) for i in range(25)], "stream string, frame long, v double")
+    values, regions = audio.analysed(track, 10, 4, lambda v: ([x + 1 for x in v[:9]], [(2, 40, 3.0)]), 1, 1)
+    got = {r.frame: (round(r.value, 6), r.n_blocks) for r in values.collect()}
+    assert got[0] == (1.0, 1) and got[7] == (1.07, 2) and got[24] == (1.24, 1) and len(got) == 25
+    assert [(r.s, r.e, r.confidence) for r in regions.collect()] == [(2, 25, 1.0)]
+
+
+def test_file_and_folder_forms(spark):
+    from tidemark.operators import jobs
+
+    assert jobs.document({"b": 1, "a": "é"}) == '{\n  "a": "é",\n  "b": 1\n}'
+    r = one(spark, jobs.response(F.lit('{"text":" a ","generated_tokens":"80"}'), 80))
+    assert (r.text, r.generated, r.hit_limit, r.fault) == ("a", 80, True, None)
+    with pytest.raises(ValueError):
+        jobs.match_rows(None, "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -24,6 +25,18 @@ def normalize_value(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if unicodedata.category(c)[0] in "LN")
 
 
+_GROUP = re.compile("[{0}]|[^\\W_{0}]+".format("\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af"))
+
+
+def mapping_groups_value(text: str, lang: str = "") -> list[str]:
+    """What is matched as a whole (see ``joining.mapping_groups``, the same rule on columns)."""
+    if lang in ("Chinese", "Cantonese", "zh", "yue"):
+        return list(normalize_value(text))
+    folded_ = unicodedata.normalize("NFKC", text).casefold()
+    groups = _GROUP.findall(re.sub(r"(?<=[^\W_])['’.-](?=[^\W_])", "", folded_))
+    return [g for g in map(normalize_value, groups) if g]
+
+
 def width_value(text: str) -> int:
     """Columns of a terminal: two for wide and full-width characters, none for combining and control ones."""
     if text.isascii() and text.isprintable():
@@ -101,11 +114,25 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _majority_share(items: Column) -> Column:
-    """Share of the middle element of the sorted items: of one that makes up more than half, its share."""
-    middle = lambda sorted_: F.element_at(sorted_, (F.size(sorted_) / 2).cast("int") + 1)
-    count = lambda sorted_: _bound(middle(sorted_), lambda m: F.size(F.filter(sorted_, lambda x: x == m)) / F.size(sorted_))
-    return F.when(F.size(items) > 0, _bound(F.sort_array(items), count)).otherwise(0.0)
+def _one_character(text: Column) -> Column:
+    """Whether one character makes up nine tenths of the others than blanks. One that does stands five times in a row somewhere (or
+    is all of a shorter text), so only characters that do are counted; nothing is sorted."""
+    bare = F.regexp_replace(text, r"\s", "")
+
+    def counted(t: Column) -> Column:
+        n = F.length(t)
+        share = lambda c: (n - F.length(F.replace(t, c, F.lit("")))) >= n * 0.9
+        return F.when(n == 0, False).when(n < 5, t == F.repeat(F.left(t, F.lit(1)), n)).otherwise(F.exists(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(.)\1{4}"), F.lit(1))), share))
+
+    return _bound(bare, counted)
+
+
+def _one_word(words: Column) -> Column:
+    """Whether one of at least 16 words makes up four fifths of them: the word that a majority vote leaves is counted."""
+    empty = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"))
+    vote = lambda a, w: F.when(a.n == 0, F.struct(w.alias("w"), F.lit(1).alias("n"))).when(a.w == w, F.struct(a.w.alias("w"), (a.n + 1).alias("n"))).otherwise(F.struct(a.w.alias("w"), (a.n - 1).alias("n")))
+    share = lambda items: _bound(F.aggregate(items, empty, vote).w, lambda left: F.size(F.filter(items, lambda x: x == left)) >= F.size(items) * 0.8)
+    return _bound(words, lambda items: F.when(F.size(items) >= 16, share(items)).otherwise(False))
 
 
 def abnormal(text: Column) -> Column:
@@ -115,12 +142,7 @@ def abnormal(text: Column) -> Column:
     marked = F.lit(False)
     for m in PROTOCOL_MARKERS:
         marked = marked | value.contains(m)
-    chars, tokens = F.split(F.regexp_replace(value, r"\s", ""), ""), split_blank(F.lower(value))
-    chars = F.filter(chars, lambda c: c != "")
-    long = F.length(value) >= 128
-    one_char = long & (F.size(chars) > 0) & (_majority_share(chars) >= 0.9)
-    one_word = long & (F.size(tokens) >= 16) & (_majority_share(tokens) >= 0.8)
-    return bare.isin(*ROLE_WORDS) | marked | one_char | one_word
+    return F.when(F.length(value) >= 128, marked | _one_character(value) | _one_word(split_blank(F.lower(value))) | bare.isin(*ROLE_WORDS)).otherwise(marked | bare.isin(*ROLE_WORDS))
 
 
 def repeated_suffix(items: Column, times: int = 20, longest: int = 20) -> Column:

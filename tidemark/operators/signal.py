@@ -6,11 +6,13 @@ works on blocks of frames with a copied margin, so a long track is spread over m
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.intervals import overlap_join
 from tidemark.operators.scan import ordered_scan
 
 BLOCK = 65_536
@@ -179,6 +181,48 @@ def plan_windows(ends: DataFrame, cuts: DataFrame, target: int, soft: int, hard:
     return rows.groupBy("stream").applyInPandas(plan, "stream string, idx long, core_start long, core_end long, input_start long, input_end long, reason string")
 
 
+def window_speech(windows: DataFrame, speech: DataFrame) -> DataFrame:
+    """Planned windows with the speech (stream, s, e) inside of their input."""
+    spans = windows.select("stream", F.col("input_start").alias("s"), F.col("input_end").alias("e"), "idx")
+    pairs = overlap_join(spans, speech.select("stream", "s", "e"), BLOCK)
+    inside = pairs.groupBy(F.col("l_stream").alias("stream"), F.col("l_idx").alias("idx")).agg(F.sum(F.least("l_e", "r_e") - F.greatest("l_s", "r_s")).alias("speech"))
+    return windows.join(inside, ["stream", "idx"], "left").withColumn("speech", F.coalesce("speech", F.lit(0)))
+
+
+def covered_exactly(windows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Whether the cores of each stream's windows follow each other from 0 to its total."""
+    order = W.partitionBy("stream").orderBy("idx")
+    at = windows.withColumn("before", F.coalesce(F.lag("core_end").over(order), F.lit(0)))
+    whole = at.groupBy("stream").agg(F.bool_and((F.col("core_start") == F.col("before")) & (F.col("core_end") > F.col("core_start"))).alias("joined"), F.max("core_end").alias("last"))
+    return ends.join(whole, "stream", "left").select("stream", F.when(F.col("total") > 0, F.coalesce(F.col("joined") & (F.col("last") == F.col("total")), F.lit(False))).otherwise(F.col("joined").isNull()).alias("exact"))
+
+
+def isotonic_expansion(df: DataFrame, durations: DataFrame, minimum: float = 1.0) -> DataFrame:
+    """Windows (stream, i, s, e in seconds, in order) at least ``minimum`` (or an even share of the stream's duration) long: only where one is
+    shorter, boundaries move by least squares, and stay within the stream."""
+    per = df.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("e") - F.col("s")).alias("least")).join(durations, "stream")
+    target = per.select("stream", "n", "duration", F.least(F.lit(minimum), F.col("duration") / F.col("n")).alias("target"), "least")
+    rows = df.join(target, "stream")
+    calm = rows.where("least >= target - 1e-9").select("stream", "i", "s", "e", F.lit(False).alias("moved"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        n, target_, end = len(pdf), float(pdf["target"].iloc[0]), float(pdf["duration"].iloc[0])
+        inner = pdf["e"].iloc[:-1].to_numpy(float) - target_ * np.arange(1, n)  # inner boundaries, their spacing taken off
+        pools: list[list[float]] = []
+        for x in inner:
+            pools.append([float(x), 1])
+            while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
+                top = pools.pop()
+                pools[-1] = [pools[-1][0] + top[0], pools[-1][1] + top[1]]
+        level = np.repeat([a / b for a, b in pools], [int(b) for _, b in pools]) if pools else np.zeros(0)
+        cuts = np.clip(level, 0.0, end - target_ * n) + target_ * np.arange(1, n)
+        return pd.DataFrame({"stream": pdf["stream"], "i": pdf["i"], "s": [0.0, *cuts], "e": [*cuts, end], "moved": True})
+
+    tight = rows.where("least < target - 1e-9").select("stream", "i", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), "target", "duration")
+    return calm.unionByName(tight.groupBy("stream").applyInPandas(fit, "stream long, i long, s double, e double, moved boolean"))
+
+
 def isotonic(df: DataFrame, spacing: int) -> DataFrame:
     """Least-squares times at least ``spacing`` apart, in order (pool adjacent violators), for rows (stream, i, x)."""
 

@@ -95,11 +95,30 @@ def throttle(spark, d):
     return ops.throttle(intervals(spark, d).selectExpr("kind AS signature", "id", "s"), "signature", "s", 3600)
 
 
-def plan_windows(spark, d):
+def _planned(spark, d):
     track = _rounded(ops.smooth_centered(signal(spark, d), FRAMES), "smooth")
     ends = track.groupBy("stream").agg((F.max("frame") + 1).alias("total"))
     cuts = ops.valleys(track, 0.3, 2).selectExpr("stream", "center", "end - start AS width", "mean", "p95")
-    return ops.plan_windows(ends, cuts, 45, 60, 90, 15, 2, 1.0)
+    return ops.plan_windows(ends, cuts, 45, 60, 90, 15, 2, 1.0), ends
+
+
+def plan_windows(spark, d):
+    """Windows cut at the best valley in reach, with the speech inside of their input."""
+    return ops.window_speech(_planned(spark, d)[0], hysteresis_regions(spark, d).selectExpr("stream", "start AS s", "end AS e"))
+
+
+def windows_cover(spark, d):
+    return ops.covered_exactly(*_planned(spark, d))
+
+
+def window_expansion(spark, d):
+    """Errors of a user as windows that follow each other, in minutes; the short ones are widened where there are any."""
+    order = W.partitionBy("stream").orderBy("id")
+    rows = intervals(spark, d, "error").select("stream", "id", ((F.col("e") - F.col("s")) / 60.0).alias("n"), (F.row_number().over(order) - 1).cast("long").alias("i"))
+    rows = rows.withColumn("n", F.when(F.col("stream") % 3 == 0, F.col("n") + 60).when(F.col("i") % 4 == 1, F.col("n") / 1000).otherwise(F.col("n"))).withColumn("e", F.sum("n").over(order))
+    durations = rows.groupBy("stream").agg(F.max("e").alias("duration"))
+    out = ops.isotonic_expansion(rows.select("stream", "i", (F.col("e") - F.col("n")).alias("s"), "e"), durations, 50.0)
+    return out.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.bool_or("moved").alias("moved"), F.round(F.sum(F.col("e") - F.col("s")), 3).alias("total"), F.round(F.min(F.col("e") - F.col("s")), 3).alias("least"))
 
 
 def isotonic_windows(spark, d):
@@ -127,7 +146,7 @@ def progress_monotone(spark, d):
     return intervals(spark, d).select("stream", "id", F.least(F.lit(100), F.max(F.floor((F.col("e") - F.col("s")) / 600)).over(order)).alias("progress"))
 
 
-QUERIES = {f.__name__: f for f in (smooth_causal, smooth_centered, threshold_runs, hysteresis_regions, hysteresis_padded, hysteresis_limited, hysteresis_finished, valley_lengths, block_average, block_analysis, audio_peaks, audio_prepared, audio_ranges, throttle, plan_windows, isotonic_windows, normalize_range, group_report, progress_monotone)}
+QUERIES = {f.__name__: f for f in (smooth_causal, smooth_centered, threshold_runs, hysteresis_regions, hysteresis_padded, hysteresis_limited, hysteresis_finished, valley_lengths, block_average, block_analysis, audio_peaks, audio_prepared, audio_ranges, throttle, plan_windows, windows_cover, window_expansion, isotonic_windows, normalize_range, group_report, progress_monotone)}
 
 _SIG = "sig AS (SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame, least(1.0, value / 100.0) AS p FROM events)"
 _CAUSAL = f"{_SIG}, sm AS (SELECT stream, frame, p, round(sum(p) OVER (PARTITION BY stream ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5, 6) AS smooth FROM sig)"
@@ -180,6 +199,16 @@ ORACLE = {
     "throttle": f"""WITH RECURSIVE {_IV}, a AS (SELECT kind AS signature, id, s, row_number() OVER (PARTITION BY kind ORDER BY s, id) AS n FROM iv),
       t AS (SELECT signature, id, s, n, s AS last, true AS through FROM a WHERE n = 1 UNION ALL SELECT a.signature, a.id, a.s, a.n, CASE WHEN a.s - t.last >= 3600 THEN a.s ELSE t.last END, a.s - t.last >= 3600 FROM t JOIN a ON a.signature = t.signature AND a.n = t.n + 1)
       SELECT signature, id, s FROM t WHERE through""",
+    "windows_cover": "SELECT DISTINCT event_type AS stream, true AS exact FROM events",
+    "plan_windows": f"""WITH RECURSIVE {_VALLEY}, vs AS (SELECT stream, list({{'c': center, 'w': "end" - start, 'm': mean, 'p': p95}} ORDER BY center) AS v FROM val GROUP BY stream), n AS (SELECT sig.stream, max(frame) + 1 AS total, coalesce(any_value(v), []) AS v FROM sig LEFT JOIN vs ON vs.stream = sig.stream GROUP BY sig.stream),
+      t AS (SELECT stream, total, v, 0::bigint AS a, 0::bigint AS b, '' AS why, -1 AS idx FROM n UNION ALL
+        SELECT stream, total, v, b, CASE WHEN pick IS NOT NULL THEN pick WHEN total - b > 90 THEN least(b + 90, total - 15) ELSE total END, CASE WHEN pick IS NOT NULL THEN 'probability_valley' WHEN total - b > 90 THEN 'hard_max' ELSE 'end_of_audio' END, idx + 1 FROM (
+          SELECT *, CASE WHEN total - b > 45 AND b + 15 <= least(b + 90, total - 15) THEN list_sort(list_transform(list_filter(v, lambda x: x.c >= b + 15 AND x.c <= least(b + 90, total - 15)),
+            lambda x: {{'far': x.c > least(b + 60, total - 15), 'cost': 0.65::double * abs(x.c - (b + 45)) / greatest(1e-6::double, least(b + 60, total - 15) - (b + 15)) + 0.20::double * x.m + 0.10::double * x.p - 0.05::double * least(1.0::double, x.w), 'c': x.c}}))[1].c END AS pick FROM t WHERE b < total)),
+      u AS (SELECT *, lead(b) OVER w AS nb, lead(why) OVER w AS nwhy, lead(idx) OVER (PARTITION BY stream ORDER BY idx) AS ni, max(idx) OVER (PARTITION BY stream) AS last_ FROM t WHERE idx >= 0 WINDOW w AS (PARTITION BY stream ORDER BY idx)),
+      x AS (SELECT stream, total, idx, a, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nb ELSE b END AS b, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nwhy ELSE why END AS why FROM u WHERE NOT (idx = last_ AND idx > 0 AND b - a < 15)),
+      y AS (SELECT stream, idx::bigint AS idx, a AS core_start, b AS core_end, greatest(0, a - 2) AS input_start, least(total, b + 2) AS input_end, why AS reason FROM x), sp AS ({_HYST.replace(_CAUSAL, _CAUSAL.replace('sig AS', 'sig2 AS', 1).replace('FROM sig)', 'FROM sig2)')).replace('FROM sig GROUP', 'FROM sig2 GROUP').format(pad=0)})
+      SELECT y.*, coalesce((SELECT sum(least(input_end, sp."end") - greatest(input_start, sp.start)) FROM sp WHERE sp.stream = y.stream AND sp.start < input_end AND input_start < sp."end"), 0)::bigint AS speech FROM y""",
     "isotonic_windows": f"""WITH {_IV}, a AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY id) - 1 AS i, (e - s) * 10 + (row_number() OVER (PARTITION BY stream ORDER BY id) - 1) * 600 AS x FROM iv WHERE kind = 'error'),
       b AS (SELECT *, sum(x - i * 100) OVER (PARTITION BY stream ORDER BY i) AS c FROM a), m AS (SELECT j.stream, j.i AS j, k.i AS k, (k.c - j.c + j.x - j.i * 100) / (k.i - j.i + 1) AS mean FROM b j JOIN b k ON k.stream = j.stream AND k.i >= j.i),
       lo AS (SELECT p.stream, p.i, m.j, min(m.mean) AS v FROM b p JOIN m ON m.stream = p.stream AND m.j <= p.i AND m.k >= p.i GROUP BY p.stream, p.i, m.j)

@@ -13,26 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import timecode as tc
-
-REQUEST = T.StructType(
-    [T.StructField("protocol", T.IntegerType())]
-    + [T.StructField(n, T.StringType()) for n in ("job_id", "action", "mode", "audio_path", "language", "prompt", "reference_text", "ui_language", "asr_model", "download_source")]
-    + [T.StructField("subtitle", T.StructType([T.StructField("max_chars", T.IntegerType()), T.StructField("remove_gaps", T.BooleanType()), T.StructField("trim_end_punctuation", T.BooleanType())])), T.StructField("timeline", T.StructType([T.StructField("fps", T.StringType()), T.StructField("start_frame", T.LongType())]))]
-)
+from tidemark.operators.jobs import checked_request
 
 
 def parse_requests(rows: DataFrame, column: str = "value") -> DataFrame:
     """Job requests from JSON text, with defaults, and what is wrong with them in ``error`` (null: nothing)."""
-    r = rows.select(F.from_json(column, REQUEST).alias("r")).select("r.*")
-    width = F.coalesce("subtitle.max_chars", F.lit(42))
-    error = (
-        F.when(F.col("protocol").isNull() | (F.col("protocol") != 1), "PROTOCOL")
-        .when(F.col("job_id").isNull() | ~F.col("job_id").rlike(r"^[A-Za-z0-9_-]+\z"), "JOB_ID")
-        .when(~F.coalesce("mode", F.lit("auto_subtitle")).isin("auto_subtitle", "script_match"), "MODE")
-        .when((F.col("mode") == "script_match") & (F.trim(F.coalesce("reference_text", F.lit(""))) == ""), "REFERENCE")
-        .when((width < 1) | (width > 500), "MAX_CHARS")
-    )
-    return r.select("*", width.alias("max_chars"), error.alias("error"))
+    return rows.select(checked_request(F.col(column)).alias("r")).select("r.*")
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,20 +26,34 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """file, idx, ms_start, ms_end, text of the subtitles in the files under ``path``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n\n+(?=\d+\n)")).alias("block"))
+def parse_srt(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """idx, ms_start, ms_end, text of the subtitles in whole SRT texts."""
+    blocks = rows.select(*keys, F.explode(F.split(F.regexp_replace(column, "\r\n?", "\n"), r"\n\n+(?=\d+\n)")).alias("block"))
     rx = r"(?s)^\s*(\d+)\n(\d+):(\d\d):(\d\d),(\d{3}) --> (\d+):(\d\d):(\d\d),(\d{3})\n(.*?)\n*\z"
     n = lambda i: F.regexp_extract("block", rx, i).cast("long")
     ms = lambda i: ((n(i) * 60 + n(i + 1)) * 60 + n(i + 2)) * 1000 + n(i + 3)
-    return files.where(F.col("block").rlike(rx)).select("file", n(1).alias("idx"), ms(2).alias("ms_start"), ms(6).alias("ms_end"), F.regexp_extract("block", rx, 10).alias("text"))
+    return blocks.where(F.col("block").rlike(rx)).select(*keys, n(1).alias("idx"), ms(2).alias("ms_start"), ms(6).alias("ms_end"), F.regexp_extract("block", rx, 10).alias("text"))
+
+
+def read_srt(spark: SparkSession, path: str) -> DataFrame:
+    """file, idx, ms_start, ms_end, text of the subtitles in the files under ``path``."""
+    return parse_srt(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), "value", "file")
+
+
+def rendered(blocks: DataFrame, key: str = "stream", preserve: bool = False) -> DataFrame:
+    """``key`` and its subtitles (idx, ms_start, ms_end, text) in order as one SRT text; ``preserve`` keeps blanks around texts."""
+    block = tc.srt_block(F.col("idx") + 1, F.col("ms_start") / 1000.0, F.col("ms_end") / 1000.0, F.col("text"), preserve)
+    return blocks.select(key, F.struct("idx", block.alias("block")).alias("b")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x.block), "\n").alias("srt"))
+
+
+def write_srt(blocks: DataFrame, path: str, key: str = "stream", preserve: bool = False) -> None:
+    """Keyed rows (JSON lines of ``key`` and ``srt``): as many files as tasks, however many streams there are."""
+    rendered(blocks, key, preserve).write.mode("overwrite").json(path)
 
 
-def write_srt(blocks: DataFrame, path: str, key: str = "stream") -> None:
-    """One folder for each key, with its subtitles (idx, ms_start, ms_end, text) in order as one text."""
-    block = tc.srt_block(F.col("idx") + 1, F.col("ms_start") / 1000.0, F.col("ms_end") / 1000.0, F.col("text"))
-    whole = blocks.select(key, F.struct("idx", block.alias("block")).alias("b")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x.block), "\n").alias("value"))
-    whole.write.partitionBy(key).mode("overwrite").text(path)
+def export_srt(blocks: DataFrame, path: str, key: str = "stream", preserve: bool = False) -> None:
+    """One folder with one SRT file for each key: for the streams of a job, not for a corpus."""
+    rendered(blocks, key, preserve).withColumnRenamed("srt", "value").write.partitionBy(key).mode("overwrite").text(path)
 
 
 def write_report(rows: DataFrame, path: str, group: str, amount: Column) -> None:

@@ -1,13 +1,14 @@
 """Streaming forms: sessions of intervals, job status with monotone progress, throttled logs.
 
 Each takes a streaming DataFrame and returns one; the caller chooses sink and trigger. State is kept by key, and
-is bounded by the watermark (sessions) or by one small row for each key (status, throttle).
+is bounded by the watermark, or where rows carry no time (status) by one small row for each key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,35 +27,59 @@ def windowed_report(events: DataFrame, width: str = "1 hour", slide: str = "30 m
     return stamped.groupBy(F.window("at", width, slide), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def _progress(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best, seen = state.get if state.exists else (0, 0)
-    for pdf in frames:
-        best, seen = max(best, int(pdf["progress"].clip(0, 100).max())), seen + len(pdf)
-    state.update((best, seen))
-    yield pd.DataFrame({"job": [key[0]], "progress": [best], "n_updates": [seen]})
+def _progress(keep_ms: int | None):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, seen, at = state.get if state.exists else (0, 0, 0)
+        for pdf in frames:
+            best, seen = max(best, int(pdf["progress"].clip(0, 100).max())), seen + len(pdf)
+            if keep_ms is not None:
+                at = max(at, int(pdf["at"].max().timestamp() * 1000))
+        state.update((best, seen, at))
+        if keep_ms is not None:
+            state.setTimeoutTimestamp(max(at + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job": [key[0]], "progress": [best], "n_updates": [seen]})
 
+    return step
 
-def job_progress(status: DataFrame) -> DataFrame:
-    """The progress of each job (job string, progress long), which never falls."""
-    return status.groupBy("job").applyInPandasWithState(_progress, "job string, progress long, n_updates long", "best long, seen long", "update", GroupStateTimeout.NoTimeout)
+
+def job_progress(status: DataFrame, late: str = "10 minutes", keep_ms: int = 24 * 3_600_000) -> DataFrame:
+    """The progress of each job (job string, progress long), which never falls. With a time ``at`` a job is forgotten once the watermark is
+    ``keep_ms`` behind its last news; without, each job keeps one small row."""
+    timed = "at" in status.columns
+    rows = status.withWatermark("at", late) if timed else status
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("job").applyInPandasWithState(_progress(keep_ms if timed else None), "job string, progress long, n_updates long", "best long, seen long, at long", "update", timeout)
 
 
 def _throttled(quiet: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            through = []
-            for t in pdf["s"].sort_values():
-                if last is None or t - last >= quiet:
-                    through.append(int(t))
-                    last = int(t)
-            yield pd.DataFrame({"signature": [key[0]] * len(through), "s": through})
-        if last is not None:
-            state.update((last,))
+        # A trigger's rows of a key come in several batches in any order: their times, 8 bytes each, are put in order as a whole.
+        times = np.sort(np.concatenate([pdf["s"].to_numpy(np.int64, copy=True) for pdf in frames]))
+        through, at = [], 0
+        while at < len(times):
+            if last is not None:
+                at = int(np.searchsorted(times, last + quiet))
+                if at == len(times):
+                    break
+            last = int(times[at])
+            through.append(last)
+            at += 1
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + quiet) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"signature": [key[0]] * len(through), "s": through})
 
     return step
 
 
-def throttle(log: DataFrame, quiet: int = 30) -> DataFrame:
-    """Rows (signature string, s long) at least ``quiet`` after the last one of their signature that went through."""
-    return log.groupBy("signature").applyInPandasWithState(_throttled(quiet), "signature string, s long", "last long", "append", GroupStateTimeout.NoTimeout)
+def throttle(log: DataFrame, quiet: int = 30, late: str = "10 minutes") -> DataFrame:
+    """Rows (signature string, s long, seconds) at least ``quiet`` after the last one of their signature that went through. Rows behind the
+    watermark are dropped; a signature is forgotten when the watermark has passed its quiet time, as any row that may still come goes through."""
+    timed = log.withColumn("at", F.timestamp_seconds("s")).withWatermark("at", late)
+    return timed.groupBy("signature").applyInPandasWithState(_throttled(quiet), "signature string, s long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
