@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import fixed
 from tidemark.functions.timecode import RATES
 
 
@@ -56,4 +57,5 @@ def fresh(now: Column, heartbeat: Column, running: Column, limit: int = 10) -> C
 def speed_shown(n: Column) -> Column:
     """Bytes a second in units of 1000."""
     n = F.greatest(F.lit(0.0), F.coalesce(n.cast("double"), F.lit(0.0)))
-    return F.when(n >= 1e9, F.format_string("%.2f GB/s", n / 1e9)).when(n >= 1e6, F.format_string("%.1f MB/s", n / 1e6)).when(n >= 1e3, F.format_string("%.1f KB/s", n / 1e3)).otherwise(F.format_string("%d B/s", F.floor(n)))
+    shown = lambda x, pattern, unit: F.concat(fixed(x, pattern), F.lit(unit))
+    return F.when(n >= 1e9, shown(n / 1e9, "0.00", " GB/s")).when(n >= 1e6, shown(n / 1e6, "0.0", " MB/s")).when(n >= 1e3, shown(n / 1e3, "0.0", " KB/s")).otherwise(F.format_string("%d B/s", F.floor(n)))

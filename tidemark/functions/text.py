@@ -215,9 +215,15 @@ def url_encoded(text: Column) -> Column:
     return out
 
 
+def fixed(x: Column, pattern: str) -> Column:
+    """A number with a pattern's decimals, halves of its binary value to the even digit (``format_string`` rounds them up)."""
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def bytes_shown(n: Column) -> Column:
     """A number of bytes in units of 1000."""
-    return F.when(n >= 1e9, F.format_string("%.2f GB", n / 1e9)).when(n >= 1e6, F.format_string("%.0f MB", n / 1e6)).when(n >= 1e3, F.format_string("%.0f KB", n / 1e3)).otherwise(F.format_string("%d B", F.floor(n)))
+    shown = lambda x, pattern, unit: F.concat(fixed(x, pattern), F.lit(unit))
+    return F.when(n >= 1e9, shown(n / 1e9, "0.00", " GB")).when(n >= 1e6, shown(n / 1e6, "0", " MB")).when(n >= 1e3, shown(n / 1e3, "0", " KB")).otherwise(F.format_string("%d B", F.floor(n)))
 
 
 def version_newer(candidate: Column, current: Column) -> Column:

@@ -22,7 +22,7 @@ ORACLE = {
       SELECT stream, kind AS norm, arg_max(id, n) AS id, arg_max(dup, n)::bigint AS duplicates FROM t GROUP BY stream, kind, grp""",
     "download_speed": f"""WITH RECURSIVE {_IV}, a AS (SELECT stream, id, CASE WHEN kind = 'error' THEN 0 ELSE e - s END::double AS amount, row_number() OVER (PARTITION BY stream ORDER BY id) AS n FROM iv),
       t AS (SELECT stream, id, amount, n, amount AS speed FROM a WHERE n = 1 UNION ALL SELECT a.stream, a.id, a.amount, a.n, CASE WHEN a.amount > 0 THEN CASE WHEN t.speed <= 0 THEN a.amount ELSE 0.65::double * t.speed + 0.35::double * a.amount END WHEN t.speed * 0.5 < 1 THEN 0 ELSE t.speed * 0.5 END FROM t JOIN a ON a.stream = t.stream AND a.n = t.n + 1)
-      SELECT stream, id, amount, round(speed, 4) AS speed FROM t""",
+      SELECT stream, id, amount, floor(speed * 1000)::bigint AS speed FROM t""",
     "best_valley": f"""WITH {_VALLEY}, v AS (SELECT stream, center, start, "end", round(mean, 6) AS mean, round(p95, 6) AS p95 FROM val), q AS (SELECT stream, frame AS ask, frame + 15 AS low, frame + 60 AS soft, frame + 90 AS up, frame + 45 AS target FROM sig),
       r AS (SELECT q.stream, ask, v.center, row_number() OVER (PARTITION BY q.stream, ask ORDER BY v.center > soft, {_COST.format(target='target', soft='soft', low='low')}, v.center) AS n FROM q JOIN v ON v.stream = q.stream AND v.center BETWEEN low AND up) SELECT stream, ask, center FROM r WHERE n = 1""",
     "abnormal_share": f"WITH {_prep('documents')} SELECT source, count(*) AS n, round(avg(CASE WHEN {_ABN} THEN 1 ELSE 0 END), 6) AS share FROM p GROUP BY source",

@@ -81,7 +81,7 @@ def find_next(spark, d):
 
 
 def download_speed(spark, d):
-    return ops.speeds(intervals(spark, d).select("stream", "id", F.when(F.col("kind") == "error", 0).otherwise(F.col("e") - F.col("s")).alias("amount"))).withColumn("speed", F.round("speed", 4))
+    return ops.speeds(intervals(spark, d).select("stream", "id", F.when(F.col("kind") == "error", 0).otherwise(F.col("e") - F.col("s")).alias("amount"))).withColumn("speed", F.floor(F.col("speed") * 1000))
 
 
 def global_totals(spark, d):

@@ -76,7 +76,7 @@ def audio_prepared(spark, d):
     """Customers' balances as two channels of a stream for each nation; some files are ready as they are."""
     c = table(spark, d, "customer")
     order = W.partitionBy("c_nationkey").orderBy("c_custkey")
-    rows = c.select(F.col("c_nationkey").cast("long").alias("stream"), (F.row_number().over(order) - 1).cast("long").alias("n"), (F.col("c_acctbal").cast("double") / 4000).alias("v"))
+    rows = c.select(F.col("c_nationkey").cast("long").alias("stream"), (F.row_number().over(order) - 1).cast("long").alias("n"), (F.col("c_acctbal").cast("double") / 4001).alias("v"))
     samples = rows.select("stream", F.floor(F.col("n") / 2).alias("frame"), (F.col("n") % 2).alias("channel"), "v")
     files = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("path"), F.lit("WAV").alias("format"), F.when(F.col("n_nationkey") % 4 == 0, "PCM_16").otherwise("FLOAT").alias("subtype"), F.when(F.col("n_nationkey") % 7 == 6, 8000).otherwise(16000).alias("rate"), F.lit(1).alias("channels"), F.lit(10).alias("frames"))
     ready_rows = samples.where("channel = 0")  # one channel is what a ready file has
@@ -191,7 +191,7 @@ ORACLE = {
       d AS (SELECT *, max(e) OVER (PARTITION BY stream ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b WHERE e > s), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM d)
       SELECT stream, min(s) AS s, max(e) AS e, max(c)::double AS confidence FROM i GROUP BY stream, island HAVING max(e) - min(s) >= 20""",
     "audio_peaks": f"WITH {_SIG} SELECT stream, count(*) AS n, CASE WHEN length(stream) % 3 = 0 THEN NULL ELSE max(abs(p * 3 - 2)) END AS peak, CASE WHEN length(stream) % 3 = 0 THEN 'AUDIO_NOT_FINITE' END AS error FROM sig GROUP BY stream",
-    "audio_prepared": """WITH a AS (SELECT c_nationkey::bigint AS stream, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, c_acctbal::double / 4000 AS v FROM customer), b AS (SELECT stream, n // 2 AS frame, n % 2 AS channel, v FROM a WHERE stream % 7 != 6),
+    "audio_prepared": """WITH a AS (SELECT c_nationkey::bigint AS stream, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, c_acctbal::double / 4001 AS v FROM customer), b AS (SELECT stream, n // 2 AS frame, n % 2 AS channel, v FROM a WHERE stream % 7 != 6),
       m AS (SELECT stream, frame, avg(v) AS v FROM b WHERE stream % 4 != 0 GROUP BY stream, frame)
       SELECT stream, frame, round(v, 6) AS v FROM b WHERE stream % 4 = 0 AND channel = 0 UNION ALL SELECT stream, frame, round(greatest(-1.0, least(1.0, v / greatest(1.0, max(abs(v)) OVER (PARTITION BY stream)))), 6) FROM m""",
     "audio_ranges": f"""WITH {_SIG}, t AS (SELECT stream, max(frame) + 1 AS n FROM sig GROUP BY stream), q AS (SELECT i AS ask, i * 37 - 200 AS a, i * 37 - 200 + i % 7 * 5 AS b FROM range(1, 40) r(i)), c AS (SELECT stream, ask, greatest(0, least(n, a)) AS a, greatest(0, least(n, b)) AS b FROM t, q)
