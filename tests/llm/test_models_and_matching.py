@@ -311,9 +311,34 @@ def test_near_equals_brute_force(spark):
     assert order_minhash.classes(docs(spark, [])).count() == 0
 
 
+def test_near_recall_on_real_rows(spark, sf):
+    """Classes on whole documents against alignment of every pair that shares enough shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs(spark, rows)).collect()}
+    assert got == near_classes(rows)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from tidemark.llm import common
+
+    kept = common.materialise(spark.range(3), "t")
+    path = common._WRITTEN[-1]
+    assert kept.count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    common.clear(spark)
+    assert not common._WRITTEN
+    with pytest.raises(Exception):
+        kept.count()
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: None if name == "spark.checkpoint.dir" else "file:/w")
+    assert common.shared_path(spark, "t").startswith("file:/w/tidemark-t-")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://x")
+    with pytest.raises(RuntimeError):
+        common.shared_path(spark, "t")
+
+
 def test_near_deduplicate(spark):
-    df = clashing(spark, docs(spark, [(1, "a b"), (2, "a b"), (3, None), (None, "a b")]))
+    df = clashing(spark, docs(spark, [(1, "a b"), (2, "a b"), (3, None), (None, "a b")])).withColumns({"gone": F.lit("x"), "__gone": F.lit("x")})
     got = order_minhash.deduplicate(df)
+    assert {v for r in got.collect() for c, v in r.asDict().items() if c not in ("doc_id", "text")} == {"x"}
     assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
 
 

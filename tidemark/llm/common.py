@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _SERIAL = itertools.count()
 _HELD: dict = {}
+_WRITTEN: list[str] = []
 
 
 def held(key, make):
@@ -53,18 +54,30 @@ def text_of(column: str = "text"):
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it. Where that is unset (tests, a
-    local run) the warehouse folder is used, which such a session has on one machine.
+    The session's ``spark.checkpoint.dir`` names it. Where that is unset, a session on one machine (tests, a
+    local run) uses its warehouse folder; on a cluster that may be a local folder, and is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     tag = f"{spark.sparkContext.applicationId}-{next(_SERIAL)}"
     return f"{root.rstrip('/')}/tidemark-{label}-{tag}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``materialise`` wrote in this application; frames that read them are of no use any more."""
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by a table written to the shared folder; lost executors lose nothing."""
+    """Cut lineage by a table written to the shared folder; lost executors lose nothing. ``clear`` deletes these tables."""
     short_batches(df.sparkSession)
     path = shared_path(df.sparkSession, label)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

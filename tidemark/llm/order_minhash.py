@@ -14,7 +14,7 @@ has and the other lacks is a shingle without a match, and so an upper bound of t
 
 Defined results: null and texts without words have no shingle and are classes of their own; texts of under five words
 have one shingle, all their words; repeated rows share a class; rows with a null id are left out of classes (and
-kept by ``deduplicate``); an empty table gives none; other columns are ignored or carried along.
+kept by ``deduplicate``); rows that repeat an id with different texts are compared by one of these texts; an empty table gives none; other columns are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -260,7 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row with an id: doc_id, class_id (its class's smallest id), n_links (to other word sequences), class_rep."""
+    """One row for each row with an id: doc_id, class_id (its class's smallest id), class_rep (the smallest id of its word sequence), n_links (verified links of
+    that sequence that were needed to connect its class: two texts that are in one class already are not compared any more)."""
     sketches = materialise(sketched(docs, id_col, text_col), "omh-sketches")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     edges = links(texts, sketches, at_least)
@@ -273,7 +274,10 @@ def classes(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text
 
 
 def deduplicate(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their class's smallest."""
-    gone = materialise(classes(docs, at_least, id_col, text_col).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct(), "omh-gone")
+    """The rows of ``docs`` whose id is their class's smallest, with their own columns."""
+    name = "gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = materialise(classes(docs, at_least, id_col, text_col).where("doc_id != class_id").select(F.col("doc_id").alias(name)).distinct(), "omh-gone")
     small = gone.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
