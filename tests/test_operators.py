@@ -315,3 +315,21 @@ def test_file_and_folder_forms(spark):
     assert (r.text, r.generated, r.hit_limit, r.fault) == ("a", 80, True, None)
     with pytest.raises(ValueError):
         jobs.match_rows(None, "")
+
+
+def test_model_slots(spark):
+    from tidemark.operators import models
+
+    track = spark.createDataFrame([("a", i, i / 10) for i in range(10)], "stream string, frame long, v double")
+    windows = spark.createDataFrame([("a", 1, 0, 3, "p", 500), ("a", 2, 8, 20, "", 500), ("a", 3, 30, 40, "", 500)], "stream string, win long, start long, end long, prompt string, speech_ms long")
+    held = models.window_samples(track, windows)
+    assert {r.win: r.samples for r in held.collect()} == {1: [0.0, 0.1, 0.2], 2: [0.8, 0.9], 3: None}
+
+    def load():
+        return lambda v, language, prompt: {"text": f"{len(v)} {prompt}" if v else "", "generated_tokens": 200 if len(v) == 2 else 3}
+
+    got = {r.win: (r.text, r.error, r.valid) for r in models.transcribed(held, load).collect()}
+    assert got == {1: ("3 p", "", True), 2: ("", "ASR_TOKEN_LIMIT_REACHED", False), 3: ("", "EMPTY_TRANSCRIPT_FOR_SPEECH", False)}
+    texts = held.where("win < 3").select("stream", "win", F.lit(5.0).alias("offset"), "samples", F.lit("x y").alias("text"), F.lit("en").alias("language"))
+    found = models.aligned(texts, lambda: lambda v, text, language: [(w, i, i + 0.5) for i, w in enumerate(text.split())]).collect()
+    assert sorted((r.win, r.ord, r.text, r.start, r.end) for r in found) == [(w, i, t, 5.0 + i, 5.5 + i) for w in (1, 2) for i, t in enumerate("xy")]
