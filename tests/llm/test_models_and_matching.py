@@ -311,6 +311,27 @@ def test_near_equals_brute_force(spark):
     assert order_minhash.classes(docs(spark, [])).count() == 0
 
 
+def test_rare_shingles_find_every_similar_pair(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(6):  # chains of altered copies, and texts that share half of a template
+        w = [f"w{rng.randrange(400)}" for _ in range(60 + 20 * k)]
+        for _ in range(12):
+            w = list(w)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(w)))
+    template = [f"t{i}" for i in range(50)]
+    rows += [(1000 + i, " ".join(template + [f"x{rng.randrange(10**6)}" for _ in range(40)])) for i in range(300)]
+    members = spark.createDataFrame([(i, i) for i, _ in rows], "doc_id long, root long")
+    got = {(r.a, r.b) for r in order_minhash._prefixed(docs(spark, rows), members, 0.8).collect()}
+    sets = {i: order_minhash.shingles(t) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if order_minhash.similarity(sets[a], sets[b], 0.8) >= 0.8}
+    assert len(want) > 30 and want <= got and not any(a >= 1000 for a, _ in got)
+    one = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, root long")
+    assert order_minhash._prefixed(docs(spark, rows), one, 0.8).count() == 0
+
+
 def test_near_recall_on_real_rows(spark, sf):
     """Classes on whole documents against alignment of every pair that shares enough shingles."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

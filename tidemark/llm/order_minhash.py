@@ -8,8 +8,9 @@ sequences inside a diagonal band (as wide as the threshold allows) matches at le
 their union. Classes are the connected components of links.
 
 Work is not quadratic in a group: equal word sequences count once; a band's members are compared with its most
-central one, then with the most central one of a random part of the band, and members that still are in different classes
-pairwise. Pairs become rows only if they can reach the threshold: each document has a bitmap of its shingles, a bit that one
+central one, then with the most central one of a random part of the band. Members that still are in different classes meet where they share
+one of their rarest shingles, as similar texts must (``_prefixed``): a template that very many texts share makes no pairs. Pairs go
+on to their texts only if they can reach the threshold: each document has a bitmap of its shingles, a bit that one
 has and the other lacks is a shingle without a match, and so an upper bound of the similarity is known without the texts.
 
 Defined results: null and texts without words have no shingle and are classes of their own; texts of under five words
@@ -238,13 +239,44 @@ def links(docs: DataFrame, sketches: DataFrame, at_least: float = 0.8) -> DataFr
         members = _undecided(members, found)
         if not members.limit(1).count():
             return found
-    valued = members.select("doc_id", "key", "root").join(values.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d")).drop("d")
-    other = valued.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("xa"), F.col("key").alias("k"), F.col("root").alias("ra"))
-    close = valued.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("doc_id")) & (F.col("ra") != F.col("root")) & can_reach("na", "xa", "n_shingles", "bits", at_least))
-    pairs = materialise(close.select("a", F.col("doc_id").alias("b")).distinct(), "omh-pairs")
+    rest = materialise(_prefixed(docs, members.select("doc_id", "root").distinct(), at_least), "omh-rest")
+    pairs = materialise(_close(rest, values, at_least), "omh-pairs")
     return materialise(found.unionByName(verified(_with_texts(docs, pairs), at_least)).distinct(), "omh-links")
 
 
+def _prefixed(docs: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
+    """a, b: pairs of members (doc_id, root) of different classes that may be similar, none that is left out.
+
+    Similar texts share at least ``at_least`` of either one's labelled shingles. With all shingles in one order, rare ones first, the first
+    n - ceil(at_least * n) + 1 of each text therefore have one in common, and behind the first common one either still has enough. A shingle
+    that one member alone has takes a place there and meets nobody: texts that only share a template of less than that have no
+    shingle of it among their first ones, however many they are.
+    """
+    ids = members.select("doc_id")
+    small = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+    def run(frames):
+        for batch in batches(frames):
+            rows = [labelled(shingles(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    grams = materialise(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>"), "omh-grams")
+    each = grams.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = each.join(often, "g").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("x"))
+    least = F.ceil(F.col("n") * at_least - 1e-6)
+    first = ordered.select("doc_id", "n", F.size("x").alias("shared"), "x").where(F.col("shared") >= least)
+    at = first.select("doc_id", "n", "shared", F.posexplode(F.slice("x", F.lit(1), (F.col("shared") - least + 1).cast("int"))).alias("i", "y"))
+    rows = at.select("doc_id", "n", F.col("y.g").alias("g"), (F.col("shared") - F.col("i") - 1).alias("behind"))
+    rows = materialise(rows.join(members, "doc_id"), "omh-prefix")
+    other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h"), F.col("behind").alias("bb"), F.col("root").alias("rb"))
+    most = F.least("behind", "bb") + 1
+    may = (most * (1 + at_least) >= (F.col("n") + F.col("nb")) * at_least - 1e-6) & (F.least("n", "nb") >= F.greatest("n", "nb") * at_least - 1e-6)
+    met = rows.join(other, (F.col("g") == F.col("h")) & (F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & may)
+    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest id that links lead to. Labels fall to neighbours' and then to their own label's label."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
