@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import itertools
 from collections.abc import Iterator
 
@@ -33,6 +34,13 @@ def give_back() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Hand back what the driver no longer needs: frames that nothing names hold plans, and generated code, in its JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows, unless the session says otherwise than Spark's default of 10 000: texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

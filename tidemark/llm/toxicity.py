@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
-from tidemark.llm.common import batches, held, text_of
+from tidemark.llm.common import batches, held, text_of, tidy
 
 SIZE, STRIDE = 32, 16
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>«»“”„…-–_~"
@@ -201,7 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_n
     texts = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).where(F.octet_length("__text") <= sample_bytes)
     rows = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).groupBy("__doc", "y").agg(F.min("__text").alias("__text")).toPandas()
     rows = rows.sort_values(["__doc", "__text"])
-    return train(rows["__text"].tolist(), rows["y"].to_numpy())
+    scorer = train(rows["__text"].tolist(), rows["y"].to_numpy())
+    del rows
+    tidy(docs.sparkSession)
+    return scorer
 
 
 def _scored(docs: DataFrame, scorer: Scorer | None, id_col: str, text_col: str, threshold: float) -> DataFrame:
