@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, order_minhash, packing, pii_surrogates, toxicity
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import materialise, table, tidy
 
 #: Documents that score as high are rejected.
 THRESHOLD = 0.7
@@ -30,17 +30,20 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the document with the smallest id."""
+    tidy(spark)
     return order_minhash.deduplicate(docs, at_least=0.8)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data; ``n_chars`` is that of the new text."""
+    tidy(spark)
     out = pii_surrogates.replaced(docs, pii_surrogates.key_of(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
+    tidy(spark)
     return packing.packed(docs)
 
 
