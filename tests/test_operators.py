@@ -317,6 +317,27 @@ def test_file_and_folder_forms(spark):
         jobs.match_rows(None, "")
 
 
+def test_isotonic_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.randrange(0, 4000) + 200 * i) for k in range(6) for i in range(rng.randrange(1, 40))]
+    got = {(r.stream, r.i): r.fitted for r in signal.isotonic(spark.createDataFrame(rows, "stream long, i long, x long"), 100).collect()}
+    for k in range(6):
+        x = [v - 100 * i for s, i, v in sorted(rows) if s == k]
+        mean = lambda a, b: sum(x[a : b + 1]) / (b - a + 1)  # noqa: B023, E731
+        for i in range(len(x)):
+            assert got[k, i] == pytest.approx(max(min(mean(j, m) for m in range(i, len(x))) for j in range(i + 1)) + 100 * i)
+
+
+def test_window_expansion(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 5.0, 5.1), (1, 2, 5.1, 9.0), (2, 0, 0.0, 3.0), (2, 1, 3.0, 6.0), (3, 0, 0.0, 0.1), (3, 1, 0.1, 0.2), (3, 2, 0.2, 1.5)], "stream long, i long, s double, e double")
+    durations = spark.createDataFrame([(1, 9.0), (2, 6.0), (3, 1.5)], "stream long, duration double")
+    got = {}
+    for r in signal.isotonic_expansion(rows, durations).orderBy("stream", "i").collect():
+        got.setdefault(r.stream, []).append((round(r.s, 6), round(r.e, 6), r.moved))
+    assert got[1] == [(0, 4.55, True), (4.55, 5.55, True), (5.55, 9.0, True)] and got[2] == [(0, 3, False), (3, 6, False)]
+    assert got[3] == [(0, 0.5, True), (0.5, 1.0, True), (1.0, 1.5, True)]
+
+
 def test_model_slots(spark):
     from tidemark.operators import models
 

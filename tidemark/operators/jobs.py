@@ -74,10 +74,10 @@ def retained(jobs: DataFrame, done_ttl: int, other_ttl: int, most: int = 100) ->
 
 
 def entries(manifests: DataFrame, asked: DataFrame) -> DataFrame:
-    """The manifest's entry for each asked key: the first with that key (models array<struct<key, ...>>), or an error."""
-    listed = manifests.select(F.posexplode("models").alias("at", "entry")).groupBy(F.col("entry.key").alias("k")).agg(F.min_by("entry", "at").alias("entry"))
-    found = asked.join(listed, F.col("key") == F.col("k"), "left")
-    return found.select("key", "entry", F.when(F.col("entry").isNull(), F.concat(F.lit("Unknown model key: "), F.col("key"))).alias("error"))
+    """The entry for each asked key (manifest, key) of manifests (manifest, models array<struct<key, ...>>): the first with that key, or an error."""
+    listed = manifests.select(F.col("manifest").alias("m"), F.posexplode("models").alias("at", "entry")).groupBy("m", F.col("entry.key").alias("k")).agg(F.min_by("entry", "at").alias("entry"))
+    found = asked.join(listed, (F.col("manifest") == F.col("m")) & (F.col("key") == F.col("k")), "left")
+    return found.select("manifest", "key", "entry", F.when(F.col("entry").isNull(), F.concat(F.lit("Unknown model key: "), F.col("key"))).alias("error"))
 
 
 def status_rows(events: DataFrame, protocol: int = 1) -> DataFrame:

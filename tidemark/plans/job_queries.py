@@ -81,11 +81,12 @@ def settings_typed(spark, d):
 
 
 def manifest_lookup(spark, d):
-    """Parts as a manifest of 20 keys, most twice, asked for by nations' keys and one that is not there."""
-    models = table(spark, d, "part").where("p_partkey <= 35").select(F.col("p_partkey").alias("n"), F.struct((F.col("p_partkey") % 20).cast("string").alias("key"), F.col("p_partkey").cast("long").alias("size")).alias("x"))
-    manifest = models.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda r: r.x).alias("models"))  # 35 entries
-    asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"))
-    return ops.entries(manifest, asked).select("key", F.col("entry.size").alias("size"), "error")
+    """Parts as manifests of 20 entries, some keys twice; each is asked for the keys of all nations."""
+    n = F.col("p_partkey").cast("long")
+    parts = table(spark, d, "part").select(F.floor(n / 20).alias("manifest"), n.alias("n"), F.struct((n * 7 % 15).cast("string").alias("key"), n.alias("size")).alias("x"))
+    manifests = parts.groupBy("manifest").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda r: r.x).alias("models"))
+    asked = manifests.select("manifest").join(F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"))))  # 25 keys
+    return ops.entries(manifests, asked).select("manifest", "key", F.col("entry.size").alias("size"), "error")
 
 
 def retention(spark, d):
@@ -248,7 +249,7 @@ ORACLE = {
     "request_checks": f"""WITH a AS (SELECT event_id, event_id % {len(_FAULTS)} AS k, {_listed(_FAULTS)}[event_id % {len(_FAULTS)} + 1] AS error FROM events)
       SELECT event_id, error, CASE k WHEN 0 THEN 'a-' || event_id WHEN 9 THEN 'k' || event_id WHEN 13 THEN 'd' END AS job_id, CASE k WHEN 0 THEN 30 WHEN 9 THEN 42 WHEN 13 THEN 42 END AS max_chars, CASE k WHEN 0 THEN 90000 WHEN 9 THEN 0 WHEN 13 THEN 0 END::bigint AS start_frame, CASE k WHEN 0 THEN 'auto_subtitle' WHEN 9 THEN 'script_match' WHEN 13 THEN 'auto_subtitle' END AS mode FROM a""",
     "settings_typed": "SELECT event_id, [30.0, 42.0, 12.5, 42.0, 42.0][event_id % 5 + 1]::double AS width, event_id % 5 = 0 AS gaps, ['x', 'default', 'default', 'default', 'y'][event_id % 5 + 1] AS name FROM events",
-    "manifest_lookup": "WITH m AS (SELECT p_partkey % 20 AS k, min(p_partkey)::bigint AS size FROM part WHERE p_partkey <= 35 GROUP BY 1) SELECT n_nationkey::varchar AS key, size, CASE WHEN size IS NULL THEN 'Unknown model key: ' || n_nationkey END AS error FROM nation LEFT JOIN m ON k = n_nationkey",
+    "manifest_lookup": "WITH m AS (SELECT p_partkey // 20 AS manifest, p_partkey * 7 % 15 AS k, min(p_partkey)::bigint AS size FROM part GROUP BY 1, 2), q AS (SELECT DISTINCT manifest, n_nationkey AS k FROM m, nation) SELECT q.manifest::bigint AS manifest, q.k::varchar AS key, size, CASE WHEN size IS NULL THEN 'Unknown model key: ' || q.k END AS error FROM q LEFT JOIN m ON m.manifest = q.manifest AND m.k = q.k",
     "retention": """WITH a AS (SELECT o_orderkey AS job, o_orderstatus AS state, date_diff('day', cast(o_orderdate AS date), date '2001-09-01') AS age FROM orders), b AS (SELECT *, CASE WHEN job % 4 = 0 THEN 'acknowledged' WHEN age >= CASE WHEN state = 'F' THEN 300 ELSE 900 END THEN 'expired' END AS gone FROM a),
       c AS (SELECT *, row_number() OVER (PARTITION BY gone IS NULL ORDER BY age, job) AS rank FROM b) SELECT job, CASE WHEN gone IS NOT NULL THEN gone WHEN rank <= 100 THEN 'kept' ELSE 'over_limit' END AS action FROM c""",
     "job_queue": f"SELECT o_orderkey AS job, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank {_OPEN}",

@@ -45,7 +45,7 @@ def interval_ratios(spark, d):
 
 def manifest_verify(spark, d):
     """Suppliers as expected files, customers as those present."""
-    made = lambda t, k: table(spark, d, t).select(F.concat(F.lit("f"), F.col(f"{k}_{t[:4]}key" if t == "supplier" else f"{k}_custkey").cast("string")).alias("name"), F.col(f"{k}_nationkey").cast("long").alias("size"), F.lit("h").alias("sha"))
+    made = lambda t, k: table(spark, d, t).select(F.concat(F.lit("f"), F.col(f"{k}_{t[:4]}key" if t == "supplier" else f"{k}_custkey").cast("string")).alias("name"), F.col(f"{k}_nationkey").cast("long").alias("size"), F.sha2((F.col(f"{k}_{t[:4]}key" if t == "supplier" else f"{k}_custkey") % (3 if t == "supplier" else 9)).cast("string"), 256).alias("sha"))
     return ops.verified_files(made("supplier", "s"), made("customer", "c"))
 
 
@@ -95,9 +95,10 @@ def text_statistics(spark, d):
 
 
 def block_scores(spark, d):
-    """Fill score and fragment width for widths of 1 to 60 at 42."""
-    rows = [(n, segment.fragment_units(n), segment.fill_score(n, 42)) for n in range(1, 61)]
-    return spark.createDataFrame(rows, "units long, fragment long, fill long")
+    """Fill score and fragment width of each line of documents at 42 columns."""
+    n = F.length(F.col("t")).cast("long")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    return lines.select("doc_id", F.col("i").cast("long").alias("line"), n.alias("units"), segment.fragment_column(n).alias("fragment"), segment.fill_column(n, 42).alias("fill"))
 
 
 def union_recovered(spark, d):
@@ -131,7 +132,7 @@ ORACLE = {
     "core_claimed": f"{_WIN} SELECT stream, win, EXISTS (SELECT 1 FROM cand c WHERE c.stream = w.stream AND c.win = w.win) AS claimed FROM w",
     "same_occurrence": f"WITH {_IV} SELECT a.id AS a, b.id AS b FROM iv a JOIN iv b ON a.stream = b.stream AND a.kind = b.kind AND a.id < b.id AND a.id % 3 != b.id % 3 AND a.s < b.e AND b.s < a.e WHERE 2 * (least(a.e, b.e) - greatest(a.s, b.s)) >= least(a.e - a.s, b.e - b.s)",
     "interval_ratios": f"WITH {_IV} SELECT stream, round(count(DISTINCT (s, e)) / count(*), 6) AS unique_ratio, round((max(e) - min(s)) / 2678400, 6) AS span_ratio FROM iv GROUP BY stream",
-    "manifest_verify": "SELECT 'f' || s_suppkey AS name, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN s_nationkey != c_nationkey THEN 'size' ELSE 'ok' END AS state FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey",
+    "manifest_verify": "SELECT 'f' || s_suppkey AS name, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN s_nationkey != c_nationkey THEN 'size' WHEN s_suppkey % 3 != c_custkey % 9 THEN 'hash' ELSE 'ok' END AS state FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey",
     "comparison_report": """SELECT doc_id AS report_id, lang AS language, 1 AS idx, doc_id + 0.5::double AS start, doc_id + 1.75::double AS "end" FROM documents UNION ALL SELECT doc_id, lang, 2, n_chars::double, n_chars + 2.25::double FROM documents UNION ALL SELECT doc_id, 'all', 1, 0.5::double, doc_id + 0.5::double FROM documents""",
     "subtitle_track": f"""WITH {_IV}, t AS (SELECT *, CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS track, kind != 'view' OR stream % 2 = 0 AS enabled FROM iv), f AS (SELECT *, min(track) FILTER (enabled) OVER (PARTITION BY stream) AS first FROM t)
       SELECT stream, id, round(greatest(0.0, (s * 25 - 42601681000) / 25.0), 6)::double AS start, round(greatest(0.0, (e * 25 - 42601681000) / 25.0), 6)::double AS "end" FROM f WHERE enabled AND track = first""",
@@ -145,5 +146,6 @@ ORACLE = {
     "text_statistics": f"SELECT doc_id, length(regexp_replace(text, '{_LETTERS}', '', 'g')) AS lexical, len(regexp_extract_all(text, '\\d[.,] \\d')) AS continued, length(regexp_replace(text, '[^\\x{{1100}}-\\x{{11FF}}\\x{{2E80}}-\\x{{2FFF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]', '', 'g')) AS cjk FROM documents",
     "union_recovered": f"WITH {_IV} SELECT stream, s, e FROM iv WHERE kind = 'view' UNION ALL SELECT DISTINCT stream, s, e FROM iv r WHERE kind = 'error' AND NOT EXISTS (SELECT 1 FROM iv c WHERE c.kind = 'click' AND c.stream = r.stream AND c.s < r.e AND r.s < c.e)",
     "reason_list": f"WITH {_IV}, f AS (SELECT stream, kind, min(id) AS id FROM iv GROUP BY stream, kind) SELECT stream, string_agg(kind, ',' ORDER BY id) AS kinds FROM f GROUP BY stream",
-    "block_scores": """SELECT n AS units, CASE WHEN n <= 2 THEN 1 ELSE least(8, greatest(4, n // 4)) END AS fragment, cast(round_even(30 * least(1.0, n / 42), 0) - round_even(20 * (1 - least(1.0, n / 42)) ** 2, 0) AS bigint) AS fill FROM range(1, 61) t(n)""",
+    "block_scores": """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS line FROM a), c AS (SELECT doc_id, line, length(t) AS n FROM b)
+      SELECT doc_id, line, n AS units, CASE WHEN n <= 2 THEN 1 ELSE least(8, greatest(4, n // 4)) END AS fragment, cast(round_even(30 * least(1.0, n / 42), 0) - round_even(20 * (1 - least(1.0, n / 42)) ** 2, 0) AS bigint) AS fill FROM c""",
 }

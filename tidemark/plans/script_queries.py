@@ -52,9 +52,9 @@ def recovery_match(spark, d):
     words = _lines(spark, d).select("stream", "line", F.posexplode(tx.split_blank(F.col("text"))).alias("i", "text"))
     at = (F.row_number().over(W.partitionBy("stream").orderBy("line", "i")) - 1).cast("long")
     tokens = words.select("stream", at.alias("id"), "text").select("stream", "id", (F.col("id") * 4).alias("s"), (F.col("id") * 4 + 3).alias("e"), "text")
-    span = tokens.select("stream", F.floor(F.col("id") / 10).alias("win"), "id", "text").where("id % 10 < 6")
+    span = tokens.select("stream", F.floor(F.col("id") / 6).alias("win"), "id", "text")
     windows = span.groupBy("stream", "win").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x.text), " ").alias("text"))
-    windows = windows.select("stream", "win", (F.col("win") * 40).alias("s"), (F.col("win") * 40 + 24).alias("e"), F.when(F.col("win") % 4 == 3, "quite other words").otherwise(F.col("text")).alias("text"))
+    windows = windows.select("stream", "win", (F.col("win") * 24).alias("s"), (F.col("win") * 24 + 24).alias("e"), F.when(F.col("win") % 4 == 3, "quite other words").otherwise(F.col("text")).alias("text"))
     anchors = windows.where("win % 8 = 3").select("stream", "win", F.col("text").alias("anchor_text"))
     return recovery.supported(windows, tokens, anchors, 10.0).select("stream", "win", "state", F.size("ids").alias("n"), F.array_min("ids").alias("first"))
 
@@ -115,17 +115,16 @@ def lines_preserved(spark, d):
 
 def run_metrics(spark, d):
     """Counts and sums of windows by why they end, their lengths, and the real-time factor; a run of no length has none."""
-    w = _blocks(spark, d).select("stream", F.col("id").alias("idx"), "s", "e", F.element_at(F.array(F.lit("probability_valley"), F.lit("hard_max"), F.lit("end_of_audio")), (F.col("id") % 3 + 1).cast("int")).alias("reason")).where("idx < 9")
+    w = _blocks(spark, d).select("stream", F.col("id").alias("idx"), "s", "e", F.element_at(F.array(F.lit("probability_valley"), F.lit("hard_max"), F.lit("end_of_audio")), (F.col("id") % 3 + 1).cast("int")).alias("reason"))
     elapsed = w.select("stream").distinct().select("stream", F.lit(1000.0).alias("elapsed"), F.when(F.col("stream") % 4 == 0, 0).otherwise(F.col("stream") * 7).cast("double").alias("duration"))
     return script.metrics(w, elapsed)
 
 
 def coverage_total(spark, d):
-    """Coverage of each line and of the whole document: words without k and q, letter by letter."""
-    lines = table(spark, d, "documents").where("n_chars < 2000").select(F.col("doc_id").alias("stream"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("stream", F.col("line").cast("long").alias("line"), F.posexplode(tx.split_blank(F.lower("t"))).alias("grp", "w"))
-    units = words.select("stream", "line", F.col("grp").cast("long").alias("grp"), F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("c"))
-    return match.total_coverage(match.group_coverage(units.select("stream", "line", "grp", (~F.col("c").isin("k", "q")).alias("matched")))).select("stream", "complete", "total", F.round("coverage", 6).alias("coverage"))
+    """Coverage of whole documents, from that of their lines: words without k and q."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("stream"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    words = lines.select("stream", F.col("line").cast("long").alias("line"), tx.split_blank(F.lower("t")).alias("w")).where("size(w) > 0")
+    return match.total_coverage(match.word_coverage(words, lambda w: ~w.rlike("[kq]"))).select("stream", "complete", "total", F.round("coverage", 6).alias("coverage"))
 
 
 def repair_alignment(spark, d):
@@ -193,7 +192,7 @@ ORACLE = {
       SELECT stream, id, start_frame, end_frame, round(e, 6) AS e, CASE WHEN invalid > 0 THEN 'SCRIPT_MATCH_FRAME_QUANTIZATION_FAILED' WHEN nonmono + over_ + oob > 0 THEN 'SCRIPT_MATCH_QUANTIZED_INTERVALS_INVALID' ELSE '' END AS fault FROM q JOIN ft USING (stream)""",
     "lines_preserved": """WITH a AS (SELECT conv_id AS stream, turn, text, max(turn) OVER (PARTITION BY conv_id) AS last_, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), b AS (SELECT *, stream % 5 != 1 OR turn < last_ AS has, CASE WHEN stream % 7 = 2 THEN substr(text, 1, 10) ELSE text END AS shown FROM a)
       SELECT stream, count_if(has)::bigint AS n_blocks, count(*) AS n_lines, count_if(has AND shown = text)::bigint AS n_preserved, count_if(has) = count(*) AND count_if(has AND shown = text) = count(*) AS preserved FROM b GROUP BY stream""",
-    "run_metrics": f"""WITH {_NUMBERED}, w AS (SELECT stream, id, e - s AS n FROM bl WHERE id < 9) SELECT stream, count(*) AS n_windows, count_if(id % 3 = 0)::bigint AS probability_valley, count_if(id % 3 = 1)::bigint AS hard_max, count_if(id % 3 = 2)::bigint AS end_of_audio, sum(n)::bigint AS seconds, max(n) AS longest,
+    "run_metrics": f"""WITH {_NUMBERED}, w AS (SELECT stream, id, e - s AS n FROM bl) SELECT stream, count(*) AS n_windows, count_if(id % 3 = 0)::bigint AS probability_valley, count_if(id % 3 = 1)::bigint AS hard_max, count_if(id % 3 = 2)::bigint AS end_of_audio, sum(n)::bigint AS seconds, max(n) AS longest,
       '[' || string_agg(n || '.0', ',' ORDER BY id) || ']' AS window_seconds, CASE WHEN stream % 4 != 0 THEN round(1000.0::double / (stream * 7), 6) END AS real_time_factor FROM w GROUP BY stream""",
-    "coverage_total": rf"""WITH a AS (SELECT doc_id AS stream, unnest({_TOK.format(x='lower(text)')}) AS w FROM documents WHERE n_chars < 2000) SELECT stream, count_if(NOT regexp_matches(w, '[kq]'))::bigint AS complete, count(*) AS total, round(count_if(NOT regexp_matches(w, '[kq]')) / count(*), 6) AS coverage FROM a GROUP BY stream""",
+    "coverage_total": rf"""WITH a AS (SELECT doc_id AS stream, unnest({_TOK.format(x='lower(text)')}) AS w FROM documents) SELECT stream, count_if(NOT regexp_matches(w, '[kq]'))::bigint AS complete, count(*) AS total, round(count_if(NOT regexp_matches(w, '[kq]')) / count(*), 6) AS coverage FROM a GROUP BY stream""",
 }

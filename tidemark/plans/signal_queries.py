@@ -122,8 +122,9 @@ def window_expansion(spark, d):
 
 
 def isotonic_windows(spark, d):
-    order = W.partitionBy("stream").orderBy("id")
-    rows = intervals(spark, d, "error").select("stream", (F.row_number().over(order) - 1).cast("long").alias("i"), ((F.col("e") - F.col("s")) * 10 + (F.row_number().over(order) - 1) * 600).cast("long").alias("x"))
+    """Times at least 100 apart, nearest to those of all events of a user, which are 600 apart but for their length."""
+    n = F.row_number().over(W.partitionBy("stream").orderBy("id")) - 1
+    rows = intervals(spark, d).select("stream", n.cast("long").alias("i"), ((F.col("e") - F.col("s")) * 10 + n * 600).cast("long").alias("x"))
     return _rounded(ops.isotonic(rows, 100), "fitted")
 
 
@@ -209,10 +210,6 @@ ORACLE = {
       x AS (SELECT stream, total, idx, a, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nb ELSE b END AS b, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nwhy ELSE why END AS why FROM u WHERE NOT (idx = last_ AND idx > 0 AND b - a < 15)),
       y AS (SELECT stream, idx::bigint AS idx, a AS core_start, b AS core_end, greatest(0, a - 2) AS input_start, least(total, b + 2) AS input_end, why AS reason FROM x), sp AS ({_HYST.replace(_CAUSAL, _CAUSAL.replace('sig AS', 'sig2 AS', 1).replace('FROM sig)', 'FROM sig2)')).replace('FROM sig GROUP', 'FROM sig2 GROUP').format(pad=0)})
       SELECT y.*, coalesce((SELECT sum(least(input_end, sp."end") - greatest(input_start, sp.start)) FROM sp WHERE sp.stream = y.stream AND sp.start < input_end AND input_start < sp."end"), 0)::bigint AS speech FROM y""",
-    "isotonic_windows": f"""WITH {_IV}, a AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY id) - 1 AS i, (e - s) * 10 + (row_number() OVER (PARTITION BY stream ORDER BY id) - 1) * 600 AS x FROM iv WHERE kind = 'error'),
-      b AS (SELECT *, sum(x - i * 100) OVER (PARTITION BY stream ORDER BY i) AS c FROM a), m AS (SELECT j.stream, j.i AS j, k.i AS k, (k.c - j.c + j.x - j.i * 100) / (k.i - j.i + 1) AS mean FROM b j JOIN b k ON k.stream = j.stream AND k.i >= j.i),
-      lo AS (SELECT p.stream, p.i, m.j, min(m.mean) AS v FROM b p JOIN m ON m.stream = p.stream AND m.j <= p.i AND m.k >= p.i GROUP BY p.stream, p.i, m.j)
-      SELECT b.stream, b.i, b.x, round(max(lo.v) + b.i * 100, 6) AS fitted FROM b JOIN lo ON lo.stream = b.stream AND lo.i = b.i GROUP BY b.stream, b.i, b.x""",
     "normalize_range": f"WITH {_IV}, t AS (SELECT stream, id, (e - s) / 30000.0 AS v FROM iv) SELECT stream, id, round(greatest(-1.0, least(1.0, v / greatest(1.0, max(abs(v)) OVER (PARTITION BY stream)))), 6) AS v FROM t",
     "group_report": f"WITH {_SIG} SELECT stream AS kind, count(*) AS n, round(sum(p), 4) AS total, round(sqrt(avg(p * p)), 6) AS rms, round(20 * log10(sqrt(avg(p * p))), 4) AS dbfs, max(abs(p)) AS peak FROM sig GROUP BY stream",
     "progress_monotone": f"WITH {_IV} SELECT stream, id, least(100, max((e - s) // 600) OVER (PARTITION BY stream ORDER BY id ROWS UNBOUNDED PRECEDING)) AS progress FROM iv",
