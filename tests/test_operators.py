@@ -338,6 +338,13 @@ def test_window_expansion(spark):
     assert got[3] == [(0, 0.5, True), (0.5, 1.0, True), (1.0, 1.5, True)]
 
 
+def test_alignment_is_validated(spark):
+    streams = spark.createDataFrame([(1, "ab cd", 0.0, 5.0), (2, "ab", 0.0, 5.0), (3, "ab cd ef", 0.0, 5.0), (4, " ", 0.0, 5.0), (5, "a b", 0.0, 5.0)], "stream long, transcript string, low double, high double")
+    tokens = spark.createDataFrame([(1, 0, 0.0, 1.0, "Ab"), (1, 1, 1.0, 2.0, "cd."), (3, 0, 0.0, 1.0, "ab"), (3, 1, 1.0, 2.0, "xx"), (5, 0, 1.0, 2.0, "a"), (5, 1, 0.5, 3.0, "b")], "stream long, id long, s double, e double, text string")
+    got = {r.stream: (round(r.coverage, 3), r.error) for r in match.validated(streams, tokens).collect()}
+    assert got == {1: (1.0, ""), 2: (0.0, "EMPTY_ALIGNMENT"), 3: (0.4, "LOW_TEXT_COVERAGE"), 4: (1.0, ""), 5: (0.0, "NON_MONOTONIC_TIME:1")}
+
+
 def test_model_slots(spark):
     from tidemark.operators import models
 

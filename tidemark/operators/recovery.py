@@ -123,3 +123,12 @@ def context_windows(regions: DataFrame, speech: DataFrame, total: Column | int,
     found = near.groupBy(F.col("l_stream").alias("stream"), F.col("l_cs").alias("s"), F.col("l_ce").alias("e")).agg(F.max(low).alias("low"), F.min(high).alias("high"), F.sum(F.greatest(F.lit(0), F.least("l_ce", "r_e") - F.greatest("l_cs", "r_s"))).alias("speech"))
     out = regions.select("stream", "s", "e").join(found, ["stream", "s", "e"], "left")
     return out.select("stream", "s", "e", F.greatest(F.lit(0), F.col("s") - context, F.coalesce("low", F.lit(0))).alias("input_s"), F.least(total, F.col("e") + context, F.coalesce("high", total)).alias("input_e"), F.coalesce("speech", F.lit(0)).alias("speech"))
+
+
+def alignment_windows(windows: DataFrame) -> DataFrame:
+    """What a window (core_s, core_e, in_s, in_e, speech, recovery, reason, prefix) is aligned on: its input; but its core alone where it is the
+    rest of a region and no prefix of known tokens was put before it."""
+    alone = F.col("recovery") & (F.col("reason") == "recovery_suffix") & (F.col("prefix") == 0)
+    pick = lambda inner, outer: F.when(alone, F.col(inner)).otherwise(F.col(outer))
+    speech = F.when(alone, F.least("speech", F.col("core_e") - F.col("core_s"))).otherwise(F.col("speech"))
+    return windows.withColumns({"in_s": pick("core_s", "in_s"), "in_e": pick("core_e", "in_e"), "speech": speech})

@@ -63,6 +63,20 @@ def on_frames(blocks: DataFrame, durations: DataFrame, numerator: int, denominat
     return at.join(bad.select("stream", code.alias("fault")), "stream")
 
 
+def anchor_plan(lines: DataFrame, durations: DataFrame, least: float = 0.01) -> DataFrame:
+    """A window for each line (stream, line, coverage, start, end in seconds; null times where a line is not mapped), for streams all of whose
+    lines are mapped: windows meet in the middle between neighbours, are ``least`` long, and fill 0 to the stream's duration."""
+    by = W.partitionBy("stream")
+    order = by.orderBy("line")
+    us = lambda c: F.round(c * 1_000_000).cast("long")  # noqa: E731  # whole microseconds, so that the closed form is exact
+    at = lines.join(durations, "stream").withColumns({"s": us(F.greatest(F.lit(0.0), F.col("start"))), "e": us(F.least(F.col("duration"), F.col("end"))), "d": us(F.col("duration")), "n": F.count(F.lit(1)).over(by), "p": F.row_number().over(order).cast("long"), "lost": F.max((F.col("start").isNull()).cast("int")).over(by)})
+    m = round(least * 1_000_000)
+    at = at.where("lost = 0").withColumn("middle", F.floor((F.col("e") + F.lead("s").over(order)) / 2))
+    run = F.max(F.col("middle") - F.col("p") * m).over(order.rowsBetween(W.unboundedPreceding, 0))
+    at = at.withColumn("cut", F.when(F.col("p") < F.col("n"), F.col("p") * m + F.least(F.col("d") - F.col("n") * m, F.greatest(F.lit(0), run))).otherwise(F.col("d")))
+    return at.select("stream", "line", "coverage", (F.coalesce(F.lag("cut").over(order), F.lit(0)) / 1e6).alias("start"), (F.col("cut") / 1e6).alias("end"))
+
+
 def without_gaps(frames: DataFrame) -> DataFrame:
     """Each block on frames ends where the next begins; the last is unchanged."""
     after = F.lead("start_frame").over(W.partitionBy("stream").orderBy("start_frame", "id"))

@@ -208,7 +208,8 @@ def isotonic_expansion(df: DataFrame, durations: DataFrame, minimum: float = 1.0
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         n, target_, end = len(pdf), float(pdf["target"].iloc[0]), float(pdf["duration"].iloc[0])
-        inner = pdf["e"].iloc[:-1].to_numpy(float) - target_ * np.arange(1, n)  # inner boundaries, their spacing taken off
+        room = max(0.0, end - target_ * n)
+        inner = np.clip(pdf["e"].iloc[:-1].to_numpy(float) - target_ * np.arange(1, n), 0.0, room)  # inner boundaries, their spacing taken off
         pools: list[list[float]] = []
         for x in inner:
             pools.append([float(x), 1])
@@ -216,7 +217,7 @@ def isotonic_expansion(df: DataFrame, durations: DataFrame, minimum: float = 1.0
                 top = pools.pop()
                 pools[-1] = [pools[-1][0] + top[0], pools[-1][1] + top[1]]
         level = np.repeat([a / b for a, b in pools], [int(b) for _, b in pools]) if pools else np.zeros(0)
-        cuts = np.clip(level, 0.0, end - target_ * n) + target_ * np.arange(1, n)
+        cuts = level + target_ * np.arange(1, n)
         return pd.DataFrame({"stream": pdf["stream"], "i": pdf["i"], "s": [0.0, *cuts], "e": [*cuts, end], "moved": True})
 
     tight = rows.where("least < target - 1e-9").select("stream", "i", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"), "target", "duration")

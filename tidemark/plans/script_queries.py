@@ -127,6 +127,31 @@ def coverage_total(spark, d):
     return match.total_coverage(match.word_coverage(words, lambda w: ~w.rlike("[kq]"))).select("stream", "complete", "total", F.round("coverage", 6).alias("coverage"))
 
 
+def anchor_plan(spark, d):
+    """Windows of a conversation's lines, from rough times that overlap, go back, or lie outside; some lines of some are not mapped."""
+    k, i = F.col("stream"), F.col("line")
+    lines = _lines(spark, d).select("stream", F.col("line").cast("long").alias("line"), F.lit(1.0).alias("coverage"), F.when((k % 9 != 4) | (i != 1), i * 0.5 + (k * 7 + i * 13) % 10 / 4 - 0.5).alias("start"))
+    lines = lines.withColumn("end", F.col("start") + 0.25 + (k + i) % 4 / 2)
+    durations = lines.groupBy("stream").agg((F.count(F.lit(1)) * 0.5 + 0.75).alias("duration"))
+    out = script.anchor_plan(lines, durations)
+    return out.select("stream", "line", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+def alignment_validity(spark, d):
+    """Whether the words of turns, in order in even times, are an alignment of the turn; some are late, some say something else."""
+    turns = _lines(spark, d).select((F.col("stream") * 1000 + F.col("line")).alias("stream"), F.col("text").alias("transcript"), F.lit(0.0).alias("low"), F.lit(1000.0).alias("high"))
+    k = F.col("stream")
+    words = turns.select("stream", F.posexplode(tx.split_blank(F.col("transcript"))).alias("id", "text"))
+    tokens = words.select("stream", F.col("id").cast("long").alias("id"), (F.col("id") * 0.4 - F.when((k % 7 == 2) & (F.col("id") == 3), 2).otherwise(0)).alias("s"), (F.col("id") * 0.4 + F.when((k % 5 == 1) & (F.col("id") == 2), 5000).otherwise(0.35)).alias("e"), F.when((k % 3 == 0) & (F.col("id") % 2 == 1), "zzzz").otherwise(F.col("text")).alias("text"))
+    return match.validated(turns, tokens).select("stream", F.round("coverage", 6).alias("coverage"), "error")
+
+
+def alignment_window(spark, d):
+    """What recovery windows are aligned on: events as cores in a wider input."""
+    e = intervals(spark, d).select("stream", "id", F.col("s").alias("core_s"), F.col("e").alias("core_e"), (F.col("s") - 50).alias("in_s"), (F.col("e") + 70).alias("in_e"), (F.col("id") % 900).alias("speech"), (F.col("id") % 2 == 0).alias("recovery"), F.when(F.col("id") % 3 == 0, "recovery_suffix").otherwise("recovery").alias("reason"), (F.col("id") % 5).alias("prefix"))
+    return recovery.alignment_windows(e).select("id", "in_s", "in_e", "speech")
+
+
 def repair_alignment(spark, d):
     """Words of a turn decoded on a coarse time grid: every third has no length, some begin or end outside, some go back."""
     rows = _lines(spark, d).select((F.col("stream") * 1000 + F.col("line")).alias("stream"), F.posexplode(tx.split_blank(F.col("text"))).alias("ord", "text"))
@@ -145,7 +170,7 @@ def restore_punctuation(spark, d):
     return match.with_punctuation(rows).select("stream", F.array_join("restored", " ").alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (auditable_spans, recovery_holes, recovery_context, first_match, recovery_match, recovered_union, prefix_removal, quality_gate, script_frames, frames_without_gaps, lines_preserved, run_metrics, coverage_total, repair_alignment, restore_punctuation)}
+QUERIES = {f.__name__: f for f in (auditable_spans, recovery_holes, recovery_context, first_match, recovery_match, recovered_union, prefix_removal, quality_gate, script_frames, frames_without_gaps, lines_preserved, run_metrics, coverage_total, anchor_plan, alignment_validity, alignment_window, repair_alignment, restore_punctuation)}
 
 _TOK = r"list_filter(string_split_regex({x}, '[ \t\n\x0B\f\r]+'), lambda t: t != '')"
 _IV = "iv AS (SELECT user_id AS stream, event_id AS id, event_type AS kind, cast(floor(epoch_us(ts) / 1000000.0) AS bigint) AS s, cast(floor(epoch_us(ts) / 1000000.0) AS bigint) + 1 + cast(floor(value * 300) AS bigint) AS e FROM events)"
@@ -166,6 +191,12 @@ ORACLE = {
     "frames_without_gaps": f"""WITH RECURSIVE {_IV}, a AS (SELECT stream, id, s * 30000 // 1001 AS fs, (e * 30000 + 1000) // 1001 AS fe, row_number() OVER (PARTITION BY stream ORDER BY s, e, id) AS n FROM iv),
       t AS (SELECT stream, id, n, fs AS a, greatest(fe, fs + 1) AS b FROM a WHERE n = 1 UNION ALL SELECT a.stream, a.id, a.n, greatest(fs, t.b), greatest(fe, greatest(fs, t.b) + 1) FROM t JOIN a ON a.stream = t.stream AND a.n = t.n + 1)
       SELECT stream, id, a AS start_frame, coalesce(lead(a) OVER (PARTITION BY stream ORDER BY n), b) AS end_frame FROM t""",
+    "anchor_plan": """WITH RECURSIVE a AS (SELECT conv_id AS stream, turn AS line, CASE WHEN conv_id % 9 != 4 OR turn != 1 THEN turn * 0.5::double + (conv_id * 7 + turn * 13) % 10 / 4::double - 0.5 END AS st, 0.25::double + (conv_id + turn) % 4 / 2::double AS len, count(*) OVER w * 0.5::double + 0.75 AS d, count(*) OVER w AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+      b AS (SELECT *, greatest(0, st) AS s, least(d, st + len) AS e, bool_or(st IS NULL) OVER (PARTITION BY stream) AS lost FROM a), c AS (SELECT *, (e + lead(s) OVER (PARTITION BY stream ORDER BY p)) / 2 AS mid FROM b WHERE NOT lost),
+      t AS (SELECT stream, line, p, n, d, 0::double AS a, CASE WHEN n = 1 THEN d ELSE least(greatest(mid, 0.01), d - (n - 1) * 0.01) END AS b FROM c WHERE p = 1 UNION ALL
+        SELECT c.stream, c.line, c.p, c.n, c.d, t.b, CASE WHEN c.p = c.n THEN c.d ELSE least(greatest(mid, t.b + 0.01), c.d - (c.n - c.p) * 0.01) END FROM t JOIN c ON c.stream = t.stream AND c.p = t.p + 1)
+      SELECT stream, line::bigint AS line, round(a, 6) AS start, round(b, 6) AS "end" FROM t""",
+    "alignment_window": f"WITH {_IV}, a AS (SELECT *, id % 2 = 0 AND id % 3 = 0 AND id % 5 = 0 AS alone FROM iv) SELECT id, CASE WHEN alone THEN s ELSE s - 50 END AS in_s, CASE WHEN alone THEN e ELSE e + 70 END AS in_e, CASE WHEN alone THEN least(id % 900, e - s) ELSE id % 900 END AS speech FROM a",
     "auditable_spans": f"WITH {_PIECES} SELECT * FROM pc",
     "recovery_holes": f"""WITH {_PIECES}, cl AS (SELECT p.stream, p.s, p.e, max(CASE WHEN c.e IS NOT NULL THEN least(c.e, p.e) END) AS last_ FROM pc p LEFT JOIN iv c ON c.kind = 'click' AND c.stream = p.stream AND c.s < p.e AND p.s < c.e GROUP BY ALL), op AS (SELECT stream, coalesce(last_, s) AS s, e FROM cl WHERE last_ IS NULL OR e - last_ >= 120),
       {_merged('SELECT * FROM op', 300, 'h')} SELECT stream, s + o AS s, least(e, s + o + 900) AS e FROM (SELECT *, unnest(range(0, e - s, 900)) AS o FROM h)""",
