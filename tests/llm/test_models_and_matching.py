@@ -176,6 +176,58 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.fit(d, labels.limit(0)) is None and {r.score for r in toxicity.scores(odd, None).collect()} == {0.0}
 
 
+def plain_score(scorer, text):
+    """One word after the other, without batches, caches or padding."""
+    p, k = {n: v.astype(float) for n, v in scorer.p.items()}, len(scorer.p["v"])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        c = toxicity.core(word)
+        lists = gru.characters([c])
+        return np.concatenate([p["Ew"][scorer.vocabulary.get(c, 0)], *(p[n][x.flat].mean(0) for n, x in zip(("Ec", "Eb"), lists))])
+
+    def run(vectors, d):
+        h, out = np.zeros(k), []
+        for x in vectors:
+            g, a = x @ p["W" + d] + p["c" + d], h @ p["U" + d]
+            z, r = sigmoid(g[:k] + a[:k]), sigmoid(g[k : 2 * k] + a[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(g[2 * k :] + r * a[2 * k :])
+            out.append(h)
+        return out
+
+    words = text.lower().split()
+    logits = []
+    for at in range(0, max(1, len(words) - toxicity.SIZE + toxicity.STRIDE), toxicity.STRIDE) if words else ():
+        x = [vector(w) for w in words[at : at + toxicity.SIZE]]
+        states = [np.concatenate(pair) for pair in zip(run(x, "f"), run(x[::-1], "b")[::-1])]
+        weight = np.exp([np.tanh(s @ p["A"]) @ p["v"] for s in states])
+        logits.append(sum(w * s for w, s in zip(weight / weight.sum(), states)) @ p["o"] + p["b"][0])
+    weights, low = scorer.scale
+    top = min(12, max(-12, max(logits))) if logits else low
+    mean = np.mean(sigmoid(np.clip(logits, -30, 30))) if logits else sigmoid(low)
+    held, n = min(1 - 1e-5, max(1e-5, mean)), np.log(max(1, len(logits)))
+    return sigmoid(np.array([top, np.log(held / (1 - held)), mean, n, mean * n]) @ weights[:-1] + weights[-1])
+
+
+def test_toxicity_equals_the_plain_network(spark, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = d.join(labels, "doc_id").where("toxic IS NOT NULL").select("text", "toxic").limit(60).collect()
+    scorer = toxicity.train([r.text or "" for r in rows], np.array([r.toxic for r in rows]))
+    rng = random.Random(1)
+    odd = ["", " ", "a", "«!»", " ".join(["w"] * 32), " ".join(["w"] * 33), " ".join(rng.choice(["x", "idiot!", "ünï", "漢字", "."]) for _ in range(200))]
+    texts = odd + [r.text or "" for r in d.limit(20).collect()]
+    assert np.allclose(scorer.scores(texts), [plain_score(scorer, t) for t in texts], atol=2e-4)
+    assert np.allclose(scorer.scores(texts), np.concatenate([scorer.scores([t]) for t in texts]), atol=1e-5)
+
+
+def test_toxicity_precision_and_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.scores(d.join(labels.where("toxic IS NOT NULL"), "doc_id", "left_semi"), toxicity.fit(d, labels)).join(labels, "doc_id").where("held_out").collect()
+    hit, said, true = (sum(f(r) for r in held) for f in (lambda r: r.predicted and r.toxic == 1, lambda r: r.predicted, lambda r: r.toxic == 1))
+    assert len(held) > 1000 and hit / said > 0.85 and hit / true > 0.85, (hit, said, true)
+
+
 # substring dedup
 
 
