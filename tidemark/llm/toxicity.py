@@ -50,7 +50,7 @@ class Types:
 
     def of(self, seq: list[str]) -> np.ndarray:
         number, by_core = self.number, self.by_core
-        for w in set(seq).difference(number):
+        for w in sorted(set(seq).difference(number)):  # in one order, whatever the hash seed: training adds up in it
             c = core(w)
             if c not in by_core:
                 by_core[c] = len(self.cores)
