@@ -391,6 +391,18 @@ def test_near_recall_on_real_rows(spark, sf):
     assert got == near_classes(rows)
 
 
+def test_a_worker_holds_one_thing(monkeypatch):
+    import weakref
+
+    from tidemark.llm import common
+    from tidemark.llm.word_tokens import word_tokens
+
+    seen = weakref.ref(word_tokens("word_bpe_49k.json"))
+    assert word_tokens("word_bpe_49k.json") is seen()
+    common.held("other", dict)
+    assert seen() is None and list(common._HELD) == ["other"]
+
+
 def test_shared_folder(spark, monkeypatch):
     from tidemark.llm import common
 

@@ -20,6 +20,7 @@ def held(key, make):
     """What a Python worker keeps between tasks. It keeps one thing: another key takes the first one's place and memory."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()  # what was held may refer to itself
         give_back()
         _HELD[key] = make()
     return _HELD[key]
