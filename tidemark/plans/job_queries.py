@@ -256,6 +256,12 @@ ORACLE = {
     "status_log": """WITH a AS (SELECT user_id::varchar AS job_id, CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'error' ELSE 'running' END AS state, cast(floor(value) AS bigint) AS progress, event_type AS message, epoch_us(ts) * 1000 + event_id % 1000 AS tick FROM events),
       b AS (SELECT *, max(greatest(0, least(100, progress))) OVER w AS p, max(state = 'error') OVER (PARTITION BY job_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM a WINDOW w AS (PARTITION BY job_id ORDER BY tick ROWS UNBOUNDED PRECEDING))
       SELECT job_id, arg_max(state, tick) AS state, arg_max(p, tick) AS progress, arg_max(message, tick) AS message, '' AS error, arg_max(state, tick) = 'error' AS terminal FROM b WHERE NOT coalesce(over_, false) GROUP BY job_id""",
+    "diagnostic_chunks": f"""WITH {_IV}, b AS (SELECT stream, id, kind, s % 100000 AS s, s % 100000 + (e - s) AS e FROM iv), t AS (SELECT DISTINCT stream FROM b WHERE kind IN ('view', 'click', 'error', 'signup')),
+      r AS (SELECT stream, kind, list({{'start': round_even(s / 3.0::double, 3), 'end': round_even(e / 3.0::double, 3), 'confidence': 1.0::double}} ORDER BY s, e) AS l FROM b GROUP BY stream, kind),
+      n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY s, e, id) - 1 AS idx FROM b WHERE kind = 'click'),
+      w AS (SELECT stream, list({{'index': idx, 'core_start': round_even(s / 3.0::double, 3), 'core_end': round_even(e / 3.0::double, 3), 'input_start': round_even((s - 2) / 3.0::double, 3), 'input_end': round_even((e + 2) / 3.0::double, 3), 'speech_seconds': round_even(7 / 3.0::double, 3), 'boundary_reason': 'hard_max'}} ORDER BY s, e, idx) AS l FROM n GROUP BY stream),
+      d AS (SELECT t.stream, to_json({{'speech_regions': coalesce((SELECT l FROM r WHERE r.stream = t.stream AND kind = 'view'), []), 'windows': coalesce((SELECT l FROM w WHERE w.stream = t.stream), []), 'recovery_regions': coalesce((SELECT l FROM r WHERE r.stream = t.stream AND kind = 'error'), []), 'remaining_coverage_holes': coalesce((SELECT l FROM r WHERE r.stream = t.stream AND kind = 'signup'), [])}})::varchar AS document FROM t)
+      SELECT stream, md5(document) AS digest, length(document) AS size FROM d""",
     "match_rows": "WITH a AS (SELECT conv_id AS stream, turn AS id, cast(list_sum(list_transform(regexp_extract_all(text, '(?:an)+'), lambda x: length(x) // 2)) AS bigint) AS n FROM conversations) SELECT stream, id, n, row_number() OVER (PARTITION BY stream ORDER BY id) AS place, count(*) OVER (PARTITION BY stream) AS n_rows, sum(n) OVER (PARTITION BY stream)::bigint AS n_occurrences FROM a WHERE n > 0",
     "response_parse": """WITH a AS (SELECT event_id AS k FROM events), b AS (SELECT *, k % 7 = 0 AS odd, CASE WHEN k % 13 = 0 THEN -1 ELSE k % 120 END AS g FROM a)
       SELECT k AS event_id, CASE WHEN k % 17 = 0 THEN '' ELSE 'English' END AS language, CASE WHEN k % 17 = 0 THEN '' ELSE 't' || k END AS text, CASE WHEN k % 17 = 0 OR odd THEN 0 ELSE g END::bigint AS generated, CASE WHEN k % 17 = 0 THEN 80 ELSE 80 - k % 3 END::bigint AS budget,

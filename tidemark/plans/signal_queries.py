@@ -210,6 +210,17 @@ ORACLE = {
       x AS (SELECT stream, total, idx, a, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nb ELSE b END AS b, CASE WHEN idx = last_ - 1 AND nb - b < 15 THEN nwhy ELSE why END AS why FROM u WHERE NOT (idx = last_ AND idx > 0 AND b - a < 15)),
       y AS (SELECT stream, idx::bigint AS idx, a AS core_start, b AS core_end, greatest(0, a - 2) AS input_start, least(total, b + 2) AS input_end, why AS reason FROM x), sp AS ({_HYST.replace(_CAUSAL, _CAUSAL.replace('sig AS', 'sig2 AS', 1).replace('FROM sig)', 'FROM sig2)')).replace('FROM sig GROUP', 'FROM sig2 GROUP').format(pad=0)})
       SELECT y.*, coalesce((SELECT sum(least(input_end, sp."end") - greatest(input_start, sp.start)) FROM sp WHERE sp.stream = y.stream AND sp.start < input_end AND input_start < sp."end"), 0)::bigint AS speech FROM y""",
+    "isotonic_windows": f"""WITH {_IV}, a AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY id) - 1 AS i, (e - s) * 10 + (row_number() OVER (PARTITION BY stream ORDER BY id) - 1) * 600 AS x FROM iv),
+      b AS (SELECT *, sum(x - i * 100) OVER (PARTITION BY stream ORDER BY i) AS c FROM a), m AS (SELECT j.stream, j.i AS j, k.i AS k, (k.c - j.c + j.x - j.i * 100) / (k.i - j.i + 1) AS mean FROM b j JOIN b k ON k.stream = j.stream AND k.i >= j.i),
+      lo AS (SELECT stream, j, k, min(mean) OVER (PARTITION BY stream, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS v FROM m), hi AS (SELECT stream, k AS i, max(v) AS v FROM lo GROUP BY stream, k)
+      SELECT b.stream, b.i, b.x, round(hi.v + b.i * 100, 6) AS fitted FROM b JOIN hi ON hi.stream = b.stream AND hi.i = b.i""",
+    "window_expansion": f"""WITH {_IV}, a AS (SELECT stream, id, (e - s) / 60.0::double AS n, row_number() OVER (PARTITION BY stream ORDER BY id) - 1 AS i FROM iv WHERE kind = 'error'), b AS (SELECT stream, id, i, CASE WHEN stream % 3 = 0 THEN n + 60 WHEN i % 4 = 1 THEN n / 1000 ELSE n END AS n FROM a),
+      c AS (SELECT *, sum(n) OVER (PARTITION BY stream ORDER BY id) AS e FROM b), g AS (SELECT stream, count(*) AS cnt, max(e) AS d, min(n) AS least_, least(50.0::double, max(e) / count(*)) AS target FROM c GROUP BY stream),
+      x AS (SELECT stream, i + 1 AS i, least(greatest(0, d - cnt * target), greatest(0, e - (i + 1) * target)) AS x, d, target, cnt FROM c JOIN g USING (stream) WHERE least_ < target - 1e-9 AND i < cnt - 1), y AS (SELECT *, sum(x) OVER (PARTITION BY stream ORDER BY i) AS c FROM x),
+      m AS (SELECT j.stream, j.i AS j, k.i AS k, (k.c - j.c + j.x) / (k.i - j.i + 1) AS mean FROM y j JOIN y k ON k.stream = j.stream AND k.i >= j.i), lo AS (SELECT stream, j, k, min(mean) OVER (PARTITION BY stream, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS v FROM m), hi AS (SELECT stream, k AS i, max(v) AS v FROM lo GROUP BY stream, k),
+      cut AS (SELECT y.stream, y.i, hi.v + y.i * target AS t FROM y JOIN hi ON hi.stream = y.stream AND hi.i = y.i UNION ALL SELECT stream, 0, 0 FROM g WHERE least_ < target - 1e-9 UNION ALL SELECT stream, cnt, d FROM g WHERE least_ < target - 1e-9),
+      w AS (SELECT stream, lead(t) OVER (PARTITION BY stream ORDER BY i) - t AS n, true AS moved FROM cut UNION ALL SELECT c.stream, n, false FROM c JOIN g USING (stream) WHERE least_ >= target - 1e-9)
+      SELECT stream, count(*) AS n, bool_or(moved) AS moved, round(sum(n), 3) AS total, round(min(n), 3) AS least FROM w WHERE n IS NOT NULL GROUP BY stream""",
     "normalize_range": f"WITH {_IV}, t AS (SELECT stream, id, (e - s) / 30000.0 AS v FROM iv) SELECT stream, id, round(greatest(-1.0, least(1.0, v / greatest(1.0, max(abs(v)) OVER (PARTITION BY stream)))), 6) AS v FROM t",
     "group_report": f"WITH {_SIG} SELECT stream AS kind, count(*) AS n, round(sum(p), 4) AS total, round(sqrt(avg(p * p)), 6) AS rms, round(20 * log10(sqrt(avg(p * p))), 4) AS dbfs, max(abs(p)) AS peak FROM sig GROUP BY stream",
     "progress_monotone": f"WITH {_IV} SELECT stream, id, least(100, max((e - s) // 600) OVER (PARTITION BY stream ORDER BY id ROWS UNBOUNDED PRECEDING)) AS progress FROM iv",
