@@ -345,6 +345,25 @@ def test_alignment_is_validated(spark):
     assert got == {1: (1.0, ""), 2: (0.0, "EMPTY_ALIGNMENT"), 3: (0.4, "LOW_TEXT_COVERAGE"), 4: (1.0, ""), 5: (0.0, "NON_MONOTONIC_TIME:1")}
 
 
+def test_joining_rules_agree(spark):
+    """The rule on columns and the one that segmentation uses, and the groups of both."""
+    from tidemark.functions import joining
+
+    rng = random.Random(4)
+    tokens = ["a", "ab", "B2", "3.", "5", "300", "30", "1,", "12,", "字", "かな", "한", "ｱ", "é", "(", ")", "«", "»", "。", "…", "-", "$", "a-b", "x,", "２．", "½"]
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(400)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, a string, b string")
+    rows = df.select("id", *(joining.joiner(F.col("a"), F.col("b"), F.lit(lang)).alias(lang) for lang in ("en", "ja"))).collect()
+    for r in rows:
+        assert (r.en, r.ja) == (boundaries.between(*pairs[r.id], False), boundaries.between(*pairs[r.id], True)), pairs[r.id]
+    texts = ["It's 3.5-fold, Straße ﬁ", "漢字かなab12 한국어", "a.-b 'x' ０１", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for lang in ("en", "zh"):
+        got = df.select(joining.mapping_groups(tx.folded(F.col("t")), F.lit(lang)).alias("g")).collect()
+        assert [r.g for r in got] == [tx.mapping_groups_value(t, lang) for t in texts]
+    assert one(spark, joining.joined(F.array(*map(F.lit, (" a", "", "(", "b", ")", "."))), F.lit("en"))) == "a (b)."
+
+
 def test_model_slots(spark):
     from tidemark.operators import models
 
