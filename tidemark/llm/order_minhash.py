@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches, materialise, text_of
+from tidemark.llm.common import batches, materialise, text_of, tidy
 from tidemark.llm.wordhash import U, mix, rolled, word_hashes
 
 WORDS, SKETCHES, ROWS, TURNS, PART, BITS = 5, 32, 2, 2, 8, 12
@@ -171,8 +171,8 @@ def _shared(members: DataFrame) -> DataFrame:
 
 
 def _undecided(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The members, with the root of their class so far, of bands that hold more than one class."""
-    roots = components(found)
+    """The members, with the root of their class as far as two rounds tell, of bands that hold more than one."""
+    roots = components(found, 2)
     rooted = shared.drop("root").join(roots, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("id")
     rooted = materialise(rooted, "omh-rooted")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select(F.col("key").alias("k"))
@@ -236,11 +236,12 @@ def links(docs: DataFrame, sketches: DataFrame, at_least: float = 0.8) -> DataFr
         close = materialise(_close(_starred(members, turn), values, at_least), "omh-pairs")
         fresh = verified(_with_texts(docs, close), at_least).distinct()
         found = materialise(fresh if found is None else found.unionByName(fresh).distinct(), "omh-links")
+        tidy(docs.sparkSession)
         members = _undecided(members, found)
         if not members.limit(1).count():
             return found
-    rest = materialise(_prefixed(docs, members.select("doc_id", "root").distinct(), at_least), "omh-rest")
-    pairs = materialise(_close(rest, values, at_least), "omh-pairs")
+    members = materialise(members.select("doc_id", "root").distinct(), "omh-rest")
+    pairs = materialise(_close(_prefixed(docs, members, at_least), values, at_least), "omh-pairs")
     return materialise(found.unionByName(verified(_with_texts(docs, pairs), at_least)).distinct(), "omh-links")
 
 
@@ -274,11 +275,12 @@ def _prefixed(docs: DataFrame, members: DataFrame, at_least: float) -> DataFrame
     most = F.least("behind", "bb") + 1
     may = (most * (1 + at_least) >= (F.col("n") + F.col("nb")) * at_least - 1e-6) & (F.least("n", "nb") >= F.greatest("n", "nb") * at_least - 1e-6)
     met = rows.join(other, (F.col("g") == F.col("h")) & (F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & may)
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+    return met.select(F.col("doc_id").alias("a"), "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id that links lead to. Labels fall to neighbours' and then to their own label's label."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id, root: the smallest id that links lead to (``rounds``: as far as so many rounds tell, an id of the same class). Labels fall to
+    neighbours' and then to their own label's label."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
     label = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id"), "cc")
     while True:
@@ -287,7 +289,11 @@ def components(edges: DataFrame) -> DataFrame:
         ahead = label.select(F.col("id").alias("i"), F.col("root").alias("up"))
         jumped = materialise(step.join(ahead, F.col("next") == F.col("i"), "left").select("id", F.least("next", F.coalesce("up", "next")).alias("new"), "root"), "cc")
         label = jumped.select("id", F.col("new").alias("root"))
-        if not jumped.where("new != root").limit(1).count():
+        if rounds is not None:
+            rounds -= 1
+            if not rounds:
+                return label
+        elif not jumped.where("new != root").limit(1).count():
             return label
 
 

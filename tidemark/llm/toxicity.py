@@ -203,6 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = 600, sample_n
     rows = rows.sort_values(["__doc", "__text"])
     scorer = train(rows["__text"].tolist(), rows["y"].to_numpy())
     del rows
+    if scorer is not None:
+        scorer._renew()  # what it knows of the sample's words is not sent on
     tidy(docs.sparkSession)
     return scorer
 
