@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -386,5 +387,11 @@ def test_rollup_query_equals_brute_force(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    assert spark_rows(queries.QUERIES[name](spark, sf)) == sql_rows(queries.ORACLE[name], sf)
+
+
 def test_pattern_is_the_library_s():
     assert regex.findall(public_tokenizers.PATTERN, "a  b") == ["a", " ", " b"]

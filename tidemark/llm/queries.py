@@ -61,4 +61,4 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_warc_derivatives, op3_toxicity, op4_substring_dedup, op5_pii_surrogates, op6_byte_bpe, op7_token_counts, op8_quality_rules, op9_order_minhash, op10_packing)}
-ORACLE = {"op1_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op1_exact_dedup": exact_dedup.SQL, "op4_substring_dedup": substring_dedup.SQL}

@@ -146,3 +146,14 @@ def removed(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_c
     rest = parsed.join(marks.select("d"), F.col("doc_id") == F.col("d"), "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return rest.unionByName(cut, allowMissingColumns=True)
 
+
+SQL = r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM l),
+v AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM u),
+k AS (SELECT doc_id, pos, word, CASE WHEN pos + 49 <= n THEN array_to_string(run, ' ') END AS run FROM v),
+f AS (SELECT *, coalesce(run IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY run), false) AS again FROM k),
+g AS (SELECT *, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+r AS (SELECT doc_id, count(*) AS n_words, count_if(gone)::bigint AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT l.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN r ON r.doc_id = l.doc_id
+"""
