@@ -67,7 +67,7 @@ class Types:
 class Scorer:
     """A trained network, applied to texts."""
 
-    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 200_000):
+    def __init__(self, p: dict, vocabulary: dict[str, int], scale: tuple[np.ndarray, float], bound: int = 130_000):
         self.p, self.vocabulary, self.scale, self.bound = p, vocabulary, scale, bound
         self._renew()
 
